@@ -1,3 +1,3 @@
 """One module per operator family."""
 
-from tracewell.plans.sections import windows  # noqa: F401
+from tracewell.plans.sections import aggregates, events, joins, splits, windows  # noqa: F401
