@@ -41,6 +41,19 @@ def traj(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def faulty(spark: SparkSession, d: str) -> DataFrame:
+    """`traj` with injected faults: missing cells, NaN, a missing column, repeated and truncated rows."""
+    r = traj(spark, d).withColumn("_k", F.col("t").cast("long"))
+    sid, k = F.col("sample_id"), F.col("_k")
+    r = r.where((sid % 7 != 0) | (F.col("t") <= 5))
+    r = r.withColumn("dup", F.explode(F.when((sid + k) % 101 == 0, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))))
+    return r.select(
+        "sample_id", "t", "dup", F.when((sid * 31 + k) % 97 != 0, F.col("f_click")).alias("f_click"),
+        F.when((sid * 17 + k) % 89 == 0, F.lit(float("nan"))).otherwise(F.col("f_view")).alias("f_view"), "f_purchase",
+        F.when(sid % 11 != 0, F.col("f_signup")).alias("f_signup"), "f_error",
+    )
+
+
 def cls(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
     return n.groupBy(F.col("user_id").alias("sample_id")).agg(
@@ -129,6 +142,12 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
                    SUM(CASE WHEN event_type='signup' THEN value ELSE 0 END) AS f_signup,
                    SUM(CASE WHEN event_type='error' THEN value ELSE 0 END) AS f_error
                  FROM events GROUP BY 1, 2) a ON g.user_id=a.user_id AND g.day=a.day"""),
+    "faulty": (("traj",), """
+      SELECT sample_id, t, dup, CASE WHEN (sample_id*31 + CAST(t AS BIGINT)) % 97 <> 0 THEN f_click END AS f_click,
+             CASE WHEN (sample_id*17 + CAST(t AS BIGINT)) % 89 = 0 THEN 'NaN'::DOUBLE ELSE f_view END AS f_view, f_purchase,
+             CASE WHEN sample_id % 11 <> 0 THEN f_signup END AS f_signup, f_error
+      FROM traj JOIN (VALUES (0), (1)) v(dup) ON dup = 0 OR (sample_id + CAST(t AS BIGINT)) % 101 = 0
+      WHERE sample_id % 7 <> 0 OR t <= 5"""),
     "long": (("traj",), "SELECT sample_id, t, feature, x FROM traj UNPIVOT (x FOR feature IN (f_click, f_view, f_purchase, f_signup, f_error))"),
     "cls": ((), """
       SELECT user_id AS sample_id, event_type AS class FROM (
