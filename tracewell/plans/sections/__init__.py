@@ -1,3 +1,3 @@
 """One module per operator family."""
 
-from tracewell.plans.sections import aggregates, audits, events, joins, scalars, splits, windows  # noqa: F401
+from tracewell.plans.sections import aggregates, audits, events, joins, metrics, scalars, splits, windows  # noqa: F401
