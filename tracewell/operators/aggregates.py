@@ -28,14 +28,17 @@ def robust_scale(
     """center = median, mad, scale = max(1.4826 mad, 1 % of median magnitude, 1e-12), active = mad > near_zero."""
     k = list(keys)
     center = medians(long, k, value, "center")
-    dev = attach(long, center, k).withColumn("_dev", F.abs(F.col(value) - F.col("center"))).withColumn("_mag", F.abs(value))
-    mad = medians(dev, k, "_dev", "mad")
-    mag = medians(dev, k, "_mag", "_med")
+    both = F.array(
+        F.struct(F.lit("mad").alias("kind"), F.abs(F.col(value) - F.col("center")).alias("_d")), F.struct(F.lit("mag").alias("kind"), F.abs(value).alias("_d")))
+    dev = attach(long.select(*k, value), center, k).select(*k, F.explode(both).alias("_e")).select(*k, "_e.*")
+    med = medians(dev, [*k, "kind"], "_d", "m")
+    at = lambda kind: F.max(F.when(F.col("kind") == kind, F.col("m")))
+    wide = med.groupBy(*k).agg(at("mad").alias("mad"), at("mag").alias("_mag"))
     return (
-        center.join(mad, k).join(mag, k)
-        .withColumn("scale", F.greatest(MAD_TO_SIGMA * F.col("mad"), 0.01 * F.col("_med"), F.lit(1e-12)))
+        attach(center, wide, k)
+        .withColumn("scale", F.greatest(MAD_TO_SIGMA * F.col("mad"), 0.01 * F.col("_mag"), F.lit(1e-12)))
         .withColumn("active", F.col("mad") > near_zero)
-        .drop("_med")
+        .drop("_mag")
     )
 
 

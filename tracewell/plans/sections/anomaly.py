@@ -36,31 +36,31 @@ def ano_01(spark, d):
 
 
 define_cte("moments", ["featlong"], """
-  SELECT a.j AS i, c.j AS j, sum(a.v*c.v)/(SELECT count(DISTINCT sample_id) FROM featlong) AS s FROM (SELECT * FROM featlong WHERE j < 8) a JOIN (SELECT * FROM featlong WHERE j < 8) c USING (sample_id) GROUP BY 1, 2""")
+  SELECT a.j AS i, c.j AS j, sum(a.v*c.v)/(SELECT count(DISTINCT sample_id) FROM featlong) AS s FROM featlong a JOIN featlong c USING (sample_id) GROUP BY 1, 2""")
 
 
 @query("ano_02_second_moments", sql("moments", f"SELECT i, j, {q6('s')} AS s FROM moments"))
 def ano_02(spark, d):
-    g = gram.gram_table(b.feat(spark, d), F.slice("x", 1, 8))
-    return rounded(g.select(F.floor(F.col("pos") / 8).alias("i"), (F.col("pos") % 8).cast("long").alias("j"), (F.col("v") / F.col("n")).alias("s")))
+    g = gram.gram_table(b.feat(spark, d), F.col("x"))
+    return rounded(g.select(F.floor(F.col("pos") / 64).alias("i"), (F.col("pos") % 64).cast("long").alias("j"), (F.col("v") / F.col("n")).alias("s")))
 
 
 define_cte("lw", ["moments", "featlong"], """
   SELECT least(beta, delta)/delta AS shrinkage, mu FROM (
-    SELECT mu, (nrm - 2*mu*tr + 8*mu*mu)/8 AS delta, (q/n - nrm)/(8*n) AS beta FROM (
-      SELECT sum(s*s) AS nrm, sum(CASE WHEN i = j THEN s END) AS tr, sum(CASE WHEN i = j THEN s END)/8 AS mu FROM moments) a
-    CROSS JOIN (SELECT sum(r*r) AS q, count(*) AS n FROM (SELECT sample_id, sum(v*v) AS r FROM featlong WHERE j < 8 GROUP BY 1) z) c) y""")
+    SELECT mu, (nrm - 2*mu*tr + 64*mu*mu)/64 AS delta, (q/n - nrm)/(64*n) AS beta FROM (
+      SELECT sum(s*s) AS nrm, sum(CASE WHEN i = j THEN s END) AS tr, sum(CASE WHEN i = j THEN s END)/64 AS mu FROM moments) a
+    CROSS JOIN (SELECT sum(r*r) AS q, count(*) AS n FROM (SELECT sample_id, sum(v*v) AS r FROM featlong GROUP BY 1) z) c) y""")
 
 
 @query("ano_02_shrinkage", sql("lw", f"SELECT {q6('shrinkage')} AS shrinkage, {q6('mu')} AS mu FROM lw"))
 def ano_02b(spark, d):
-    g = gram.gram_table(b.feat(spark, d), F.slice("x", 1, 8))
-    diag = F.floor(F.col("pos") / 8) == F.col("pos") % 8
+    g = gram.gram_table(b.feat(spark, d), F.col("x"))
+    diag = F.floor(F.col("pos") / 64) == F.col("pos") % 64
     s = F.col("v") / F.col("n")
     one = g.agg(F.sum(s * s).alias("norm"), F.sum(F.when(diag, s)).alias("tr"), F.max("n").alias("n"), F.max("q").alias("q"))
-    mu = F.col("tr") / 8
-    delta = (F.col("norm") - 2 * mu * F.col("tr") + 8 * mu * mu) / 8
-    beta = F.least((F.col("q") / F.col("n") - F.col("norm")) / (8 * F.col("n")), delta)
+    mu = F.col("tr") / 64
+    delta = (F.col("norm") - 2 * mu * F.col("tr") + 64 * mu * mu) / 64
+    beta = F.least((F.col("q") / F.col("n") - F.col("norm")) / (64 * F.col("n")), delta)
     return rounded(one.select((beta / delta).alias("shrinkage"), mu.alias("mu")))
 
 
