@@ -1,3 +1,3 @@
 """One module per operator family."""
 
-from tracewell.plans.sections import aggregates, anomaly, audits, events, joins, learning, metrics, scalars, splits, windows  # noqa: F401
+from tracewell.plans.sections import aggregates, anomaly, audits, decisions, events, joins, learning, metrics, scalars, splits, windows  # noqa: F401
