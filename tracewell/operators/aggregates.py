@@ -159,10 +159,10 @@ def between_class_share(long: DataFrame, keys: Sequence[str], label: str, value:
     return both.groupBy(*keys).agg((ssb / (ssb + ssw + 1e-12)).alias("between_share"))
 
 
-def spearman_abs(long: DataFrame, keys: Sequence[str], x: str, y: str, buckets: int = 32) -> DataFrame:
+def spearman_abs(long: DataFrame, keys: Sequence[str], x: str, y: str, rows_per_bucket: int = 10_000) -> DataFrame:
     """|Spearman| with average ranks; 0 for fewer than four rows or a constant side."""
     k = list(keys)
-    rx, ry = average_ranks(long, k, x, "_rx", buckets), average_ranks(long, k, y, "_ry", buckets)
+    rx, ry = average_ranks(long, k, x, "_rx", rows_per_bucket), average_ranks(long, k, y, "_ry", rows_per_bucket)
     ranked = attach(attach(long.select(*k, x, y), rx, [*k, x]), ry, [*k, y])
     r = ranked.groupBy(*k).agg(
         F.corr("_rx", "_ry").alias("_r"), F.count(F.lit(1)).alias("n"),
@@ -199,7 +199,7 @@ def crosstab(df: DataFrame, row: str, col: str, values: Sequence[str]) -> DataFr
     return out.select(row, *[F.coalesce(F.col(str(v)), F.lit(0)).alias(str(v)) for v in values])
 
 
-def peak_and_top_share(df: DataFrame, keys: Sequence[str], value: str, share: float = 0.1, buckets: int = 32) -> DataFrame:
+def peak_and_top_share(df: DataFrame, keys: Sequence[str], value: str, share: float = 0.1, rows_per_bucket: int = 10_000) -> DataFrame:
     """Peak value and the median of the largest max(1, ceil(share n)) values.
 
     The median of the top m values is an order statistic of all n, so no group is collected.
@@ -210,7 +210,7 @@ def peak_and_top_share(df: DataFrame, keys: Sequence[str], value: str, share: fl
         "_lo": F.col("n") - m + F.floor((m - 1) / 2),
         "_hi": F.col("n") - m + F.ceil((m - 1) / 2),
     }
-    s = order_statistics(df, keys, value, ranks, buckets)
+    s = order_statistics(df, keys, value, ranks, rows_per_bucket)
     return s.select(*keys, "n", "peak", ((F.col("_lo") + F.col("_hi")) / 2).alias("top_median"))
 
 

@@ -11,14 +11,27 @@ from tracewell.operators import ordered
 from tracewell.operators.ordered import BUCKET, attach
 
 
-def join_reference(df: DataFrame, ref: DataFrame, features: Sequence[str], on: Sequence[str] = ("t",)) -> DataFrame:
-    """Exact-time join; reference columns get the suffix `_ref`.
+SMALL_ROWS = 200_000
+SALTS = 16
+
+
+def _equi_with_reference(df: DataFrame, side: DataFrame, on: Sequence[str]) -> DataFrame:
+    """Join many trajectories with a reference on (time-like) keys.
 
-    No broadcast hint: the planner measures the reference and replicates it only below
-    its threshold, otherwise the join shuffles and splits skewed times.
+    Few distinct times carry all rows, so the size of the reference is measured first: up to
+    SMALL_ROWS rows it is broadcast; beyond that it is copied once per salt and the rows of
+    one time are spread over the salts.
     """
-    side = ref.select(*on, *[F.col(f).alias(f"{f}_ref") for f in features])
-    return df.join(side, list(on))
+    if side.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
+        return df.join(F.broadcast(side), list(on))
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int"))
+    copies = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return salted.join(copies, [*on, "_salt"]).drop("_salt")
+
+
+def join_reference(df: DataFrame, ref: DataFrame, features: Sequence[str], on: Sequence[str] = ("t",)) -> DataFrame:
+    """Exact-time join; reference columns get the suffix `_ref`."""
+    return _equi_with_reference(df, ref.select(*on, *[F.col(f).alias(f"{f}_ref") for f in features]), on)
 
 
 def interpolate_reference(
@@ -35,11 +48,11 @@ def interpolate_reference(
     placed = ordered.time_bucket(r, t, segment or bucket)
     near = ordered.neighbour(placed, keyed, [t], {"_t1": t, **{f"_v1_{f}": f for f in features}}, "next")
     segs = near.select(
-        *keyed, F.col(t).alias("_t0"), "_t1", *[F.col(f).alias(f"_v0_{f}") for f in features], *[f"_v1_{f}" for f in features],
+        *keys, F.col(t).alias("_t0"), "_t1", *[F.col(f).alias(f"_v0_{f}") for f in features], *[f"_v1_{f}" for f in features],
         F.explode(F.sequence(F.floor(F.col(t) / bucket), F.floor(F.coalesce("_t1", F.col(t)) / bucket))).alias("_slot"),
     )
-    left = (df if keys else df.withColumn("_ref_all", F.lit(1))).withColumn("_slot", F.floor(F.col(t) / bucket))
-    hit = left.join(segs, [*keyed, "_slot"]).where(
+    left = df.withColumn("_slot", F.floor(F.col(t) / bucket))
+    hit = _equi_with_reference(left, segs, [*keys, "_slot"]).where(
         ((F.col(t) >= F.col("_t0")) & (F.col(t) < F.col("_t1"))) | (F.col("_t1").isNull() & (F.col(t) == F.col("_t0")))
     )
     share = (F.col(t) - F.col("_t0")) / (F.col("_t1") - F.col("_t0"))
@@ -78,7 +91,7 @@ def join_splits(rows: DataFrame, splits: DataFrame, id: str = "sample_id") -> Da
 
 def nearest_in_train(
     assigned: DataFrame, value: str = "severity", groups: Sequence[str] = ("split_id", "class"), id: str = "sample_id",
-    partition: str = "test", train: str = "train", buckets: int = 32,
+    partition: str = "test", train: str = "train", rows_per_bucket: int = 10_000,
 ) -> DataFrame:
     """Nearest train value of the same group for every row of `partition`; ties go to the lower value.
 
@@ -88,10 +101,9 @@ def nearest_in_train(
     both = assigned.where(F.col("partition").isin(partition, train)).withColumn(
         "_train", F.when(F.col("partition") == train, F.col(value).cast("double"))
     )
-    placed = ordered.quantile_bucket(both, g, value, buckets)
+    placed = ordered.quantile_bucket(both, g, value, rows_per_bucket)
     order = [value, "partition", id]
-    lo = ordered.fill(placed, g, order, {"_lo": "_train"}, "forward")
-    both_ways = ordered.fill(lo, g, order, {"_hi": "_train"}, "backward")
+    both_ways = ordered.fill_both(placed, g, order, "_train", "_lo", "_hi")
     v = F.col(value).cast("double")
     d_lo, d_hi = v - F.col("_lo"), F.col("_hi") - v
     pick_lo = F.col("_hi").isNull() | (d_lo <= d_hi)

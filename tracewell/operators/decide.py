@@ -58,24 +58,29 @@ class ClassDistance:
 
 
 def fit_class_distance(train: DataFrame, label: str, labels: Sequence, x: str = "x") -> ClassDistance:
-    stats = train.select(F.posexplode(x).alias("j", "v")).groupBy("j").agg(F.avg("v").alias("m"), F.stddev_pop("v").alias("s")).orderBy("j").collect()
-    mean = np.array([r["m"] for r in stats])
-    scale = np.array([r["s"] if r["s"] > 1e-12 else 1.0 for r in stats])
+    lit = lambda vs: F.array(*[F.lit(float(v)) for v in vs])
+    cells = train.select(F.col(label).alias("_c"), F.posexplode(x).alias("j", "v"))
+    per = cells.groupBy("_c", "j").agg(F.count("v").alias("n"), F.avg("v").alias("m"), F.var_pop("v").alias("s2")).collect()  # classes x p rows
+    p = max(r["j"] for r in per) + 1
+    n = {r["_c"]: r["n"] for r in per}
+    by = {c: (np.zeros(p), np.zeros(p)) for c in n}
+    for r in per:
+        by[r["_c"]][0][r["j"]], by[r["_c"]][1][r["j"]] = r["m"], r["s2"]
+    total = sum(n.values())
+    mean = sum(n[c] * by[c][0] for c in n) / total
+    var = sum(n[c] * (by[c][1] + (by[c][0] - mean) ** 2) for c in n) / total
+    scale = np.where(var > 1e-24, np.sqrt(var), 1.0)
     model = ClassDistance(mean, scale, {}, {})
-    rows = train.withColumn("_z", model.z(x)).persist()
-
-    def one(part: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-        m = part.select(F.posexplode("_z").alias("j", "v")).groupBy("j").agg(F.avg("v").alias("m")).orderBy("j").collect()
-        mu = np.array([r["m"] for r in m])
-        centred = F.zip_with("_z", F.array(*[F.lit(float(v)) for v in mu]), lambda a, c: a - c)
-        return mu, gram.ledoit_wolf(gram.fit_moments(part, centred)).precision
-
-    overall = one(rows)
-    n = {r[label]: r["n"] for r in rows.groupBy(label).agg(F.count(F.lit(1)).alias("n")).collect()}
+    centers = {c: (by[c][0] - mean) / scale for c in n}
+    own = F.element_at(F.create_map(*[v for c, m in centers.items() for v in (F.lit(c), lit(m))]), F.col(label))
+    moments = gram.fit_moments_by(train, label, F.zip_with(model.z(x), own, lambda a, m: a - m))
+    overall = None
     for c in labels:
-        mu, p = one(rows.where(F.col(label) == c)) if n.get(c, 0) >= 2 else overall
-        model.centers[c], model.precisions[c] = mu, p
-    rows.unpersist()
+        if n.get(c, 0) >= 2:
+            model.centers[c], model.precisions[c] = centers[c], gram.ledoit_wolf(moments[c]).precision
+        else:
+            overall = overall or gram.ledoit_wolf(gram.fit_moments(train, model.z(x))).precision
+            model.centers[c], model.precisions[c] = np.zeros(p), overall
     return model
 
 

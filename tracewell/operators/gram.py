@@ -69,6 +69,35 @@ def fit_moments(df: DataFrame, x: Column) -> Moments:
     return Moments(rows[0]["n"], rows[0]["q"], np.array([r["v"] for r in rows]).reshape(p, p))
 
 
+def fit_moments_by(df: DataFrame, key: str, x: Column) -> dict:
+    """Moments per value of a label column (a few labels), all from one pass."""
+    labels = df.schema[key].dataType.simpleString()
+    keyed = f"key {labels}, {_PART}"
+
+    def partial(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums: dict = {}
+        for pdf in batches:
+            for k, rows in pdf.groupby("key"):
+                v = np.vstack(rows["x"].to_numpy())
+                n, q, g = sums.get(k, (0.0, 0.0, 0.0))
+                sums[k] = (n + len(v), q + float(np.square(np.square(v).sum(axis=1)).sum()), g + v.T @ v)
+            part = int(pdf["part"].iloc[0]) if len(pdf) else 0
+        for k, (n, q, g) in sums.items():
+            yield pd.DataFrame({"key": [k], "part": [part], "n": [n], "q": [q], "g": [g.ravel()]})
+
+    def combine(group: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        return _combine(pdf).assign(key=group[0])[["key", "part", "n", "q", "g"]]
+
+    rows = df.select(F.col(key).alias("key"), (F.spark_partition_id() % FANIN).cast("long").alias("part"), x.alias("x"))
+    level = rows.mapInPandas(partial, keyed).groupBy("key", "part").applyInPandas(combine, keyed)
+    cells = level.select("key", "n", "q", F.posexplode("g").alias("pos", "v")).groupBy("key", "pos").agg(
+        F.sum("v").alias("v"), F.sum("n").alias("n"), F.sum("q").alias("q"))
+    out: dict = {}
+    for r in cells.orderBy("key", "pos").collect():
+        out.setdefault(r["key"], (r["n"], r["q"], []))[2].append(r["v"])
+    return {k: Moments(n, q, np.array(g).reshape(int(round(len(g) ** 0.5)), -1)) for k, (n, q, g) in out.items()}
+
+
 @dataclass(frozen=True)
 class ShrunkCovariance:
     covariance: np.ndarray

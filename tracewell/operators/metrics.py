@@ -205,7 +205,7 @@ def conformal_metrics(
     return attach(base, selective(pred, keys, labels, size == 1, truth, guess), keys)
 
 
-def ranking_quality(pred: DataFrame, keys: Sequence[str], score: str, positive: str, buckets: int = 32) -> DataFrame:
+def ranking_quality(pred: DataFrame, keys: Sequence[str], score: str, positive: str, rows_per_bucket: int = 10_000) -> DataFrame:
     """AUROC (ties count half) and average precision; NULL when only one class is present.
 
     Rows collapse to distinct scores first; the running counts go bucket by bucket.
@@ -215,7 +215,7 @@ def ranking_quality(pred: DataFrame, keys: Sequence[str], score: str, positive:
     v = F.col(score).cast("double")
     counts = src.where(v.isNotNull() & ~F.isnan(v) & F.col(positive).isNotNull()).groupBy(*k, v.alias("_v")).agg(
         F.count_if(F.col(positive)).alias("_p"), F.count_if(~F.col(positive)).alias("_q"))
-    cum = running_sum(quantile_bucket(counts, k, "_v", buckets), k, ["_v"], {"_cp": F.col("_p"), "_cq": F.col("_q")})
+    cum = running_sum(quantile_bucket(counts, k, "_v", rows_per_bucket), k, ["_v"], {"_cp": F.col("_p"), "_cq": F.col("_q")})
     tot = counts.groupBy(*k).agg(F.sum("_p").alias("_np"), F.sum("_q").alias("_nq"))
     both = attach(cum, tot, k)
     # from the top: everything at or above this score

@@ -27,11 +27,17 @@ def time_bucket(df: DataFrame, t: str, width: float, out: str = BUCKET) -> DataF
     return df.withColumn(out, F.floor(F.col(t) / F.lit(float(width))))
 
 
-def attach(df: DataFrame, side: DataFrame, on: Sequence[str], how: str = "inner") -> DataFrame:
-    """Equi-join in which NULL keys match each other, keeping one copy of the keys."""
+def attach(df: DataFrame, side: DataFrame, on: Sequence[str], how: str = "inner", small: bool = False) -> DataFrame:
+    """Equi-join in which NULL keys match each other, keeping one copy of the keys.
+
+    `small` is for sides whose row count is fixed by construction (one row, or one row per
+    requested rank); all other sides are left to the planner, which measures them.
+    """
     renamed = side
     for c in on:
         renamed = renamed.withColumnRenamed(c, f"_rhs_{c}")
+    if small:
+        renamed = F.broadcast(renamed)
     cond = None
     for c in on:
         one = df[c].eqNullSafe(renamed[f"_rhs_{c}"])
@@ -39,21 +45,45 @@ def attach(df: DataFrame, side: DataFrame, on: Sequence[str], how: str = "inner"
     return df.join(renamed, cond, how).drop(*[f"_rhs_{c}" for c in on])
 
 
+def attach_row(df: DataFrame, row: DataFrame) -> DataFrame:
+    """Add the columns of an ungrouped aggregate, which has exactly one row, to every row."""
+    return attach(df.withColumn("_one", F.lit(1)), row.withColumn("_one", F.lit(1)), ["_one"], small=True).drop("_one")
+
+
+def _even_shares(n: int) -> Column:
+    """1/n ... (n-1)/n as one foldable expression; a literal per share would swell the plan."""
+    text = ",".join(repr(i / n) for i in range(1, n))
+    return F.expr(f"cast(split('{text}', ',') as array<double>)")
+
+
 def quantile_bucket(
-    df: DataFrame, keys: Sequence[str], value: str, buckets: int = 32, out: str = BUCKET
+    df: DataFrame, keys: Sequence[str], value: str, rows_per_bucket: int = 10_000, side: int = 32, out: str = BUCKET
 ) -> DataFrame:
-    """Equi-depth bucket of a numeric column within `keys`; exact order, approximate size."""
+    """Equi-depth bucket of a numeric column within `keys`; exact order, approximate size.
+
+    A key gets about n / rows_per_bucket buckets, at most side * side, so small keys stay in
+    one bucket and a key with a large share of all rows is cut into many.  A bucket is found
+    in two steps of `side` comparisons each.
+    """
     if not keys:
-        return quantile_bucket(df.withColumn("_all", F.lit(1)), ["_all"], value, buckets, out).drop("_all")
-    probs = [i / buckets for i in range(1, buckets)]
-    bounds = df.groupBy(*keys).agg(
-        F.percentile_approx(F.col(value).cast("double"), probs, buckets * 50).alias("_bounds")
-    )
+        return quantile_bucket(df.withColumn("_all", F.lit(1)), ["_all"], value, rows_per_bucket, side, out).drop("_all")
+    most = side * side
     v = F.col(value).cast("double")
+    want = F.least(F.lit(most), F.ceil(F.col("_n") / F.lit(rows_per_bucket)))
+    step = F.greatest(F.lit(1), F.ceil(F.lit(most) / F.greatest(want, F.lit(1))))
+    bounds = (
+        df.groupBy(*keys).agg(F.percentile_approx(v, _even_shares(most), most * 10).alias("_b"), F.count(F.lit(1)).alias("_n"))
+        .withColumn("_step", step)
+        .withColumn("_b", F.filter("_b", lambda b, i: (i + 1) % F.col("_step") == 0))
+        .withColumn("_coarse", F.filter("_b", lambda b, i: i % side == side - 1))
+        .select(*keys, "_b", "_coarse")
+    )
+    passed = F.size(F.filter("_coarse", lambda b: b < v))
+    fine = F.size(F.filter(F.slice("_b", passed * side + 1, side), lambda b: b < v))
     return (
-        attach(df, bounds, keys)
-        .withColumn(out, F.coalesce(F.size(F.filter("_bounds", lambda b: b < v)), F.lit(-1)).cast("long"))
-        .drop("_bounds")
+        attach(df, bounds, keys, small=list(keys) == ["_all"])
+        .withColumn(out, F.coalesce(passed * side + fine, F.lit(-1)).cast("long"))
+        .drop("_b", "_coarse")
     )
 
 
@@ -142,6 +172,22 @@ def fill(
     return out.drop(*[f"_c_{n}" for n in cols])
 
 
+def fill_both(df: DataFrame, keys: Sequence[str], order: Sequence[str], col: str, before: str, after: str) -> DataFrame:
+    """Last non-null value at or before and next one at or after each row, from one set of bucket summaries."""
+    key = F.when(F.col(col).isNotNull(), F.struct(*order))
+    base, wb = Window.partitionBy(*keys, BUCKET).orderBy(*order), _bucket_window(keys)
+    carried = df.groupBy(*keys, BUCKET).agg(F.max_by(col, key).alias("_hi"), F.min_by(col, key).alias("_lo")).select(
+        *keys, BUCKET,
+        F.last("_hi", ignorenulls=True).over(wb.rowsBetween(_FIRST, -1)).alias("_cb"),
+        F.first("_lo", ignorenulls=True).over(wb.rowsBetween(1, _LAST)).alias("_ca"),
+    )
+    return attach(df, carried, [*keys, BUCKET]).select(
+        *df.columns,
+        F.coalesce(F.last(col, ignorenulls=True).over(base.rowsBetween(_FIRST, 0)), F.col("_cb")).alias(before),
+        F.coalesce(F.first(col, ignorenulls=True).over(base.rowsBetween(0, _LAST)), F.col("_ca")).alias(after),
+    )
+
+
 def run_lengths(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], flag: str, out: str = "run", broken: str | None = None
 ) -> DataFrame:

@@ -16,7 +16,7 @@ from tracewell.operators.ordered import BUCKET, attach, quantile_bucket, running
 
 
 def order_statistics(
-    df: DataFrame, keys: Sequence[str], value: str, ranks: Mapping[str, Column], buckets: int = 32
+    df: DataFrame, keys: Sequence[str], value: str, ranks: Mapping[str, Column], rows_per_bucket: int = 10_000
 ) -> DataFrame:
     """Per key: `n` and, for each name, the value at a zero-based rank given in terms of `n`.
 
@@ -25,7 +25,7 @@ def order_statistics(
     keyed = df if keys else df.withColumn("_all", F.lit(1))
     keys = list(keys) or ["_all"]
     clean = keyed.select(*keys, F.col(value).cast("double").alias("_v")).where(F.col("_v").isNotNull() & ~F.isnan("_v"))
-    placed = quantile_bucket(clean, keys, "_v", buckets)
+    placed = quantile_bucket(clean, keys, "_v", rows_per_bucket)
     hist = placed.groupBy(*keys, BUCKET).agg(F.count(F.lit(1)).alias("_c"))
     w = Window.partitionBy(*keys)
     upto = w.orderBy(BUCKET).rowsBetween(Window.unboundedPreceding, 0)
@@ -41,7 +41,7 @@ def order_statistics(
         .where(F.size("_wants") > 0)
         .drop("_c")
     )
-    counts = attach(placed, wanted, [*keys, BUCKET]).groupBy(*keys, BUCKET, "n", "_before", "_wants", "_v").agg(
+    counts = attach(placed, wanted, [*keys, BUCKET], small=keys == ["_all"]).groupBy(*keys, BUCKET, "n", "_before", "_wants", "_v").agg(
         F.count(F.lit(1)).alias("_c")
     )
     cum = Window.partitionBy(*keys, BUCKET).orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
@@ -61,7 +61,7 @@ def quantiles(
     value: str,
     probs: Mapping[str, float],
     method: str = "linear",
-    buckets: int = 32,
+    rows_per_bucket: int = 10_000,
 ) -> DataFrame:
     """Exact quantiles per key: method linear, lower or higher (NumPy's meaning)."""
     pos = {n: F.round(F.lit(float(p)) * (F.col("n") - 1), 9) for n, p in probs.items()}
@@ -71,7 +71,7 @@ def quantiles(
             ranks[f"_lo_{n}"] = F.floor(x)
         if method in ("linear", "higher"):
             ranks[f"_hi_{n}"] = F.ceil(x)
-    stats = order_statistics(df, keys, value, ranks, buckets)
+    stats = order_statistics(df, keys, value, ranks, rows_per_bucket)
     out = [F.col("n")]
     for n, x in pos.items():
         lo, hi = F.col(f"_lo_{n}"), F.col(f"_hi_{n}")
@@ -84,12 +84,12 @@ def quantiles(
     return stats.select(*keys, *out)
 
 
-def medians(df: DataFrame, keys: Sequence[str], value: str, out: str = "median", buckets: int = 32) -> DataFrame:
-    return quantiles(df, keys, value, {out: 0.5}, "linear", buckets).drop("n")
+def medians(df: DataFrame, keys: Sequence[str], value: str, out: str = "median", rows_per_bucket: int = 10_000) -> DataFrame:
+    return quantiles(df, keys, value, {out: 0.5}, "linear", rows_per_bucket).drop("n")
 
 
-def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str = "rank", buckets: int = 32) -> DataFrame:
+def average_ranks(df: DataFrame, keys: Sequence[str], value: str, out: str = "rank", rows_per_bucket: int = 10_000) -> DataFrame:
     """(keys, value) -> average rank (ties share the mean rank); one row per distinct value."""
     counts = df.groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_c"))
-    cum = running_sum(quantile_bucket(counts, keys, value, buckets), keys, [value], {"_cum": F.col("_c")})
+    cum = running_sum(quantile_bucket(counts, keys, value, rows_per_bucket), keys, [value], {"_cum": F.col("_c")})
     return cum.select(*keys, value, (F.col("_cum") - F.col("_c") + (F.col("_c") + 1) / 2.0).alias(out))

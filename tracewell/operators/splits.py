@@ -13,9 +13,9 @@ from tracewell.operators.ordered import BUCKET, attach
 PARTITIONS = ("train", "validation", "test")
 
 
-def _ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: str | None = "_n", buckets: int = 32) -> DataFrame:
+def _ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: str | None = "_n", rows_per_bucket: int = 10_000) -> DataFrame:
     """Zero-based rank by numeric `order[0]` (then the rest) plus the class size."""
-    placed = ordered.quantile_bucket(df, keys, order[0], buckets)
+    placed = ordered.quantile_bucket(df, keys, order[0], rows_per_bucket)
     ranked = ordered.row_numbers(placed, keys, list(order), "_rank", size)
     return ranked.withColumn("_rank", F.col("_rank") - 1).drop(BUCKET)
 

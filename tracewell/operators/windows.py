@@ -180,16 +180,16 @@ def pre_injection_alarm(
 
 def score_vector(
     long: DataFrame, value: str, early: float | None = None, id: str = "sample_id", feature: str = "feature", t: str = "t",
-    buckets: int = 32,
+    rows_per_bucket: int = 10_000,
 ) -> DataFrame:
     """median, mean, max and last of each (trajectory, feature) score series, missing values skipped."""
     rows = long.where(F.col(value).isNotNull() & ~F.isnan(value))
     base = rows.groupBy(id, feature).agg(
         F.avg(value).alias("mean"), F.max(value).alias("max"), F.max_by(value, t).alias("last")
     )
-    out = base.join(medians(rows, [id, feature], value, "median", buckets), [id, feature])
+    out = base.join(medians(rows, [id, feature], value, "median", rows_per_bucket), [id, feature])
     if early is not None:
-        out = out.join(medians(rows.where(F.col(t) <= early), [id, feature], value, "median_early", buckets), [id, feature], "left")
+        out = out.join(medians(rows.where(F.col(t) <= early), [id, feature], value, "median_early", rows_per_bucket), [id, feature], "left")
     return out
 
 
@@ -206,8 +206,7 @@ def perturb_after(
     df: DataFrame, scales: DataFrame, features: Sequence[str], injection: float, factor: float = 0.001, t: str = "t"
 ) -> DataFrame:
     """Shift every post-injection sample by `factor` of the feature's training scale (one-row `scales`)."""
-    # `scales` is a one-row aggregate, so this join replicates one row
-    joined = df.withColumn("_one", F.lit(1)).join(scales.withColumn("_one", F.lit(1)), "_one").drop("_one")
+    joined = ordered.attach_row(df, scales)
     for f in features:
         joined = joined.withColumn(f, F.when(F.col(t) > injection, F.col(f) + factor * F.col(f"{f}_scale")).otherwise(F.col(f)))
     return joined.drop(*[f"{f}_scale" for f in features])

@@ -123,7 +123,7 @@ def dec_07(spark, d):
 @query("dec_08_validation_sweep", sql("legacy", f"""
   SELECT predicted, decision, count(*) AS n, count(first_alarm_s) AS n_alarm, {q6('avg(peak_score)')} AS mean_peak FROM legacy GROUP BY 1, 2"""))
 def dec_08(spark, d):
-    return rounded(_legacy_rows(spark, d).groupBy("predicted", "decision").agg(F.count(F.lit(1)).alias("n"), F.count("first_alarm_s").alias("n_alarm"), F.avg("peak_score").alias("mean_peak")), 5)
+    return rounded(_legacy_rows(spark, d).groupBy("predicted", "decision").agg(F.count(F.lit(1)).alias("n"), F.count("first_alarm_s").alias("n_alarm"), F.avg("peak_score").alias("mean_peak")))
 
 
 # ---------------------------------------------------------------- attribution

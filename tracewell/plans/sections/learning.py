@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions import scalars as sc
 from tracewell.operators import learn, metrics, splits
+from tracewell.operators.ordered import attach_row
 from tracewell.plans import bindings as b
 from tracewell.plans.bindings import define_cte, sql
 from tracewell.plans.registry import q6, query, r6, rounded
@@ -24,7 +25,7 @@ def ml_01(spark, d):
     tr = b.sev(spark, d).where(TRAIN)
     major = learn.majority_class(tr, "class").select("majority")
     stats = tr.agg(F.count(F.lit(1)).alias("n"), r6(F.avg("severity")).alias("train_mean"))
-    return stats.withColumn("_k", F.lit(1)).join(major.withColumn("_k", F.lit(1)), "_k").drop("_k")
+    return attach_row(major, stats)
 
 
 def _predictions(spark, d, fit):
@@ -200,4 +201,4 @@ def ml_17(spark, d):
     c = again.predict(f).select(ID, "y_pred", F.array_max("probs").alias("confidence"))
     files = sinks.file_manifest(spark, path).agg(F.count(F.lit(1)).alias("files"))
     same = metrics.parity(a, c, [ID], ["y_pred"], ["confidence"]).agg(F.count(F.lit(1)).alias("rows"), F.min("passed").alias("identical"))
-    return same.withColumn("_k", F.lit(1)).join(files.withColumn("_k", F.lit(1)), "_k").select("rows", "identical", (F.col("files") > 0).alias("has_files"))
+    return attach_row(same, files).select("rows", "identical", (F.col("files") > 0).alias("has_files"))

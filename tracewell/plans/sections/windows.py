@@ -237,7 +237,7 @@ def early_warning_summary(s, events, shown, features, threshold, k, width):
          {q6('max_by(score, t)')} AS last, {q6('median(score) FILTER (t <= 10)')} AS median_early
   FROM devlong WHERE score IS NOT NULL GROUP BY 1, 2"""))
 def win_13(spark, d):
-    return rounded(win.score_vector(score_long(spark, d), "score", 10.0, buckets=8))
+    return rounded(win.score_vector(score_long(spark, d), "score", 10.0))
 
 
 @query("win_14_rank_features", sql("devlong", f"""
