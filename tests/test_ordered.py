@@ -86,7 +86,7 @@ def test_quantile_bucket_is_monotone(data, per):
     assert hot == 1 if per == 10_000 else hot > 5
 
 
-@pytest.mark.parametrize("per", [4, 10_000])
+@pytest.mark.parametrize("per", [8, 16, 1024])
 def test_exact_quantiles_match_numpy(data, per):
     df, by = data
     for method in ("linear", "lower", "higher"):

@@ -199,7 +199,7 @@ def crosstab(df: DataFrame, row: str, col: str, values: Sequence[str]) -> DataFr
     return out.select(row, *[F.coalesce(F.col(str(v)), F.lit(0)).alias(str(v)) for v in values])
 
 
-def peak_and_top_share(df: DataFrame, keys: Sequence[str], value: str, share: float = 0.1, rows_per_bucket: int = 10_000) -> DataFrame:
+def peak_and_top_share(df: DataFrame, keys: Sequence[str], value: str, share: float = 0.1) -> DataFrame:
     """Peak value and the median of the largest max(1, ceil(share n)) values.
 
     The median of the top m values is an order statistic of all n, so no group is collected.
@@ -210,7 +210,7 @@ def peak_and_top_share(df: DataFrame, keys: Sequence[str], value: str, share: fl
         "_lo": F.col("n") - m + F.floor((m - 1) / 2),
         "_hi": F.col("n") - m + F.ceil((m - 1) / 2),
     }
-    s = order_statistics(df, keys, value, ranks, rows_per_bucket)
+    s = order_statistics(df, keys, value, ranks)
     return s.select(*keys, "n", "peak", ((F.col("_lo") + F.col("_hi")) / 2).alias("top_median"))
 
 

@@ -24,7 +24,7 @@ def steps(df: DataFrame, id: str, t: str, width: float, order: Sequence[str] | N
 
 def time_metrics(
     df: DataFrame, width: float, id: str = "sample_id", t: str = "t", order: Sequence[str] | None = None,
-    rtol: float = 1e-5, atol: float = 1e-6, rows_per_bucket: int = 10_000,
+    rtol: float = 1e-5, atol: float = 1e-6,
 ) -> DataFrame:
     """Row count, span, step statistics, monotonicity, repeated times and non-uniform steps per trajectory."""
     s = steps(df, id, t, width, order)
@@ -35,7 +35,7 @@ def time_metrics(
     )
     # on a sorted axis a row repeats a time exactly when its step is zero
     dup = s.groupBy(id).agg(F.count_if(F.col("dt") == 0).alias("time_duplicate_count"))
-    med = medians(s, [id], "dt", "sampling_median_s", rows_per_bucket)
+    med = medians(s, [id], "dt", "sampling_median_s")
     off = attach(s, med, [id]).groupBy(id).agg(
         F.count_if(F.abs(F.col("dt") - F.col("sampling_median_s")) > atol + rtol * F.abs("sampling_median_s")).alias("_off"))
     out = base.join(dup, id).join(med, id, "left").join(off, id, "left")
@@ -107,7 +107,7 @@ def table_equality(left: DataFrame, right: DataFrame, keys: Sequence[str], featu
     )
 
 
-def pre_injection_metrics(df: DataFrame, injection: float, width: float, id: str = "sample_id", t: str = "t", rows_per_bucket: int = 10_000) -> DataFrame:
+def pre_injection_metrics(df: DataFrame, injection: float, width: float, id: str = "sample_id", t: str = "t") -> DataFrame:
     """Segment before the injection: rows, span, median step, and whether it can serve as normal data."""
     s = steps(df, id, t, width).withColumn("_pre", F.col(t) < injection)
     base = s.groupBy(id).agg(
@@ -115,7 +115,7 @@ def pre_injection_metrics(df: DataFrame, injection: float, width: float, id: str
         F.min(F.when(F.col("_pre"), F.col(t))).alias("pre_injection_time_start_s"),
         F.max(F.when(F.col("_pre"), F.col(t))).alias("pre_injection_time_end_s"),
     ).withColumn("pre_injection_window_s", F.col("pre_injection_time_end_s") - F.col("pre_injection_time_start_s"))
-    med = medians(s.where("_pre"), [id], "dt", "pre_injection_sampling_median_s", rows_per_bucket)
+    med = medians(s.where("_pre"), [id], "dt", "pre_injection_sampling_median_s")
     return base.join(med, id, "left").select(
         "*", (F.col("pre_injection_rows") > 0).alias("has_valid_pre_injection_sample"),
         F.coalesce((F.col("pre_injection_rows") >= 2) & (F.col("pre_injection_window_s") > 0), F.lit(False)).alias("pre_window_usable_for_normal"),
@@ -276,12 +276,12 @@ def input_gate(
     )
 
 
-def alignment_audit(aligned: DataFrame, features: Sequence[str], times: Sequence[float], id: str = "sample_id", t: str = "t", rows_per_bucket: int = 10_000) -> DataFrame:
+def alignment_audit(aligned: DataFrame, features: Sequence[str], times: Sequence[float], id: str = "sample_id", t: str = "t") -> DataFrame:
     """At each chosen time: max and median over trajectories of the largest absolute difference to the reference."""
     gap = F.greatest(*[F.abs(F.col(f) - F.col(f"{f}_ref")) for f in features])
     rows = aligned.where(F.col(t).isin([float(x) for x in times])).select(id, t, gap.alias("_gap"))
     top = rows.groupBy(t).agg(F.max("_gap").alias("max_difference"), F.count(F.lit(1)).alias("n"))
-    return top.join(medians(rows, [t], "_gap", "median_difference", rows_per_bucket), t)
+    return top.join(medians(rows, [t], "_gap", "median_difference"), t)
 
 
 def shared_times(df: DataFrame, t: str = "t", least: int = 2) -> DataFrame:

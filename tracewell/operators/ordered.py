@@ -33,9 +33,7 @@ def attach(df: DataFrame, side: DataFrame, on: Sequence[str], how: str = "inner"
     `small` is for sides whose row count is fixed by construction (one row, or one row per
     requested rank); all other sides are left to the planner, which measures them.
     """
-    renamed = side
-    for c in on:
-        renamed = renamed.withColumnRenamed(c, f"_rhs_{c}")
+    renamed = side.select(*[F.col(c).alias(f"_rhs_{c}" if c in on else c) for c in side.columns])
     if small:
         renamed = F.broadcast(renamed)
     cond = None
@@ -50,7 +48,7 @@ def attach_row(df: DataFrame, row: DataFrame) -> DataFrame:
     return attach(df.withColumn("_one", F.lit(1)), row.withColumn("_one", F.lit(1)), ["_one"], small=True).drop("_one")
 
 
-def _even_shares(n: int) -> Column:
+def even_shares(n: int) -> Column:
     """1/n ... (n-1)/n as one foldable expression; a literal per share would swell the plan."""
     text = ",".join(repr(i / n) for i in range(1, n))
     return F.expr(f"cast(split('{text}', ',') as array<double>)")
@@ -72,7 +70,7 @@ def quantile_bucket(
     want = F.least(F.lit(most), F.ceil(F.col("_n") / F.lit(rows_per_bucket)))
     step = F.greatest(F.lit(1), F.ceil(F.lit(most) / F.greatest(want, F.lit(1))))
     bounds = (
-        df.groupBy(*keys).agg(F.percentile_approx(v, _even_shares(most), most * 10).alias("_b"), F.count(F.lit(1)).alias("_n"))
+        df.groupBy(*keys).agg(F.percentile_approx(v, even_shares(most), most * 10).alias("_b"), F.count(F.lit(1)).alias("_n"))
         .withColumn("_step", step)
         .withColumn("_b", F.filter("_b", lambda b, i: (i + 1) % F.col("_step") == 0))
         .withColumn("_coarse", F.filter("_b", lambda b, i: i % side == side - 1))

@@ -180,16 +180,15 @@ def pre_injection_alarm(
 
 def score_vector(
     long: DataFrame, value: str, early: float | None = None, id: str = "sample_id", feature: str = "feature", t: str = "t",
-    rows_per_bucket: int = 10_000,
 ) -> DataFrame:
     """median, mean, max and last of each (trajectory, feature) score series, missing values skipped."""
     rows = long.where(F.col(value).isNotNull() & ~F.isnan(value))
     base = rows.groupBy(id, feature).agg(
         F.avg(value).alias("mean"), F.max(value).alias("max"), F.max_by(value, t).alias("last")
     )
-    out = base.join(medians(rows, [id, feature], value, "median", rows_per_bucket), [id, feature])
+    out = base.join(medians(rows, [id, feature], value, "median"), [id, feature])
     if early is not None:
-        out = out.join(medians(rows.where(F.col(t) <= early), [id, feature], value, "median_early", rows_per_bucket), [id, feature], "left")
+        out = out.join(medians(rows.where(F.col(t) <= early), [id, feature], value, "median_early"), [id, feature], "left")
     return out
 
 
