@@ -93,12 +93,12 @@ def test_event_parsing(spark):
 
 
 def test_csv_scan_takes_ids_from_paths_and_keeps_bad_lines(spark, tmp_path):
-    for c, case, body in (("LOCA", "2", "0,1\n10,bad\n"), ("LOCA", "10", "0,5\n"), ("RW", "1", "0,1,9,9\n")):
+    for c, case, body in (("CLS", "2", "0,1\n10,bad\n"), ("CLS", "10", "0,5\n"), ("RW", "1", "0,1,9,9\n")):
         os.makedirs(tmp_path / c, exist_ok=True)
         (tmp_path / c / f"{case}.csv").write_text("TIME,P\n" + body)
     df = readers.numeric_order(readers.scan_trajectories(spark, str(tmp_path), ["TIME", "P"]))
     got = [(r["class"], r["case_number"], r["t"], r["P"]) for r in df.orderBy("class", "case_number", "t").collect()]
-    assert got == [("LOCA", 2, 0.0, 1.0), ("LOCA", 2, 10.0, None), ("LOCA", 10, 0.0, 5.0), ("RW", 1, 0.0, 1.0)]
+    assert got == [("CLS", 2, 0.0, 1.0), ("CLS", 2, 10.0, None), ("CLS", 10, 0.0, 5.0), ("RW", 1, 0.0, 1.0)]
     assert df.cache().where(F.col(readers.CORRUPT).isNotNull()).count() == 1
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tracewell.operators import ordered
 from tracewell.operators.ordered import attach, quantile_bucket
-from tracewell.operators.quantiles import average_ranks, medians, order_statistics, quantiles
+from tracewell.operators.quantiles import average_ranks, medians, order_statistics
 
 MAD_TO_SIGMA = 1.4826
 
@@ -145,8 +145,11 @@ def detection_summary(cases: DataFrame, keys: Sequence[str], event_known: str =
         F.min("first_alarm_s").alias("detection_min_s"), F.max("first_alarm_s").alias("detection_max_s"),
         F.min("lead_time_s").alias("lead_min_s"), F.max("lead_time_s").alias("lead_max_s"),
     )
-    one = attach(base, medians(cases, keys, "first_alarm_s", "detection_median_s"), keys, "left")
-    return attach(one, medians(cases, keys, "lead_time_s", "lead_median_s"), keys, "left")
+    # both medians in one pass over (column, value) rows
+    names = {"first_alarm_s": "detection_median_s", "lead_time_s": "lead_median_s"}
+    med = medians(cases.unpivot(list(keys), list(names), "_of", "_v"), [*keys, "_of"], "_v", "_m")
+    wide = med.groupBy(*keys).agg(*[F.max(F.when(F.col("_of") == c, F.col("_m"))).alias(n) for c, n in names.items()])
+    return attach(base, wide, keys, "left")
 
 
 def between_class_share(long: DataFrame, keys: Sequence[str], label: str, value: str) -> DataFrame:
@@ -179,11 +182,10 @@ def conformal_rank(alpha: float):
 
 def quantile_table(df: DataFrame, keys: Sequence[str], value: str, p: float, alpha: float) -> DataFrame:
     """The three quantile readings side by side: linear, lower/higher order statistic, conformal index."""
-    out = quantiles(df, keys, value, {"q_linear": p})
-    for method in ("lower", "higher"):
-        out = attach(out, quantiles(df, keys, value, {f"q_{method}": p}, method).drop("n"), keys)
-    conf = order_statistics(df, keys, value, {"q_conformal": conformal_rank(alpha)}).drop("n")
-    return attach(out, conf, keys)
+    at = F.round(F.lit(float(p)) * (F.col("n") - 1), 9)
+    s = order_statistics(df, keys, value, {"q_lower": F.floor(at), "q_higher": F.ceil(at), "q_conformal": conformal_rank(alpha)})
+    linear = F.col("q_lower") + (F.col("q_higher") - F.col("q_lower")) * (at - F.floor(at))
+    return s.select(*keys, "n", linear.alias("q_linear"), "q_lower", "q_higher", "q_conformal")
 
 
 def most_frequent(df: DataFrame, keys: Sequence[str], label: str, out: str = "majority") -> DataFrame:

@@ -73,7 +73,7 @@ def fit_reference(
     share: float = 0.95, id: str = "sample_id", t: str = "t",
 ) -> ReferenceModel:
     """Centres, shrunk precision, principal axes and alarm thresholds, all from the reference only."""
-    rows = reference if calibration_end is None else reference.where(F.col(t) <= calibration_end)
+    rows = (reference if calibration_end is None else reference.where(F.col(t) <= calibration_end)).persist()
     center, scale, inactive = fit_robust(rows, features, id, t)
     m = gram.fit_moments(rows, standardised(center, scale))
     lw = gram.ledoit_wolf(m)
@@ -83,6 +83,7 @@ def fit_reference(
     model = ReferenceModel(center, scale, inactive, lw.precision, lw.shrinkage, axes, {})
     long = score_rows(rows, model).unpivot([t], list(METHODS), "method", "score")
     cut = {r["method"]: r["q"] for r in quantiles(long, ["method"], "score", {"q": quantile}).collect()}
+    rows.unpersist()
     return ReferenceModel(center, scale, inactive, lw.precision, lw.shrinkage, axes, cut)
 
 

@@ -96,12 +96,16 @@ class Bundle:
 
 def fit_bundle(train: DataFrame, calibration: DataFrame, label: str, labels: Sequence, tiers: Mapping, alpha: float = 0.1, quantile: float = 0.95, iterations: int = 50) -> Bundle:
     """Classifier and distances from train rows, set cutoff and distance limit from calibration rows."""
+    train, calibration = train.persist(), calibration.persist()  # feature rows, read by several fits
     model = learn.fit_logistic(train, label, labels, iterations=iterations)
     dist = fit_class_distance(train, label, labels)
     names = F.array(*[F.lit(c) for c in labels])
-    held = model.predict(calibration).withColumn("_nc", 1 - F.element_at("probs", F.array_position(names, F.col(label)).cast("int")))
+    own = F.element_at("probs", F.array_position(names, F.col(label)).cast("int"))
+    held = model.predict(calibration).select((1 - own).alias("_nc"), dist.score("x", "y_pred").alias("_d")).persist()
     nc = order_statistics(held, [], "_nc", {"q": conformal_rank(alpha)}).first()
-    limit = quantiles(held.withColumn("_d", dist.score("x", "y_pred")), [], "_d", {"q": quantile}).first()
+    limit = quantiles(held, [], "_d", {"q": quantile}).first()
+    for used in (train, calibration, held):
+        used.unpersist()
     return Bundle(tuple(labels), model, 1.0 - nc["q"], dist, limit["q"], dict(tiers))
 
 

@@ -21,6 +21,7 @@ from tracewell.operators import aggregates as agg
 from tracewell.operators import gram
 from tracewell.operators.ordered import attach
 from tracewell.operators.quantiles import medians
+from tracewell.session import cut_lineage
 
 LABEL_INDEX, FEATURES = "_y", "_features"
 
@@ -281,6 +282,7 @@ def evaluate_grid(rows: DataFrame, splits: Sequence[str], models: Mapping[str, F
     small thread pool; the result is one long prediction table.
     """
     cells = [(s, m) for s in splits for m in models]
+    rows = cut_lineage(rows)  # every fit reads its rows many times
 
     def run(cell: tuple[str, str]) -> DataFrame:
         s, m = cell

@@ -40,7 +40,8 @@ define_cte("rep", ["sev"], f"""
 
 @query("spl_04_repeated_stratified", sql("rep", "SELECT * FROM rep"))
 def spl_04(spark, d):
-    return splits.repeated_stratified(b.sev(spark, d).drop("severity"), "class", ID, SEEDS)
+    who = b.table(spark, d, "customer").select(F.col("c_custkey").alias(ID), F.col("c_mktsegment").alias("class"))
+    return splits.repeated_stratified(who, "class", ID, SEEDS)
 
 
 define_cte("blk", ["sev"], """

@@ -38,7 +38,9 @@ def persistent_alarm_stream(stream: DataFrame, threshold: float, k: int, event_t
 
     `stream` has the id, an event-time column, `t` (seconds) and `score`.  A micro-batch is put in
     event-time order per entity; rows older than the entity's last seen row are dropped and counted.
-    State is four numbers per entity; a missing or infinite score breaks the run.
+    State is four numbers per entity; a missing or infinite score breaks the run.  An entity's
+    rows of one micro-batch are ordered together, so bound the batch at the source
+    (maxFilesPerTrigger, maxOffsetsPerTrigger) where one entity is very busy.
     """
     rows = stream.withWatermark(event_time, lateness).select(F.col(id).cast("long").alias("sample_id"), "t", "score", event_time)
     return rows.groupBy("sample_id").applyInPandasWithState(
