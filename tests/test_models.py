@@ -126,3 +126,22 @@ def test_streamed_alarm_equals_batch_over_several_batches(spark, tmp_path):
     batch = win.persistent_alarm(df, "score", 4.0, 2, 10.0)
     assert len(glob.glob(f"{out}/_state/commits/*")) >= 3
     assert got == {r["sample_id"]: r["first_alarm_s"] for r in batch.collect() if r["first_alarm_s"] is not None}
+
+
+def test_worker_functions_do_not_need_the_package(tmp_path):
+    """Python workers started outside the repository must still run the Arrow functions."""
+    import subprocess
+    import sys
+
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    code = (
+        f"import sys; sys.path.insert(0, {root!r})\n"
+        "from tracewell.session import build_session\n"
+        "from tracewell.operators import gram\n"
+        "from pyspark.sql import functions as F\n"
+        "s = build_session('workers', 'local[2]', **{'spark.ui.enabled': 'false', 'spark.sql.shuffle.partitions': '2'})\n"
+        "df = s.range(10).select('id', (F.col('id') % 2).alias('k'), F.array(F.col('id') * 1.0, F.lit(1.0)).alias('x'))\n"
+        "assert gram.fit_moments(df, F.col('x')).gram[0][0] == 285.0\n"
+        "assert sorted(gram.fit_moments_by(df, 'k', F.col('x'))) == [0, 1]\n"
+    )
+    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, timeout=200)

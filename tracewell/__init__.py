@@ -1 +1,8 @@
 """Fleet-scale diagnostics for short multivariate time series on Apache Spark."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions that run in Python workers travel by value, so executors need no copy of this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

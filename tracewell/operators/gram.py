@@ -115,7 +115,8 @@ def ledoit_wolf(m: Moments) -> ShrunkCovariance:
     beta = min((m.quartic / m.n - norm) / (p * m.n), delta)
     lam = 0.0 if delta <= 0 else max(beta, 0.0) / delta
     cov = (1 - lam) * s + lam * mu * np.eye(p)
-    return ShrunkCovariance(cov, np.linalg.inv(cov), lam)
+    # two centred rows give no shrinkage and a singular matrix, hence the pseudo-inverse
+    return ShrunkCovariance(cov, np.linalg.pinv(cov, hermitian=True), lam)
 
 
 def principal_axes(m: Moments, share: float = 0.95) -> np.ndarray:
