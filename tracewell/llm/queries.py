@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tracewell.llm import jaccard_join
+from tracewell.llm import jaccard_join, line_dedup, packing, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -20,4 +21,37 @@ def op1_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
     return jaccard_join.near_duplicates(_table(spark, d, "documents").select("doc_id", "text"))
 
 
-QUERIES |= {f.__name__: f for f in (op1_jaccard_join,)}
+def op3_lexical_packing(spark: SparkSession, d: str) -> DataFrame:
+    return packing.pack(_table(spark, d, "documents").select("doc_id", "text"), end_id=1)
+
+
+def op6_token_files(spark: SparkSession, d: str) -> DataFrame:
+    folder = token_files.new_folder(spark)
+    token_files.write(_table(spark, d, "documents").select("doc_id", "text"), folder, end_id=2)
+    return token_files.read(spark, folder)
+
+
+def op10_line_dedup(spark: SparkSession, d: str) -> DataFrame:
+    out = line_dedup.deduplicate_lines(_table(spark, d, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
+
+
+ORACLES["op10_line_dedup"] = r"""
+WITH lines AS (
+  SELECT doc_id, unnest(parts) AS line, generate_subscripts(parts, 1) AS i
+  FROM (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS parts FROM documents)
+), keyed AS (
+  SELECT *, translate(regexp_replace(line, '^[\x20\x09-\x0D]+|[\x20\x09-\x0D]+$', '', 'g'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS key
+  FROM lines
+), shared AS (
+  SELECT key, min(doc_id) AS owner FROM keyed WHERE length(key) >= 10 GROUP BY key HAVING count(DISTINCT doc_id) > 1
+), marked AS (
+  SELECT k.*, s.owner IS NOT NULL AND s.owner <> k.doc_id AS dropped FROM keyed k LEFT JOIN shared s ON k.key = s.key
+)
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (WHERE dropped) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (WHERE NOT dropped), '')) AS kept_sha256
+FROM marked GROUP BY doc_id
+"""
+
+
+QUERIES |= {f.__name__: f for f in (op1_jaccard_join, op3_lexical_packing, op6_token_files, op10_line_dedup)}
