@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import jaccard_join, line_dedup, packing, token_files
+from tracewell.llm import jaccard_join, line_dedup, packing, suffix_dedup, token_files
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +25,11 @@ def op3_lexical_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(_table(spark, d, "documents").select("doc_id", "text"), end_id=1)
 
 
+def op5_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
+    out = suffix_dedup.repeated_spans(_table(spark, d, "documents").select("doc_id", "text"))
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op6_token_files(spark: SparkSession, d: str) -> DataFrame:
     folder = token_files.new_folder(spark)
     token_files.write(_table(spark, d, "documents").select("doc_id", "text"), folder, end_id=2)
@@ -54,4 +59,4 @@ FROM marked GROUP BY doc_id
 """
 
 
-QUERIES |= {f.__name__: f for f in (op1_jaccard_join, op3_lexical_packing, op6_token_files, op10_line_dedup)}
+QUERIES |= {f.__name__: f for f in (op1_jaccard_join, op3_lexical_packing, op5_suffix_dedup, op6_token_files, op10_line_dedup)}
