@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import jaccard_join, line_dedup, packing, suffix_dedup, token_files
+from tracewell.llm import jaccard_join, language_id, line_dedup, packing, suffix_dedup, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -25,6 +25,16 @@ def op3_lexical_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(_table(spark, d, "documents").select("doc_id", "text"), end_id=1)
 
 
+def _remainder(m: int):
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % m
+
+
+def op4_language_id(spark: SparkSession, d: str) -> DataFrame:
+    docs = _table(spark, d, "documents").select("doc_id", "text", "lang")
+    ranked = language_id.learn(docs.where(_remainder(4) != 2))
+    return language_id.identify(docs.select("doc_id", (_remainder(4) == 2).alias("held_out"), "text"), ranked)
+
+
 def op5_suffix_dedup(spark: SparkSession, d: str) -> DataFrame:
     out = suffix_dedup.repeated_spans(_table(spark, d, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
@@ -36,6 +46,18 @@ def op6_token_files(spark: SparkSession, d: str) -> DataFrame:
     return token_files.read(spark, folder)
 
 
+def op8_toxicity(spark: SparkSession, d: str) -> DataFrame:
+    docs = _table(spark, d, "documents").select("doc_id", "text")
+    labels = _table(spark, d, "labels").where(_remainder(3) != 1).select("doc_id", "toxic").where("toxic is not null")
+    learned = docs.where(_remainder(3) != 1).join(labels, "doc_id")
+    insults = toxicity.learn_insults(learned)
+    weighed = toxicity.clause_weights(docs, insults)
+    rates = toxicity.calibrate(weighed.join(labels, "doc_id"))
+    score = toxicity.probability(F.col("clause_weight"), rates)
+    out = weighed.select("doc_id", (_remainder(3) == 1).alias("held_out"), score.alias("score"))
+    return out.withColumn("predicted", F.when(F.col("score") >= 0.7, 1).otherwise(0))
+
+
 def op10_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     out = line_dedup.deduplicate_lines(_table(spark, d, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -59,4 +81,4 @@ FROM marked GROUP BY doc_id
 """
 
 
-QUERIES |= {f.__name__: f for f in (op1_jaccard_join, op3_lexical_packing, op5_suffix_dedup, op6_token_files, op10_line_dedup)}
+QUERIES |= {f.__name__: f for f in (op1_jaccard_join, op3_lexical_packing, op4_language_id, op5_suffix_dedup, op6_token_files, op8_toxicity, op10_line_dedup)}
