@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.llm import jaccard_join, language_id, line_dedup, packing, suffix_dedup, token_files, toxicity
+from tracewell.llm import decontaminate, jaccard_join, language_id, line_dedup, packing, quality, sharding, suffix_dedup, token_files, toxicity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,6 +21,10 @@ def op1_jaccard_join(spark: SparkSession, d: str) -> DataFrame:
     return jaccard_join.near_duplicates(_table(spark, d, "documents").select("doc_id", "text"))
 
 
+def op2_decontamination(spark: SparkSession, d: str) -> DataFrame:
+    return decontaminate.leaks(_table(spark, d, "documents"), _table(spark, d, "benchmark"))
+
+
 def op3_lexical_packing(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack(_table(spark, d, "documents").select("doc_id", "text"), end_id=1)
 
@@ -46,6 +50,13 @@ def op6_token_files(spark: SparkSession, d: str) -> DataFrame:
     return token_files.read(spark, folder)
 
 
+def op7_sharding(spark: SparkSession, d: str) -> DataFrame:
+    docs = _table(spark, d, "documents").select("doc_id", "text")
+    out = sharding.shard_by_bytes(docs, 8)
+    crc = F.coalesce(F.crc32(F.col("text").cast("binary")), F.lit(0).cast("long"))
+    return out.select("doc_id", "size", crc.alias("text_crc32"), F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
 def op8_toxicity(spark: SparkSession, d: str) -> DataFrame:
     docs = _table(spark, d, "documents").select("doc_id", "text")
     labels = _table(spark, d, "labels").where(_remainder(3) != 1).select("doc_id", "toxic").where("toxic is not null")
@@ -58,6 +69,17 @@ def op8_toxicity(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("predicted", F.when(F.col("score") >= 0.7, 1).otherwise(0))
 
 
+def trusted(spark: SparkSession, d: str) -> DataFrame:
+    """Documents labelled as good."""
+    good = _table(spark, d, "labels").where("quality = 1").select("doc_id")
+    return _table(spark, d, "documents").select("doc_id", "text").join(good, "doc_id", "left_semi")
+
+
+def op9_quality_rules(spark: SparkSession, d: str) -> DataFrame:
+    docs = _table(spark, d, "documents").select("doc_id", "text")
+    return quality.judge(docs, quality.fit(docs, trusted(spark, d))).drop("text")
+
+
 def op10_line_dedup(spark: SparkSession, d: str) -> DataFrame:
     out = line_dedup.deduplicate_lines(_table(spark, d, "documents").select("doc_id", "text"))
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept_text").cast("binary"), 256).alias("kept_sha256"))
@@ -81,4 +103,4 @@ FROM marked GROUP BY doc_id
 """
 
 
-QUERIES |= {f.__name__: f for f in (op1_jaccard_join, op3_lexical_packing, op4_language_id, op5_suffix_dedup, op6_token_files, op8_toxicity, op10_line_dedup)}
+QUERIES |= {f.__name__: f for f in (op1_jaccard_join, op2_decontamination, op3_lexical_packing, op4_language_id, op5_suffix_dedup, op6_token_files, op7_sharding, op8_toxicity, op9_quality_rules, op10_line_dedup)}
