@@ -51,7 +51,7 @@ _RESULT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256
 
 
 def string_names(data: np.ndarray, at: np.ndarray, length) -> np.ndarray:
-    """Hashes of `length` bytes (a number, or one for each) from the positions `at`."""
+    """Hashes of `length` bytes (a number, or one for each) from the ascending positions `at`."""
     out = np.empty(len(at), np.uint64)
     length = np.broadcast_to(np.asarray(length, np.int64), at.shape)
     home = at // _SEGMENT
@@ -109,7 +109,7 @@ class Block:
         self.repeated, keys = self.sample[hit], keys[hit]
         if 1 not in bits:
             order = np.argsort(keys, kind="stable")
-            return keys[order], self.contexts(self.repeated[order])
+            return keys[order], self.contexts(self.repeated)[order]
         self.settled = _answer(keys, bits[1], ranges)
         self.left = self.remaining(self.repeated[~self.settled])
         return np.sort(string_names(self.data, self.left, LENGTH)), None
