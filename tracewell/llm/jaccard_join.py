@@ -1,10 +1,11 @@
 """Near duplicates: Jaccard self-join of word-shingle sets with adaptive multi-match prefixes.
 
-A set's tokens get one order for the whole corpus: ordinary tokens by hash, then frequent ones by
-document frequency.  If two sets of Jaccard similarity >= num/den overlap, their prefixes of
-n - ceil(n * num / den) + l tokens share at least l tokens, for every l.  Each document picks the l
-of lowest estimated cost (postings to read plus candidates to verify, from the document frequencies
-of its own prefix tokens), up to `MAX_MATCHES`; a pair has to share the smaller l of its two documents.
+A set's tokens get one order for the whole corpus: ordinary tokens by falling length and hash, then frequent
+ones by document frequency.  Two sets of n and m tokens that link share at least t = ceil((n + m) * num / (num + den))
+of them, so their prefixes of n - t + l and m - t + l tokens share at least l, for every l.  Each document indexes
+its prefix of n - ceil(n * num / den) + l tokens for the l of lowest estimated cost (postings to read plus candidates
+to verify, from the document frequencies of its own prefix tokens), up to `MAX_MATCHES`.  A pair of documents uses
+the largest l that both prefixes allow and is verified only if it shares that many prefix tokens.
 
 Posting lists of more than `SHORT_LIST` documents (groups of copies, common passages) are never turned
 into all pairs.  First every document is compared with the list's smallest document of like size; the
@@ -49,6 +50,10 @@ class Similarity(NamedTuple):
         """Smallest overlap that a set of n tokens needs with any set it links to."""
         return -(-n * self.num // self.den)
 
+    def overlap(self, n, m):
+        """Smallest overlap of two sets of n and m tokens that link."""
+        return -(-(n + m) * self.num // (self.num + self.den))
+
 
 _COUNT = "r long, kind int, a long, b long, keys binary"
 _LIST = "kind int, a long, b long, c int, d int, e int"
@@ -62,7 +67,7 @@ def _count_map(batches: Iterator[pa.RecordBatch], ranges: int, width: int) -> It
             continue
         ids = batch.column(0).to_numpy(zero_copy_only=False)
         sizes = np.array([len(s) for s in sets], np.int64)
-        keys = np.sort(np.concatenate(sets))
+        keys = np.sort(np.concatenate(sets) << np.uint64(8))
         r, cut = range_slices(keys, ranges)
         blobs = [pack_sorted(keys[i:j] >> np.uint64(16)) for i, j in zip(cut[:-1], cut[1:], strict=True)] if len(keys) else []
         n, m = len(blobs), len(ids)
@@ -89,13 +94,13 @@ def _count_reduce(table: pa.Table) -> pa.Table:
     return pa.table([pa.array(np.zeros(hot.sum(), np.int32)), pa.array(keys[first][hot].astype(np.int64)), pa.array(n[hot])], names=names)
 
 
-def pick_prefix(tokens: np.ndarray, keys: np.ndarray, freq: np.ndarray, sim: Similarity) -> tuple[np.ndarray, int, int]:
-    """Prefix tokens in corpus order, the number of matches asked for, and how many tokens are in every prefix."""
+def pick_prefix(tokens: np.ndarray, keys: np.ndarray, freq: np.ndarray, sim: Similarity) -> np.ndarray:
+    """Prefix tokens in corpus order."""
     n = len(tokens)
     extra = n - sim.least(n)
     df = np.zeros(n, np.int64)
     if len(keys):
-        k = tokens >> np.uint64(16)
+        k = (tokens << np.uint64(8)) >> np.uint64(16)
         at = np.minimum(np.searchsorted(keys, k), len(keys) - 1)
         df = np.where(keys[at] == k, freq[at], 0)
         if df.any():
@@ -105,33 +110,33 @@ def pick_prefix(tokens: np.ndarray, keys: np.ndarray, freq: np.ndarray, sim: Sim
     cost = np.cumsum(np.maximum(df[: extra + most], 1))[extra:]
     ell = np.arange(1, most + 1)
     best = int(np.argmin(cost * (1.0 + VERIFY_COST / ell))) + 1
-    return tokens[: extra + best], best, extra
+    return tokens[: extra + best]
 
 
 def _list_map(batches: Iterator[pa.RecordBatch], ranges: int, sim: Similarity, hot) -> Iterator[pa.RecordBatch]:
     keys, freq = hot.value
     for batch in batches:
         ids = batch.column(0).to_numpy(zero_copy_only=False)
-        toks, docs, sizes, level, ells = [], [], [], [], []
+        toks, docs, sizes, place, length = [], [], [], [], []
         for i, s in zip(ids, shingle_sets(batch.column(1), sim.words), strict=True):
             if not len(s):
                 continue
-            p, ell, extra = pick_prefix(s, keys, freq, sim)
+            p = pick_prefix(s, keys, freq, sim)
             toks.append(p)
             docs.append(np.full(len(p), i, np.int64))
             sizes.append(np.full(len(p), len(s), np.uint32))
-            level.append(np.maximum(np.arange(1, len(p) + 1) - extra, 1).astype(np.uint8))
-            ells.append(np.full(len(p), ell, np.uint8))
+            place.append(np.arange(len(p), dtype=np.uint32))
+            length.append(np.full(len(p), len(p), np.uint32))
         if not toks:
             continue
-        t = np.concatenate(toks)
+        t = np.concatenate(toks) << np.uint64(8)
         r = (((t >> np.uint64(32)) * np.uint64(ranges)) >> np.uint64(32)).astype(np.int64)
         order = np.argsort(r, kind="stable")
         r, t = r[order], t[order]
-        d, s, v, e = (np.concatenate(x)[order] for x in (docs, sizes, level, ells))
+        d, s, v, e = (np.concatenate(x)[order] for x in (docs, sizes, place, length))
         cut = np.r_[0, np.flatnonzero(np.diff(r)) + 1, len(r)]
-        rows = [(int(r[i]), pack_plain(t[i:j] >> np.uint64(16)), pack_plain(np.diff(d[i:j], prepend=0)), pack_plain(s[i:j]), pack_plain(v[i:j] * np.uint8(16) + e[i:j])) for i, j in zip(cut[:-1], cut[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=["r", "t", "d", "s", "v"])
+        rows = [(int(r[i]), pack_plain(t[i:j] >> np.uint64(16)), pack_plain(np.diff(d[i:j], prepend=0)), pack_plain(s[i:j]), pack_plain(v[i:j]), pack_plain(e[i:j])) for i, j in zip(cut[:-1], cut[1:], strict=True)]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*rows, strict=True)], names=["r", "t", "d", "s", "v", "p"])
 
 
 def _fits(small: np.ndarray, large: np.ndarray, sim: Similarity) -> np.ndarray:
@@ -143,23 +148,23 @@ def _list_reduce(table: pa.Table, sim: Similarity) -> pa.Table:
 
     kind 0: pair a < b of short lists, c shared tokens here, d matches needed;
     kind 1: document b of a long list and its pivot a;
-    kind 2: entry of a long list: token a, document b, set size c, level d, matches e.
+    kind 2: entry of a long list: token a, document b, set size c, place in the prefix d, length of the prefix e.
     """
-    cols = [np.concatenate([unpack_plain(x.as_py(), t) for x in table.column(c)]) for c, t in (("t", np.uint64), ("s", np.uint32), ("v", np.uint8))]
+    cols = [np.concatenate([unpack_plain(x.as_py(), t) for x in table.column(c)]) for c, t in (("t", np.uint64), ("s", np.uint32), ("v", np.uint32), ("p", np.uint32))]
     d = np.concatenate([np.cumsum(unpack_plain(x.as_py(), np.int64)) for x in table.column("d")])
     order = np.lexsort((d, cols[0]))
-    (t, s, v), d = (c[order] for c in cols), d[order]
+    t, (s, at, pre), d = cols[0][order], (c[order].astype(np.int64) for c in cols[1:]), d[order]
     first = np.flatnonzero(np.r_[True, t[1:] != t[:-1]])
     size = np.diff(np.r_[first, len(t)])
-    lv, el = v >> 4, v & 15
-    at = [(first[size == m][:, None] + np.array([[i, j]])) for m in range(2, SHORT_LIST + 1) for i in range(m) for j in range(i + 1, m)]
-    at = np.concatenate(at) if at else np.empty((0, 2), np.int64)
-    x, y = at[:, 0], at[:, 1]
-    need = np.minimum(el[x], el[y])
-    ok = (d[x] != d[y]) & (np.maximum(lv[x], lv[y]) <= need) & _fits(s[x], s[y], sim)
+    two = [(first[size == m][:, None] + np.array([[i, j]])) for m in range(2, SHORT_LIST + 1) for i in range(m) for j in range(i + 1, m)]
+    two = np.concatenate(two)
+    x, y = two[:, 0], two[:, 1]
+    over = sim.overlap(s[x], s[y])
+    need = np.minimum(pre[x] - s[x], pre[y] - s[y]) + over
+    ok = (d[x] != d[y]) & (at[x] < s[x] - over + need) & (at[y] < s[y] - over + need) & _fits(s[x], s[y], sim)
     pairs = pd.DataFrame({"a": d[x[ok]], "b": d[y[ok]], "d": need[ok]}).groupby(["a", "b"], as_index=False).agg(c=("d", "size"), d=("d", "min"))
     entry = np.repeat(size > SHORT_LIST, size)
-    t, s, lv, el, d = t[entry], s[entry], lv[entry], el[entry], d[entry]
+    t, s, at, pre, d = t[entry], s[entry], at[entry], pre[entry], d[entry]
     band = np.floor(np.log(np.maximum(s, 1)) / np.log(sim.den / sim.num)).astype(np.int64)
     order = np.lexsort((d, band, t))
     to, bo, do = t[order], band[order], d[order]
@@ -167,7 +172,7 @@ def _list_reduce(table: pa.Table, sim: Similarity) -> pa.Table:
     star = pd.DataFrame({"a": do[lead][np.cumsum(lead) - 1] if len(to) else do, "b": do}).query("a != b").drop_duplicates()
     out = pd.concat([
         pairs.assign(kind=0, e=0), star.assign(kind=1, c=0, d=0, e=0),
-        pd.DataFrame({"kind": 2, "a": t.astype(np.int64), "b": d, "c": s.astype(np.int32), "d": lv.astype(np.int32), "e": el.astype(np.int32)}),
+        pd.DataFrame({"kind": 2, "a": t.astype(np.int64), "b": d, "c": s, "d": at, "e": pre}),
     ])
     schema = pa.schema([("kind", pa.int32()), ("a", pa.int64()), ("b", pa.int64()), ("c", pa.int32()), ("d", pa.int32()), ("e", pa.int32())])
     return pa.Table.from_pandas(out[schema.names], schema=schema, preserve_index=False)
@@ -220,7 +225,7 @@ def near_duplicates(docs: DataFrame, sim: Similarity = Similarity()) -> DataFram
     counted = whole.mapInArrow(lambda it: _count_map(it, ranges, sim.words), _COUNT)
     counted = stage(counted.groupBy("r").applyInArrow(_count_reduce, "kind int, a long, b long"), "shingle-counts")
     hot = _frequent(counted.where("kind = 0"))
-    lists = whole.mapInArrow(lambda it: _list_map(it, ranges, sim, hot), "r long, t binary, d binary, s binary, v binary")
+    lists = whole.mapInArrow(lambda it: _list_map(it, ranges, sim, hot), "r long, t binary, d binary, s binary, v binary, p binary")
     lists = stage(lists.groupBy("r").applyInArrow(lambda t: _list_reduce(t, sim), _LIST), "shingle-lists")
     pairs, stars, entries = (lists.where(F.col("kind") == k) for k in range(3))
     stars = stars.select("a", "b").distinct()
@@ -259,20 +264,23 @@ def _frequent(counts: DataFrame):
 def _across(pairs: DataFrame, entries: DataFrame, classes: DataFrame, sim: Similarity) -> DataFrame:
     """Candidate pairs of documents in different classes that share enough prefix tokens."""
     of = classes.withColumnRenamed("component", "k")
-    e = entries.select(F.col("a").alias("t"), F.col("b").alias("doc"), F.col("c").alias("n"), F.col("d").alias("lv"), F.col("e").alias("el"))
-    e = e.join(of, e.doc == of.id, "left").select("t", "doc", "n", "lv", "el", F.coalesce("k", "doc").alias("k"))
+    e = entries.select(F.col("a").alias("t"), F.col("b").alias("doc"), F.col("c").alias("n"), F.col("d").alias("at"), F.col("e").alias("pre"))
+    e = e.join(of, e.doc == of.id, "left").select("t", "doc", "n", "at", "pre", F.coalesce("k", "doc").alias("k"))
     per = e.groupBy("t", "k").agg(F.count(F.lit(1)).alias("m"))
     main = per.groupBy("t").agg(F.max_by("k", F.struct("m", "k")).alias("main"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
     e = e.join(main.select("t", "main"), "t")
-    x = e.where("k <> main").select("t", *[F.col(c).alias(f"x_{c}") for c in ("doc", "n", "lv", "el", "k")])
-    y = e.select("t", (F.col("k") == F.col("main")).alias("lead"), *[F.col(c).alias(f"y_{c}") for c in ("doc", "n", "lv", "el", "k")])
-    need = F.least("x_el", "y_el")
+    x = e.where("k <> main").select("t", *[F.col(c).alias(f"x_{c}") for c in ("doc", "n", "at", "pre", "k")])
+    y = e.select("t", (F.col("k") == F.col("main")).alias("lead"), *[F.col(c).alias(f"y_{c}") for c in ("doc", "n", "at", "pre", "k")])
+    over = F.ceil((F.col("x_n") + F.col("y_n")) * F.lit(sim.num) / F.lit(sim.num + sim.den))
+    need = (F.least(F.col("x_pre") - F.col("x_n"), F.col("y_pre") - F.col("y_n")) + over).cast("int")
     both = x.join(y, "t").where(
-        (F.col("x_k") != F.col("y_k")) & (F.col("lead") | (F.col("x_doc") < F.col("y_doc"))) & (F.greatest("x_lv", "y_lv") <= need)
+        (F.col("x_k") != F.col("y_k")) & (F.col("lead") | (F.col("x_doc") < F.col("y_doc"))) 
+        & (F.col("x_at") < F.col("x_n") - over + need) & (F.col("y_at") < F.col("y_n") - over + need)
         & (F.least("x_n", "y_n") * sim.den >= F.greatest("x_n", "y_n") * sim.num)
     )
     both = both.groupBy(F.least("x_doc", "y_doc").alias("a"), F.greatest("x_doc", "y_doc").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min(need).alias("d"))
+    every = both.union(pairs.select("a", "b", F.col("c").cast("long"), "d"))
+    some = every.groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("d").alias("d")).where("c >= d")
     left, right = (of.select(F.col("id").alias(c), F.col("k").alias(f"k{c}")) for c in "ab")
-    short = pairs.select("a", "b", "c", "d").join(left, "a", "left").join(right, "b", "left")
-    short = short.where(F.coalesce("ka", "a") != F.coalesce("kb", "b")).select("a", "b", F.col("c").cast("long").alias("c"), "d")
-    return both.union(short).groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("d").alias("d")).where("c >= d").select("a", "b")
+    some = some.join(left, "a", "left").join(right, "b", "left")
+    return some.where(F.coalesce("ka", "a") != F.coalesce("kb", "b")).select("a", "b")

@@ -83,8 +83,16 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     return mix(h)
 
 
-def shingle_hashes(h: np.ndarray, first: np.ndarray, width: int) -> Iterator[np.ndarray]:
-    """For each text the sorted distinct hashes of its runs of `width` words; a shorter text is one run."""
+def _token(h: np.ndarray, letters: np.ndarray) -> np.ndarray:
+    return (h >> U(8)) | ((255 - np.minimum(letters, 255)).astype(U) << U(56))
+
+
+def shingle_hashes(h: np.ndarray, lens: np.ndarray, first: np.ndarray, width: int) -> Iterator[np.ndarray]:
+    """For each text the sorted distinct tokens of its runs of `width` words; a shorter text is one run.
+
+    A token is 8 bits that fall with the letters in the run and 56 bits of hash, so that runs of
+    long words, which few texts share by chance, come first.
+    """
     run = np.zeros(len(h), U)
     scale = mix(np.arange(1, width + 1, dtype=U) * U(0xD6E8FEB86659FD93)) | U(1)
     if len(h) >= width:
@@ -92,7 +100,8 @@ def shingle_hashes(h: np.ndarray, first: np.ndarray, width: int) -> Iterator[np.
         acc = np.zeros(n, U)
         for k in range(width):
             acc = mix(acc + h[k : k + n] * scale[k])
-        run[:n] = acc
+        size = np.cumsum(np.r_[0, lens])
+        run[:n] = _token(acc, size[width:] - size[:-width])
     for a, b in zip(first[:-1], first[1:], strict=True):
         if b - a >= width:
             s = np.sort(run[a : b - width + 1])
@@ -104,7 +113,7 @@ def shingle_hashes(h: np.ndarray, first: np.ndarray, width: int) -> Iterator[np.
             acc = np.full(1, b - a, U)
             for k in range(a, b):
                 acc = mix(acc + h[k : k + 1] * scale[k - a])
-            yield acc
+            yield _token(acc, lens[a:b].sum(keepdims=True))
         else:
             yield np.empty(0, U)
 
@@ -114,4 +123,4 @@ def shingle_sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
     data, off = text_buffer(column)
     for _, _, part, o in pieces(data, off):
         starts, ends, first = words(part, o)
-        yield from shingle_hashes(word_hashes(part, starts, ends), first, width)
+        yield from shingle_hashes(word_hashes(part, starts, ends), ends - starts, first, width)
