@@ -26,6 +26,7 @@ class ReferenceModel:
     shrinkage: float
     axes: np.ndarray
     thresholds: dict[str, float]
+    mean: dict[str, float]  # raw reference means, which the principal axes start from
 
     @property
     def features(self) -> list[str]:
@@ -52,9 +53,10 @@ def robust_z(center: Mapping[str, float], scale: Mapping[str, float]) -> Column:
 def score_rows(df: DataFrame, model: ReferenceModel) -> DataFrame:
     """The three scores as columns; narrow, no shuffle."""
     z = standardised(model.center, model.scale)
+    centred = standardised(model.mean, model.scale)
     return df.select(
         "*", robust_z(model.center, model.scale).alias("robust_z"),
-        F.sqrt(gram.quadratic_form(z, model.precision)).alias("mahalanobis"), gram.reconstruction_rmse(z, model.axes).alias("pca_error"),
+        F.sqrt(gram.quadratic_form(z, model.precision)).alias("mahalanobis"), gram.reconstruction_rmse(centred, model.axes).alias("pca_error"),
     )
 
 
@@ -80,11 +82,12 @@ def fit_reference(
     mean = rows.agg(*[F.avg((F.col(f) - center[f]) / scale[f]).alias(f) for f in center]).first()
     mu = np.array([mean[f] for f in center])
     axes = gram.principal_axes(gram.Moments(m.n, m.quartic, m.gram - m.n * np.outer(mu, mu)), share)
-    model = ReferenceModel(center, scale, inactive, lw.precision, lw.shrinkage, axes, {})
+    raw = {f: center[f] + mean[f] * scale[f] for f in center}
+    model = ReferenceModel(center, scale, inactive, lw.precision, lw.shrinkage, axes, {}, raw)
     long = score_rows(rows, model).unpivot([t], list(METHODS), "method", "score")
     cut = {r["method"]: r["q"] for r in quantiles(long, ["method"], "score", {"q": quantile}).collect()}
     rows.unpersist()
-    return ReferenceModel(center, scale, inactive, lw.precision, lw.shrinkage, axes, cut)
+    return ReferenceModel(center, scale, inactive, lw.precision, lw.shrinkage, axes, cut, raw)
 
 
 def evaluate_detectors(

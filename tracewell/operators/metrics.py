@@ -258,13 +258,20 @@ def rejection_by_class(samples: DataFrame, keys: Sequence[str], label: str, focu
 
 
 def parity(expected: DataFrame, actual: DataFrame, keys: Sequence[str], discrete: Sequence[str], numeric: Sequence[str], tolerance: float = 1e-9) -> DataFrame:
-    """Per row: do the discrete columns agree and how far apart are the numbers."""
+    """Per row: do the discrete columns agree and how far apart are the numbers.
+
+    Two NULLs agree; against a number a NULL fails, and then there is no `max_delta`.
+    """
     e = expected.select(*keys, F.struct(*discrete, *numeric).alias("_e"))
     a = actual.select(*keys, F.struct(*discrete, *numeric).alias("_a"))
     same = F.lit(True)
     for c in discrete:
         same = same & F.col(f"_e.{c}").eqNullSafe(F.col(f"_a.{c}"))
-    delta = F.greatest(F.lit(0.0), *[F.abs(F.col(f"_e.{c}") - F.col(f"_a.{c}")) for c in numeric])
+    apart = [F.when(F.col(f"_e.{c}").eqNullSafe(F.col(f"_a.{c}")), 0.0).otherwise(F.abs(F.col(f"_e.{c}") - F.col(f"_a.{c}"))) for c in numeric]
+    known = F.lit(True)
+    for d in apart:
+        known = known & d.isNotNull()
+    delta = F.when(known, F.greatest(F.lit(0.0), F.lit(0.0), *apart))
     both = F.col("_e").isNotNull() & F.col("_a").isNotNull()
     return e.join(a, list(keys), "full_outer").select(
         *keys, both.alias("in_both"), F.coalesce(both & same, F.lit(False)).alias("discrete_match"), F.when(both, delta).alias("max_delta"),

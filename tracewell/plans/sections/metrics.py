@@ -303,10 +303,13 @@ def met_18(spark, d):
 
 
 @query("met_19_parity", sql("traj cls", f"""
-  SELECT c.sample_id, true AS in_both, c.sample_id % 9 <> 0 AS discrete_match, {q6('CASE WHEN c.sample_id % 4 = 0 THEN 0.25 ELSE 0.0 END')} AS max_delta, c.sample_id % 9 <> 0 AND c.sample_id % 4 <> 0 AS passed FROM cls c"""))
+  SELECT c.sample_id, true AS in_both, c.sample_id % 9 <> 0 AS discrete_match, {q6('CASE WHEN c.sample_id % 35 = 0 THEN 0.0 WHEN c.sample_id % 7 = 0 THEN NULL WHEN c.sample_id % 4 = 0 THEN 0.25 ELSE 0.0 END')} AS max_delta,
+    c.sample_id % 9 <> 0 AND (c.sample_id % 35 = 0 OR c.sample_id % 7 <> 0 AND c.sample_id % 4 <> 0) AS passed FROM cls c"""))
 def met_19(spark, d):
     e = b.cls(spark, d).join(b.traj(spark, d).groupBy(ID).agg(F.sum("f_click").alias("total")), ID)
-    a = e.select(ID, F.when(F.col(ID) % 9 == 0, "changed").otherwise(F.col("class")).alias("class"), (F.col("total") + F.when(F.col(ID) % 4 == 0, 0.25).otherwise(0.0)).alias("total"))
+    moved = F.col("total") + F.when(F.col(ID) % 4 == 0, 0.25).otherwise(0.0)
+    a = e.select(ID, F.when(F.col(ID) % 9 == 0, "changed").otherwise(F.col("class")).alias("class"), F.when(F.col(ID) % 7 != 0, moved).alias("total"))
+    e = e.withColumn("total", F.when(F.col(ID) % 35 != 0, F.col("total")))
     return rounded(metrics.parity(e, a, [ID], ["class"], ["total"]))
 
 

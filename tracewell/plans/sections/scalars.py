@@ -108,12 +108,13 @@ def snk_03(spark, d):
     return sinks.diagnosis_export(rows, ID, ["row_count"], ["class"])
 
 
-@query("snk_04_manifest_check")
+@query("snk_04_manifest_check", sql("cls", "SELECT DISTINCT class, 'ok' AS status FROM cls"))
 def snk_04(spark, d):
     path = _scratch(spark, "artifacts")
     sinks.write_table(b.cls(spark, d), path, ["class"])
     made = sinks.file_manifest(spark, path, "*.parquet")
-    return sinks.verify_manifest(made, sinks.file_manifest(spark, path, "*.parquet"))
+    checked = sinks.verify_manifest(made, sinks.file_manifest(spark, path, "*.parquet"))
+    return checked.select(F.regexp_extract("file", "class=([^/]+)/", 1).alias("class"), "status").distinct()
 
 
 # ---------------------------------------------------------------- projections

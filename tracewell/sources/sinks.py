@@ -38,11 +38,11 @@ def diagnosis_export(df: DataFrame, id: str, quality: Sequence[str], diagnosis:
 
 
 def file_manifest(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
-    """Path relative to `path`, size and SHA-256 of every file below it."""
+    """Path relative to `path`, size and SHA-256 of every file below it; a file is held whole while it is hashed."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(path)
-    return files.select(
-        F.element_at(F.split("path", F.lit("/")), -1).alias("file"), "length", F.sha2("content", 256).alias("sha256")
-    )
+    root = "/" + path.split("://")[-1].removeprefix("file:").strip("/") + "/"  # listed paths spell the scheme in their own way
+    relative = F.col("path").substr(F.instr(F.col("path"), root) + len(root), F.length("path"))
+    return files.select(relative.alias("file"), "length", F.sha2("content", 256).alias("sha256"))
 
 
 def verify_manifest(expected: DataFrame, actual: DataFrame) -> DataFrame:
