@@ -69,15 +69,10 @@ def op8_toxicity(spark: SparkSession, d: str) -> DataFrame:
     return out.withColumn("predicted", F.when(F.col("score") >= 0.7, 1).otherwise(0))
 
 
-def trusted(spark: SparkSession, d: str) -> DataFrame:
-    """Documents labelled as good."""
-    good = _table(spark, d, "labels").where("quality = 1").select("doc_id")
-    return _table(spark, d, "documents").select("doc_id", "text").join(good, "doc_id", "left_semi")
-
-
 def op9_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     docs = _table(spark, d, "documents").select("doc_id", "text")
-    return quality.judge(docs, quality.fit(docs, trusted(spark, d))).drop("text")
+    good = _table(spark, d, "labels").where("quality = 1").select("doc_id", F.lit(True).alias("trusted")).distinct()
+    return quality.judge(docs, quality.fit(docs.join(good, "doc_id", "left"))).drop("text")
 
 
 def op10_line_dedup(spark: SparkSession, d: str) -> DataFrame:
