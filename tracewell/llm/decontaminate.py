@@ -11,6 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.llm.shared import stage
+
 #: Positions that each mask looks at. Both span ten words and look at seven.
 MASKS = ((0, 1, 3, 4, 6, 7, 9), (0, 1, 2, 5, 7, 8, 9))
 SPAN = 10
@@ -68,17 +70,25 @@ def leaks(docs: DataFrame, items: DataFrame) -> DataFrame:
     docs = docs.where("doc_id is not null and text is not null").select("doc_id", F.xxhash64("text").alias("mark"), "text")
     hashed = docs.select("doc_id", "mark", word_hashes(F.col("text")).alias("h"))
     hits = _exploded(hashed, ["doc_id", "mark"], spans).join(seeds, "seed")
-    hits = hits.select("doc_id", "mark", "item_id", (F.col("at") - F.col("item_at")).alias("start")).distinct()
-    rows = hits.join(items.withColumnRenamed("h", "item"), "item_id").join(docs, ["doc_id", "mark"]).withColumn("h", word_hashes(F.col("text")))
-    same = F.transform(
-        F.sequence(F.lit(0), F.col("n_words") - 1),
-        lambda k: F.when((F.col("start") + k >= 0) & (F.get("h", F.when(F.col("start") + k >= 0, F.col("start") + k)) == F.get("item", k)), 1).otherwise(0),
-    )
+    hits = stage(hits.select("doc_id", "mark", "item_id", (F.col("at") - F.col("item_at")).alias("start")).distinct(), "seed-hits")
+    rows = hits.join(items.withColumnRenamed("h", "item"), "item_id").join(docs, ["doc_id", "mark"])
+    part = F.slice(word_hashes(F.col("text")), F.greatest(F.col("start"), F.lit(0)) + 1, F.col("n_words"))
+    # Staged, so that no lambda below works a text's words out again for each of them.
+    rows = stage(rows.select("doc_id", "item_id", "start", "n_words", "item", part.alias("part")), "overlaps")
+
+    def same(k: Column) -> Column:
+        at = k + F.least(F.col("start"), F.lit(0))
+        return F.when((at >= 0) & (F.get("part", F.when(at >= 0, at)) == F.get("item", k)), 1).otherwise(0)
+
     width = F.least(F.lit(OVERLAP), F.col("n_words"))
-    rows = rows.select("doc_id", "item_id", "start", "n_words", same.alias("same"), width.alias("width"))
-    best = F.array_max(F.transform(F.sequence(F.lit(0), F.col("n_words") - F.col("width")), lambda a: F.aggregate(F.slice("same", a + 1, F.col("width")), F.lit(0), lambda x, y: x + y)))
-    n_same = F.aggregate("same", F.lit(0), lambda x, y: x + y)
-    found = rows.where(100 * best >= SAME * F.col("width")).select("doc_id", "item_id", n_same.alias("n_same"), "n_words", "start")
-    found = found.where((F.col("n_words") >= SPAN) | (F.col("n_same") == F.col("n_words")))
+    zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("best"), F.lit(0).alias("all"))
+
+    def slide(a: Column, k: Column) -> Column:
+        now = a["now"] + same(k) - F.when(k >= width, same(k - width)).otherwise(0)
+        return F.struct(now.alias("now"), F.greatest(a["best"], now).alias("best"), (a["all"] + same(k)).alias("all"))
+
+    found = rows.select("doc_id", "item_id", "start", "n_words", width.alias("width"), F.aggregate(F.sequence(F.lit(0), F.col("n_words") - 1), zero, slide).alias("x"))
+    found = found.select("doc_id", "item_id", "start", "n_words", "width", F.col("x.best").alias("best"), F.col("x.all").alias("n_same"))
+    found = found.where((100 * F.col("best") >= SAME * F.col("width")) & ((F.col("n_words") >= SPAN) | (F.col("n_same") == F.col("n_words"))))
     top = found.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_same", (-F.col("start")).alias("back"), "n_words")).alias("x"))
     return top.select("doc_id", "item_id", F.col("x.n_same").cast("long").alias("n_same"), F.col("x.n_words").cast("long").alias("n_words"), (-F.col("x.back")).cast("long").alias("start_word"))
