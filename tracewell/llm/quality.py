@@ -82,6 +82,7 @@ def judge(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
 
     A null or empty text has no words: it fails the base rules.  Rows are judged one by one, so copies and repeated
     rows get the same verdict.  Columns of `docs` with these names are replaced.  An empty table gives no rows.
+    Write the result before filtering by it: the optimizer would move the filter into the expressions over words.
     """
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "ratio", "kept"]
     docs = docs.drop(*made)
