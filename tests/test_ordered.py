@@ -116,3 +116,15 @@ def test_null_keys_are_kept(spark):
     df = spark.createDataFrame([(None, 1.0), (None, 2.0), ("a", 1.0)], "k string, t double")
     out = ordered.row_numbers(ordered.time_bucket(df, "t", 1.0), ["k"], ["t"])
     assert out.count() == 3
+
+
+def test_large_keys_are_cut_beyond_the_sketch(spark, monkeypatch):
+    monkeypatch.setattr("tracewell.operators.quantiles.ROWS_PER_STEP", 7)
+    values = [float(v) for v in np.random.default_rng(3).integers(-50, 50, 900)] + [float("inf"), float("-inf"), 0.25]
+    df = spark.createDataFrame([("k", v) for v in values] + [("one", 2.0), ("none", None)], "k string, v double")
+    got = {r["k"]: r for r in order_statistics(df, ["k"], "v", {"a": F.lit(0), "b": F.floor(F.col("n") / 3), "c": F.col("n") - 1}, cells=8).collect()}
+    s = sorted(values)
+    assert (got["k"]["a"], got["k"]["b"], got["k"]["c"], got["one"]["b"]) == (s[0], s[len(s) // 3], s[-1], 2.0)
+    placed = ordered.quantile_bucket(df, ["k"], "v", rows_per_bucket=5, side=2).where("k = 'k'")
+    spans = placed.groupBy("_bucket").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("_bucket").collect()
+    assert len(spans) > 4 and all(a["hi"] < b["lo"] for a, b in zip(spans[:-1], spans[1:], strict=True))

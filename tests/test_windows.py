@@ -60,9 +60,7 @@ def test_baseline_scale_below_floor_is_missing(spark):
     assert {r["feature"]: r["scale"] for r in agg.baseline_scale(df).collect()} == {"f": None, "g": pytest.approx(1.0)}
 
 
-@pytest.mark.parametrize("small", [10**6, 0])
-def test_interpolation_inside_the_range_only(spark, monkeypatch, small):
-    monkeypatch.setattr(align, "SMALL_ROWS", small)  # 0 forces the salted join
+def test_interpolation_inside_the_range_only(spark):
     ref = spark.createDataFrame([(0.0, 0.0), (4.0, 8.0), (5.0, 0.0)], "t double, f double")
     df = spark.createDataFrame([(1, x, 1.0) for x in (-1.0, 0.0, 1.0, 4.0, 4.5, 5.0, 6.0)], "sample_id long, t double, f double")
     got = {r["t"]: r["f_ref"] for r in align.interpolate_reference(df, ref, ["f"], 1.0).collect()}

@@ -53,7 +53,7 @@ def padded_id(prefix: str, n: Column, width: int = 3) -> Column:
 
 
 def strip_padding(c: Column, prefix: str) -> Column:
-    return F.regexp_replace(c, f"^{prefix}0+", prefix)
+    return F.regexp_replace(c, f"^{prefix}0+(?=[0-9])", prefix)  # a zero id keeps one digit
 
 
 def base_variable(c: Column) -> Column:

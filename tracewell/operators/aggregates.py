@@ -47,18 +47,14 @@ def fit_scales(scales: DataFrame, value: str = "scale", feature: str = "feature"
     return {r[feature]: r[value] for r in scales.select(feature, value).collect()}
 
 
-def describe(df: DataFrame, keys: Sequence[str], value: str, prefix: str = "", large: bool = False) -> DataFrame:
-    """n, mean, std (0 for one value), median, min, max and the normal 95 % interval.
-
-    `large` switches the median to the distributed order statistic.
-    """
+def describe(df: DataFrame, keys: Sequence[str], value: str, prefix: str = "") -> DataFrame:
+    """n, mean, std (0 for one value), median, min, max and the normal 95 % interval, for groups of any size."""
     v = F.when(~F.isnan(F.col(value).cast("double")), F.col(value).cast("double"))
     out = df.groupBy(*keys).agg(
         F.count(v).alias("n"), F.avg(v).alias("mean"), F.stddev_samp(v).alias("_s"),
-        F.min(v).alias("min"), F.max(v).alias("max"), *([] if large else [F.median(v).alias("median")]),
+        F.min(v).alias("min"), F.max(v).alias("max"),
     )
-    if large:
-        out = attach(out, medians(df, keys, value, "median"), keys, "left")
+    out = attach(out, medians(df, keys, value, "median"), keys, "left")
     out = out.withColumn("std", F.when(F.col("n") > 1, F.col("_s")).when(F.col("n") == 1, F.lit(0.0)))
     margin = F.when(F.col("n") > 1, 1.96 * F.col("std") / F.sqrt("n")).otherwise(F.lit(0.0))
     names = ["n", "mean", "std", "median", "min", "max", "ci95_low", "ci95_high"]

@@ -11,21 +11,18 @@ from tracewell.operators import ordered
 from tracewell.operators.ordered import BUCKET, attach
 
 
-SMALL_ROWS = 200_000
 SALTS = 16
 
 
-def _equi_with_reference(df: DataFrame, side: DataFrame, on: Sequence[str]) -> DataFrame:
+def _equi_with_reference(df: DataFrame, side: DataFrame, on: Sequence[str], salts: int = SALTS) -> DataFrame:
     """Join many trajectories with a reference on (time-like) keys.
 
-    Few distinct times carry all rows, so the size of the reference is measured first: up to
-    SMALL_ROWS rows it is broadcast; beyond that it is copied once per salt and the rows of
-    one time are spread over the salts.
+    Few distinct times carry all rows, so the rows of one time are spread over `salts` and the reference is
+    copied once per salt.  The plan is the same for every size; whether a side is broadcast is left to
+    the planner, which goes by bytes.
     """
-    if side.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
-        return df.join(F.broadcast(side), list(on))
-    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(SALTS)).cast("int"))
-    copies = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    salted = df.withColumn("_salt", F.pmod(F.xxhash64(*df.columns), F.lit(salts)).cast("int"))
+    copies = side.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
     return salted.join(copies, [*on, "_salt"]).drop("_salt")
 
 

@@ -94,7 +94,7 @@ class Bundle:
     tiers: dict
 
 
-def fit_bundle(train: DataFrame, calibration: DataFrame, label: str, labels: Sequence, tiers: Mapping, alpha: float = 0.1, quantile: float = 0.95, iterations: int = 50) -> Bundle:
+def fit_bundle(train: DataFrame, calibration: DataFrame, label: str, labels: Sequence, tiers: Mapping, alpha: float = 0.1, quantile: float = 0.95, iterations: int = 100) -> Bundle:
     """Classifier and distances from train rows, set cutoff and distance limit from calibration rows."""
     train, calibration = train.persist(), calibration.persist()  # feature rows, read by several fits
     model = learn.fit_logistic(train, label, labels, iterations=iterations)

@@ -58,6 +58,9 @@ class Classifier:
         return out.withColumn(guess, argmax_label(F.col(probs), list(self.labels)))
 
 
+MAX_DEPTH = 30  # the deepest trees that MLlib grows; forests are meant to grow until their leaves are small
+
+
 def _scaled(stage) -> Pipeline:
     scaler = StandardScaler(inputCol=FEATURES, outputCol="_z", withMean=True, withStd=True)
     return Pipeline(stages=[scaler, stage])
@@ -76,9 +79,9 @@ def fit_logistic(train: DataFrame, label: str, labels: Sequence, c: float = 1.0,
     return Classifier(tuple(labels), (model,))
 
 
-def fit_forest(train: DataFrame, label: str, labels: Sequence, trees: int = 200, weight: str | None = None, seed: int = 7) -> Classifier:
+def fit_forest(train: DataFrame, label: str, labels: Sequence, trees: int = 200, weight: str | None = None, seed: int = 7, depth: int = MAX_DEPTH) -> Classifier:
     rf = RandomForestClassifier(
-        featuresCol=FEATURES, labelCol=LABEL_INDEX, numTrees=trees, minInstancesPerNode=2, featureSubsetStrategy="sqrt", seed=seed, maxDepth=10)
+        featuresCol=FEATURES, labelCol=LABEL_INDEX, numTrees=trees, minInstancesPerNode=2, featureSubsetStrategy="sqrt", seed=seed, maxDepth=depth)
     if weight:
         rf = rf.setWeightCol(weight)
     return Classifier(tuple(labels), (Pipeline(stages=[rf]).fit(indexed(train, label, labels)),))
@@ -128,9 +131,9 @@ def fit_ridge(train: DataFrame, x: str, y: str, alpha: float = 10.0) -> Ridge:
     return Ridge(mean[:-1], scale[:-1], w, float(mean[-1]))
 
 
-def fit_forest_regressor(train: DataFrame, y: str, x: str = "x", trees: int = 300, seed: int = 7) -> PipelineModel:
+def fit_forest_regressor(train: DataFrame, y: str, x: str = "x", trees: int = 300, seed: int = 7, depth: int = MAX_DEPTH) -> PipelineModel:
     rows = train.withColumn(FEATURES, array_to_vector(F.col(x)))
-    rf = RandomForestRegressor(featuresCol=FEATURES, labelCol=y, numTrees=trees, minInstancesPerNode=2, featureSubsetStrategy="0.7", seed=seed, maxDepth=10)
+    rf = RandomForestRegressor(featuresCol=FEATURES, labelCol=y, numTrees=trees, minInstancesPerNode=2, featureSubsetStrategy="0.7", seed=seed, maxDepth=depth)
     return Pipeline(stages=[rf]).fit(rows)
 
 

@@ -54,39 +54,54 @@ def even_shares(n: int) -> Column:
     return F.expr(f"cast(split('{text}', ',') as array<double>)")
 
 
+def value_slot(v: Column, low: Column, high: Column, parts: Column) -> Column:
+    """Which of `parts` equal steps from low to high a value lies in; never falls with the value, 0 below, parts - 1 above."""
+    step = F.floor((v - low) / F.nullif(high - low, F.lit(0.0)) * parts)
+    return F.when(v >= high, parts - 1).when(v <= low, F.lit(0)).otherwise(F.least(F.greatest(step, F.lit(0)), parts - 1)).cast("long")
+
+
 def quantile_bucket(
     df: DataFrame, keys: Sequence[str], value: str, rows_per_bucket: int = 10_000, side: int = 32, out: str = BUCKET
 ) -> DataFrame:
     """Equi-depth bucket of a numeric column within `keys`; exact order, approximate size.
 
-    A key gets about n / rows_per_bucket buckets, at most side * side, so small keys stay in
-    one bucket and a key with a large share of all rows is cut into many.  A bucket is found
-    in two steps of `side` comparisons each.
+    A key gets about n / rows_per_bucket buckets, so small keys stay in one bucket and a key with a
+    large share of all rows is cut into many.  A sketch gives the bounds of up to side * side of them, found
+    in two steps of `side` comparisons each; where a key needs more, each of these is cut into
+    equal steps of the value.
     """
     if not keys:
         return quantile_bucket(df.withColumn("_all", F.lit(1)), ["_all"], value, rows_per_bucket, side, out).drop("_all")
     most = side * side
     v = F.col(value).cast("double")
-    want = F.least(F.lit(most), F.ceil(F.col("_n") / F.lit(rows_per_bucket)))
-    step = F.greatest(F.lit(1), F.ceil(F.lit(most) / F.greatest(want, F.lit(1))))
+    want = F.greatest(F.ceil(F.col("_n") / F.lit(rows_per_bucket)), F.lit(1))
+    step = F.greatest(F.lit(1), F.ceil(F.lit(most) / want))
     bounds = (
-        df.groupBy(*keys).agg(F.percentile_approx(v, even_shares(most), most * 10).alias("_b"), F.count(F.lit(1)).alias("_n"))
+        df.groupBy(*keys).agg(
+            F.percentile_approx(v, even_shares(most), most * 10).alias("_b"), F.count(F.lit(1)).alias("_n"),
+            F.min(v).alias("_min"), F.max(v).alias("_max"),
+        )
+        .withColumn("_parts", F.ceil(want / F.lit(most)))
         .withColumn("_step", step)
         .withColumn("_b", F.filter("_b", lambda b, i: (i + 1) % F.col("_step") == 0))
         .withColumn("_coarse", F.filter("_b", lambda b, i: i % side == side - 1))
-        .select(*keys, "_b", "_coarse")
+        .select(*keys, "_b", "_coarse", "_parts", "_min", "_max")
     )
     passed = F.size(F.filter("_coarse", lambda b: b < v))
     fine = F.size(F.filter(F.slice("_b", passed * side + 1, side), lambda b: b < v))
+    near, parts = F.col("_near"), F.col("_parts")
+    low = F.coalesce(F.when(near > 0, F.get("_b", near - 1)), F.col("_min"))
+    high = F.coalesce(F.get("_b", near), F.col("_max"))
     return (
         attach(df, bounds, keys, small=list(keys) == ["_all"])
-        .withColumn(out, F.coalesce(passed * side + fine, F.lit(-1)).cast("long"))
-        .drop("_b", "_coarse")
+        .withColumn("_near", (passed * side + fine).cast("int"))
+        .withColumn(out, F.coalesce(near * parts + value_slot(v, low, high, parts), F.lit(-1)).cast("long"))
+        .drop("_b", "_coarse", "_parts", "_min", "_max", "_near")
     )
 
 
-def hash_bucket(df: DataFrame, hex_digest: str, digits: int = 2, out: str = BUCKET) -> DataFrame:
-    """Leading hex digits of a digest: uniform and monotone in the digest's order."""
+def hash_bucket(df: DataFrame, hex_digest: str, digits: int = 4, out: str = BUCKET) -> DataFrame:
+    """Leading hex digits of a digest: uniform and monotone in the digest's order; each digit more makes 16 times the buckets."""
     return df.withColumn(out, F.conv(F.substring(hex_digest, 1, digits), 16, 10).cast("long"))
 
 

@@ -9,28 +9,31 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.operators.ordered import attach, even_shares, quantile_bucket, running_sum
+from tracewell.operators.ordered import BUCKET, attach, even_shares, quantile_bucket, running_sum, value_slot
 
 CELLS = 1024  # grid of the sketch; its rank error is a tenth of one cell
+ROWS_PER_STEP = 1 << 22  # rows of a key for each step that a bracket is cut into
 
 
 def order_statistics(df: DataFrame, keys: Sequence[str], value: str, ranks: Mapping[str, Column], cells: int = CELLS) -> DataFrame:
     """Per key: `n` and, for each name, the value at a zero-based rank given in terms of `n`.
 
     Rank expressions may use the column `n` (non-null, non-NaN values of the key).  The
-    bracket is one grid cell wider than needed on both sides; should a rank still fall
-    outside of it, the job fails instead of returning a wrong value.
+    bracket is one grid cell wider than needed on both sides, ten times the rank error that the sketch
+    guarantees at any size; the check at the end fails the job instead of returning a wrong value.
+    A large key's bracket is cut into steps of the value, so that no task sorts it alone.
     """
-    keyed = df if keys else df.withColumn("_all", F.lit(1))
-    keys = list(keys) or ["_all"]
+    keyed = df if keys else df.withColumn("_every", F.lit(1))
+    keys = list(keys) or ["_every"]
     names = list(ranks)
     v = F.col("_v")
     clean = keyed.select(*keys, F.col(value).cast("double").alias("_v")).where(v.isNotNull() & ~F.isnan(v))
     grid = clean.groupBy(*keys).agg(
-        F.percentile_approx(v, even_shares(cells), cells * 10).alias("_g"), F.count(F.lit(1)).alias("n")
+        F.percentile_approx(v, even_shares(cells), cells * 10).alias("_g"), F.count(F.lit(1)).alias("n"),
+        F.min(v).alias("_min"), F.max(v).alias("_max"),
     )
     at = lambda i: F.get("_g", i.cast("int") - 1)
     cols = []
@@ -40,31 +43,34 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str, ranks: Mapp
         low, high = F.floor(place) - 1, F.ceil(place) + 1
         cols += [
             k.alias(f"_k{j}"),
-            F.when(low >= 1, at(low)).otherwise(F.lit(float("-inf"))).alias(f"_lo{j}"),
-            F.when(high <= cells - 1, at(high)).otherwise(F.lit(float("inf"))).alias(f"_hi{j}"),
+            F.when(low >= 1, at(low)).otherwise(F.col("_min")).alias(f"_lo{j}"),
+            F.when(high <= cells - 1, at(high)).otherwise(F.col("_max")).alias(f"_hi{j}"),
         ]
     brackets = grid.select(*keys, "n", *cols)
     inside = [(v >= F.col(f"_lo{j}")) & (v <= F.col(f"_hi{j}")) for j in range(len(names))]
     some = inside[0]
     for c in inside[1:]:
         some = some | c
-    counts = attach(clean, brackets, keys, small=keys == ["_all"]).groupBy(*keys, F.when(some, v).alias("_w")).agg(
+    steps = F.ceil(F.col("n") / F.lit(ROWS_PER_STEP))
+    # A slot never falls with the value, so neither does the sum of the slots in all brackets.
+    slot = value_slot(v, F.col("_lo0"), F.col("_hi0"), steps)
+    for j in range(1, len(names)):
+        slot = slot + value_slot(v, F.col(f"_lo{j}"), F.col(f"_hi{j}"), steps)
+    placed = attach(clean, brackets, keys, small=keys == ["_every"])
+    counts = placed.groupBy(*keys, F.when(some, v).alias("_w"), F.when(some, slot).otherwise(F.lit(-1)).alias(BUCKET)).agg(
         F.max("n").alias("n"),
         *[F.max(f"_k{j}").alias(f"_k{j}") for j in range(len(names))],
         *[F.count_if(inside[j]).alias(f"_in{j}") for j in range(len(names))],
         *[F.count_if(v < F.col(f"_lo{j}")).alias(f"_below{j}") for j in range(len(names))],
     )
-    w = Window.partitionBy(*keys)
-    upto = w.orderBy("_w").rowsBetween(Window.unboundedPreceding, 0)
-    ends = counts.select("*", *[
-        (F.sum(f"_below{j}").over(w) + F.sum(f"_in{j}").over(upto)).alias(f"_end{j}") for j in range(len(names))
-    ])
+    # All that lies below a bracket comes before it, outside values first.
+    ends = running_sum(counts, keys, ["_w"], {f"_end{j}": F.col(f"_below{j}") + F.col(f"_in{j}") for j in range(len(names))})
     found = []
     for j, name in enumerate(names):
         k, end, width = F.col(f"_k{j}"), F.col(f"_end{j}"), F.col(f"_in{j}")
         hit = F.max(F.when((width > 0) & (k < end) & (k >= end - width), F.col("_w")))
         found.append(F.coalesce(hit, F.raise_error(F.lit(f"rank {name} outside its bracket")).cast("double")).alias(name))
-    return ends.groupBy(*keys).agg(F.max("n").alias("n"), *found).drop("_all")
+    return ends.groupBy(*keys).agg(F.max("n").alias("n"), *found).drop("_every")
 
 
 def quantiles(

@@ -20,7 +20,7 @@ def _ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: str
     return ranked.withColumn("_rank", F.col("_rank") - 1).drop(BUCKET)
 
 
-def _hash_ranked(df: DataFrame, keys: Sequence[str], digest: Column, id: str, digits: int = 2) -> DataFrame:
+def _hash_ranked(df: DataFrame, keys: Sequence[str], digest: Column, id: str, digits: int = 4) -> DataFrame:
     """Zero-based rank by digest; the digest's leading digits are the buckets."""
     placed = ordered.hash_bucket(df.withColumn("_digest", digest), "_digest", digits)
     ranked = ordered.row_numbers(placed, keys, ["_digest", id], "_rank", "_n")
@@ -149,7 +149,7 @@ def overlap_audit(sets: DataFrame, id: str = "sample_id") -> DataFrame:
     """Overlap of every unordered pair of named sets, with a content hash of the shared ids.
 
     Grouping the set names per id keeps it to one shuffle; an id lists its few set names,
-    never the ids of a set.  The hash is an order-free sum of 60-bit digests.
+    never the ids of a set.  The hash is order-free and covers the whole digests.
     """
     names = sets.select("set", id).distinct()
     per_id = names.groupBy(id).agg(F.array_sort(F.collect_set("set")).alias("_s"))
@@ -165,6 +165,7 @@ def overlap_audit(sets: DataFrame, id: str = "sample_id") -> DataFrame:
 
 
 def id_set_digest(id: str) -> Column:
-    """Order-free digest of a set of ids: decimal sum of the first 13 hex digits of each SHA-256."""
-    part = F.conv(F.substring(F.sha2(F.col(id).cast("string"), 256), 1, 13), 16, 10).cast("decimal(20,0)")
-    return F.sum(part).cast("string")
+    """Order-free digest of a set of ids: decimal sums of the five limbs (13 hex digits, the last 12) of each SHA-256."""
+    sha = F.sha2(F.col(id).cast("string"), 256)
+    limbs = [F.sum(F.conv(F.substring(sha, 13 * k + 1, 13), 16, 10).cast("decimal(20,0)")).cast("string") for k in range(5)]
+    return F.concat(limbs[0], *[x for limb in limbs[1:] for x in (F.lit("-"), limb)])

@@ -48,7 +48,7 @@ def describe_sql(v, prefix=""):
 
 @query("agg_04_describe", f"SELECT l_returnflag, l_linestatus, {describe_sql('l_extendedprice')} FROM lineitem GROUP BY 1, 2")
 def agg_04(spark, d):
-    return rounded(agg.describe(b.table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice", large=True))
+    return rounded(agg.describe(b.table(spark, d, "lineitem"), ["l_returnflag", "l_linestatus"], "l_extendedprice"))
 
 
 @query("agg_05_metric_summary", sql("mode_metrics", f"""

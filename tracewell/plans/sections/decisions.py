@@ -30,7 +30,7 @@ def _diagnosis(spark, d):
     cols = [f"{f}__{s}" for f in b.FEATURES for s in win.STATS]
     rows = feats.select(ID, F.array(*cols).alias("x")).join(c, ID).withColumn("family", sc.map_label(F.col("class"), b.FAMILY))
     bundle = decide.fit_bundle(
-        rows.where("partition = 'train'"), rows.where("partition = 'validation'"), "family", ["browse", "convert", "fault"], b.TIER, iterations=20)
+        rows.where("partition = 'train'"), rows.where("partition = 'validation'"), "family", ["browse", "convert", "fault"], b.TIER)
     return decide.diagnose(t, bundle, b.FEATURES, b.INJECTION, 12.0, 1.0, 0.1, b.SEGMENT, order=["t", "dup"])
 
 
@@ -133,14 +133,14 @@ NAMES = [f"v{j // 8}__s{j % 8}" for j in range(64)]
 
 def _model(spark, d):
     f = b.feat(spark, d)
-    m = learn.fit_logistic(f.where(TRAIN), "family", FAMS, iterations=10)
+    m = learn.fit_logistic(f.where(TRAIN), "family", FAMS)
     return m, learn.fit_medians(f.where(TRAIN)), f.where(f"NOT ({TRAIN})")
 
 
 @query("exp_01_permutation_importance")
 def exp_01(spark, d):
     m, _, held = _model(spark, d)
-    return rounded(explain.permutation_importance(held, m, "family", NAMES, repeats=2))
+    return rounded(explain.permutation_importance(held, m, "family", NAMES))
 
 
 @query("exp_02_leave_one_feature_out")

@@ -17,7 +17,6 @@ from tracewell.sources import sinks
 
 LABELS = list(range(10))
 TRAIN = f"{ID} % 5 <> 0"
-SMALL = {"trees": 20}
 
 
 @query("ml_01_baselines", sql("sev", f"SELECT count(*) AS n, {q6('avg(severity)')} AS train_mean, min_by(class, -n) AS majority FROM (SELECT *, count(*) OVER (PARTITION BY class) * 100 - ascii(class) / 256.0 AS n FROM sev WHERE sample_id % 5 <> 0) z"))
@@ -35,12 +34,12 @@ def _predictions(spark, d, fit):
 
 @query("ml_02_logistic")
 def ml_02(spark, d):
-    return _predictions(spark, d, lambda t: learn.fit_logistic(t, "label", LABELS, iterations=30))
+    return _predictions(spark, d, lambda t: learn.fit_logistic(t, "label", LABELS))
 
 
 @query("ml_03_forest")
 def ml_03(spark, d):
-    return _predictions(spark, d, lambda t: learn.fit_forest(t, "label", LABELS, **SMALL))
+    return _predictions(spark, d, lambda t: learn.fit_forest(t, "label", LABELS))
 
 
 @query("ml_04_boosted")
@@ -64,7 +63,7 @@ def ml_05(spark, d):
 def ml_06(spark, d):
     rows = b.bigtraj(spark, d).select(ID, "t", F.array("f_qty", "f_disc", "f_tax").alias("x"), "f_price")
     tr, te = rows.where(TRAIN), rows.where(f"NOT ({TRAIN})")
-    rf = learn.regress(learn.fit_forest_regressor(tr, "f_price", trees=10), te, out="forest")
+    rf = learn.regress(learn.fit_forest_regressor(tr, "f_price"), te, out="forest")
     both = learn.regress(learn.fit_boosted_regressor(tr, "f_price", iterations=10), rf, out="boosted")
     long = both.unpivot(["f_price"], ["forest", "boosted"], "model", "estimate")
     return rounded(metrics.regression(long, ["model"], "f_price", "estimate"), 2)
@@ -103,7 +102,7 @@ def ml_08(spark, d):
 def ml_09(spark, d):
     f = b.feat(spark, d)
     part = F.col(ID) % 5
-    base = learn.fit_logistic(f.where(part > 1), "family", [0, 1, 2, 3, 4], iterations=20)
+    base = learn.fit_logistic(f.where(part > 1), "family", [0, 1, 2, 3, 4])
     platt = learn.fit_platt(base.predict(f.where(part == 1)), "family", [0, 1, 2, 3, 4])
     out = base.predict(f.where(part == 0)).withColumn("probs", platt.apply(F.col("probs")))
     return out.select(ID, "family", F.posexplode("probs").alias("k", "p")).withColumn("p", r6("p"))
@@ -122,7 +121,7 @@ def ml_10(spark, d):
   p AS (SELECT feature, class, count(*) AS n, count(*) FILTER (present) AS a, count(*) FILTER (changed) AS c, count(*) FILTER (low_cardinality) AS l FROM states JOIN cls USING (sample_id) GROUP BY 1, 2),
   q AS (SELECT *, a/n AS ca, (sum(a) OVER w - a)/(sum(n) OVER w - n) AS oa, c/n AS cc, (sum(c) OVER w - c)/(sum(n) OVER w - n) AS oc, l/n AS cl, (sum(l) OVER w - l)/(sum(n) OVER w - n) AS ol FROM p WINDOW w AS (PARTITION BY feature)),
   k AS (SELECT DISTINCT feature FROM q WHERE (ca >= 0.9 AND oa <= 0.1) OR (cc >= 0.9 AND oc <= 0.1) OR (cl >= 0.9 AND ol <= 0.1 AND cc >= 0.5)),
-  i AS (SELECT DISTINCT feature FROM initconf WHERE max_pairwise_mean_diff > greatest(1e-6, global_class_mean_max*1e-6) AND feature <> 'f_view')
+  i AS (SELECT DISTINCT feature FROM initconf WHERE max_pairwise_mean_diff > greatest(1e-6, global_class_mean_max*1e-6))
   SELECT 'A' AS input_group, feature FROM f UNION ALL SELECT 'B', feature FROM f WHERE feature NOT IN (SELECT feature FROM k)
   UNION ALL SELECT 'C', feature FROM f WHERE feature NOT IN (SELECT feature FROM k) AND feature NOT IN (SELECT feature FROM i)"""))
 def ml_11(spark, d):
@@ -130,7 +129,7 @@ def ml_11(spark, d):
 
     ini = initial_confounding(spark, d)
     leak = audit.leakage_screen(states(spark, d).join(b.cls(spark, d), ID), ini.select("feature", "class", "class_initial_condition_flag"))
-    groups = learn.input_groups(b.FEATURES, leak, ini.where("feature <> 'f_view'"))
+    groups = learn.input_groups(b.FEATURES, leak, ini)
     return spark.createDataFrame([(g, f) for g, fs in groups.items() for f in fs], "input_group string, feature string")
 
 
@@ -157,7 +156,7 @@ def _grid(spark, d):
     s = splits.repeated_stratified(f.select(ID, "family"), "family", ID, [1, 2]).select(ID, "split_id", "partition")
     rows = f.select(ID, "x", "family").join(s, ID)
     fams = [0, 1, 2, 3, 4]
-    models = {"logistic": lambda t: learn.fit_logistic(t, "family", fams, iterations=15), "forest": lambda t: learn.fit_forest(t, "family", fams, trees=5)}
+    models = {"logistic": lambda t: learn.fit_logistic(t, "family", fams), "forest": lambda t: learn.fit_forest(t, "family", fams)}
     return learn.evaluate_grid(rows, ["seed_1", "seed_2"], models, [ID, "family"])
 
 
@@ -170,7 +169,7 @@ def ml_13(spark, d):
 @query("ml_14_two_stage")
 def ml_14(spark, d):
     f = b.feat(spark, d)
-    top, subs = learn.fit_two_stage(f.where(TRAIN), "family", "label", lambda t, c, labels: learn.fit_logistic(t, c, labels, iterations=10))
+    top, subs = learn.fit_two_stage(f.where(TRAIN), "family", "label", lambda t, c, labels: learn.fit_logistic(t, c, labels))
     out = learn.predict_two_stage(f.where(f"NOT ({TRAIN})"), top, subs)
     return out.select(ID, "label", "family", F.col("family_pred").cast("long").alias("family_pred"), F.col("y_pred").cast("long").alias("y_pred"), "subtype_status")
 
@@ -184,7 +183,7 @@ def ml_15(spark, d):
 @query("ml_16_importance_table")
 def ml_16(spark, d):
     f = b.feat(spark, d)
-    m = learn.fit_forest(f.where(TRAIN), "label", LABELS, trees=10)
+    m = learn.fit_forest(f.where(TRAIN), "label", LABELS)
     return rounded(learn.importance_table(spark, m, [f"x{j:02d}" for j in range(64)], 10))
 
 
@@ -192,7 +191,7 @@ def ml_16(spark, d):
 def ml_17(spark, d):
     f = b.feat(spark, d)
     fams = [0, 1, 2, 3, 4]
-    m = learn.fit_logistic(f.where(TRAIN), "family", fams, iterations=10)
+    m = learn.fit_logistic(f.where(TRAIN), "family", fams)
     path = f"{shared_dir(spark)}/bundle-{uuid.uuid4().hex}"
     params = f.where(TRAIN).groupBy("family").agg(F.count(F.lit(1)).alias("train_rows"))
     learn.save_bundle(m, params, path)

@@ -169,10 +169,10 @@ def prj_07(spark, d):
     return rounded(s.select(ID, *[c.alias(n) for n, c in sc.relative_change("f_click", F.col("window_s")).items()]))
 
 
-@query("prj_08_id_format", "SELECT c_custkey, 'CASE_' || lpad(CAST(c_custkey AS VARCHAR), 7, '0') AS padded, 'CASE_' || CAST(c_custkey AS VARCHAR) AS stripped FROM customer WHERE c_custkey > 0")
+@query("prj_08_id_format", "SELECT c_custkey, 'CASE_' || lpad(CAST(c_custkey AS VARCHAR), 7, '0') AS padded, 'CASE_' || CAST(c_custkey AS VARCHAR) AS stripped FROM customer")
 def prj_08(spark, d):
     padded = sc.padded_id("CASE_", F.col("c_custkey"), 7)
-    return b.table(spark, d, "customer").where("c_custkey > 0").select("c_custkey", padded.alias("padded"), sc.strip_padding(padded, "CASE_").alias("stripped"))
+    return b.table(spark, d, "customer").select("c_custkey", padded.alias("padded"), sc.strip_padding(padded, "CASE_").alias("stripped"))
 
 
 @query("prj_09_split_feature_name", "SELECT DISTINCT p_brand || '__' || p_type AS name, p_brand AS variable, p_type AS statistic FROM part")
@@ -208,7 +208,7 @@ def prj_13(spark, d):
 
 @query("prj_14_id_set_digest", """
   SELECT c_mktsegment, CAST(sum(n) AS BIGINT) AS ids, sha256(string_agg(dg, ',' ORDER BY slot)) AS sha256 FROM (
-    SELECT c_mktsegment, substr(sha256(CAST(c_custkey AS VARCHAR)), 1, 2) AS slot, count(*) AS n, sha256(string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY CAST(c_custkey AS VARCHAR))) AS dg FROM customer GROUP BY 1, 2) z GROUP BY 1""")
+    SELECT c_mktsegment, substr(sha256(CAST(c_custkey AS VARCHAR)), 1, 4) AS slot, count(*) AS n, sha256(string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY CAST(c_custkey AS VARCHAR))) AS dg FROM customer GROUP BY 1, 2) z GROUP BY 1""")
 def prj_14(spark, d):
     return sinks.set_digest(b.table(spark, d, "customer"), "c_custkey", ["c_mktsegment"])
 

@@ -9,7 +9,7 @@ from tracewell.plans.registry import query
 from tracewell.plans.sections.joins import strict_rows
 from tracewell.plans.sections.windows import ID
 
-SEEDS = [20260921, 20260922, 20260923]
+SEEDS = list(range(20260921, 20260931))
 
 
 @query("spl_01_interleaved_mod10", sql("cls", """

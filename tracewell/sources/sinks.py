@@ -55,7 +55,7 @@ def verify_manifest(expected: DataFrame, actual: DataFrame) -> DataFrame:
     return e.join(a, "file", "full_outer").select("file", status.alias("status"))
 
 
-def set_digest(df: DataFrame, id: str, keys: Sequence[str] = (), digits: int = 2) -> DataFrame:
+def set_digest(df: DataFrame, id: str, keys: Sequence[str] = (), digits: int = 4) -> DataFrame:
     """SHA-256 of a set of ids of any size.
 
     Ids are spread over buckets by the first hex digits of their own digest; each bucket hashes its
