@@ -63,7 +63,7 @@ def ml_05(spark, d):
 def ml_06(spark, d):
     rows = b.bigtraj(spark, d).select(ID, "t", F.array("f_qty", "f_disc", "f_tax").alias("x"), "f_price")
     tr, te = rows.where(TRAIN), rows.where(f"NOT ({TRAIN})")
-    rf = learn.regress(learn.fit_forest_regressor(tr, "f_price"), te, out="forest")
+    rf = learn.regress(learn.fit_forest_regressor(tr, "f_price", trees=10), te, out="forest")
     both = learn.regress(learn.fit_boosted_regressor(tr, "f_price", iterations=10), rf, out="boosted")
     long = both.unpivot(["f_price"], ["forest", "boosted"], "model", "estimate")
     return rounded(metrics.regression(long, ["model"], "f_price", "estimate"), 2)
@@ -156,7 +156,7 @@ def _grid(spark, d):
     s = splits.repeated_stratified(f.select(ID, "family"), "family", ID, [1, 2]).select(ID, "split_id", "partition")
     rows = f.select(ID, "x", "family").join(s, ID)
     fams = [0, 1, 2, 3, 4]
-    models = {"logistic": lambda t: learn.fit_logistic(t, "family", fams), "forest": lambda t: learn.fit_forest(t, "family", fams)}
+    models = {"logistic": lambda t: learn.fit_logistic(t, "family", fams), "forest": lambda t: learn.fit_forest(t, "family", fams, trees=5)}
     return learn.evaluate_grid(rows, ["seed_1", "seed_2"], models, [ID, "family"])
 
 
