@@ -1,7 +1,7 @@
 """Lexical retrieval packing: BM25 neighbours of each seed document fill its window.
 
 Documents are cut into units of at most `UNIT` ids, the units dealt by hash over shards of about
-`SHARD_TOKENS` ids.  Each shard holds an inverted index over its units (terms are token ids; document
+`SHARD_TOKENS` ids; retrieval never leaves a shard.  Each shard holds an inverted index over its whole units (terms are token ids; document
 frequencies and the mean length are those of the whole corpus).  Whole windows of a unit are
 sequences of their own.  What is left of the units is packed: a seed's unused neighbours are
 taken in order of BM25 score and placed until the window is full; the last one is cut there, and what is
@@ -142,7 +142,7 @@ def _pack_shard(table: pa.Table, dtype: str, stats) -> pa.Table:
     seqs = [[(u, a, a + WINDOW)] for u, x in enumerate(ids) for a in range(0, len(x) - WINDOW + 1, WINDOW)]
     base = [len(x) // WINDOW * WINDOW for x in ids]
     tails = [x[b:] for x, b in zip(ids, base, strict=True)]
-    for w in pack_units(tails, Index(tails, idf, mean)) if any(len(t) for t in tails) else []:
+    for w in pack_units(tails, Index(ids, idf, mean)) if any(len(t) for t in tails) else []:
         w = [(u, a + base[u], b + base[u]) for u, a, b in w]
         seqs += [w] if sum(b - a for _, a, b in w) == WINDOW else list(_powers(w))
     rows = []
