@@ -11,6 +11,7 @@ from tracewell.plans import bindings as b
 from tracewell.plans.bindings import define_cte, sql
 from tracewell.plans.registry import q6, query, r6, rounded
 from tracewell.plans.sections.audits import initial_confounding, states
+from tracewell.plans.sections.splits import SEEDS
 from tracewell.plans.sections.windows import ID
 from tracewell.session import shared_dir
 from tracewell.sources import sinks
@@ -46,7 +47,7 @@ def ml_03(spark, d):
 def ml_04(spark, d):
     f = b.feat(spark, d)
     fams = [0, 1, 2, 3, 4]
-    m = learn.fit_boosted(f.where(TRAIN), "family", fams, iterations=5, depth=2)
+    m = learn.fit_boosted(f.where(TRAIN), "family", fams)
     return m.predict(f.where(f"NOT ({TRAIN})")).select(ID, "family", "y_pred", r6(F.array_max("probs")).alias("confidence"))
 
 
@@ -63,8 +64,8 @@ def ml_05(spark, d):
 def ml_06(spark, d):
     rows = b.bigtraj(spark, d).select(ID, "t", F.array("f_qty", "f_disc", "f_tax").alias("x"), "f_price")
     tr, te = rows.where(TRAIN), rows.where(f"NOT ({TRAIN})")
-    rf = learn.regress(learn.fit_forest_regressor(tr, "f_price", trees=10), te, out="forest")
-    both = learn.regress(learn.fit_boosted_regressor(tr, "f_price", iterations=10), rf, out="boosted")
+    rf = learn.regress(learn.fit_forest_regressor(tr, "f_price"), te, out="forest")
+    both = learn.regress(learn.fit_boosted_regressor(tr, "f_price"), rf, out="boosted")
     long = both.unpivot(["f_price"], ["forest", "boosted"], "model", "estimate")
     return rounded(metrics.regression(long, ["model"], "f_price", "estimate"), 2)
 
@@ -153,11 +154,11 @@ def ml_12(spark, d):
 
 def _grid(spark, d):
     f = b.feat(spark, d)
-    s = splits.repeated_stratified(f.select(ID, "family"), "family", ID, [1, 2]).select(ID, "split_id", "partition")
+    s = splits.repeated_stratified(f.select(ID, "family"), "family", ID, SEEDS).select(ID, "split_id", "partition")
     rows = f.select(ID, "x", "family").join(s, ID)
     fams = [0, 1, 2, 3, 4]
-    models = {"logistic": lambda t: learn.fit_logistic(t, "family", fams), "forest": lambda t: learn.fit_forest(t, "family", fams, trees=5)}
-    return learn.evaluate_grid(rows, ["seed_1", "seed_2"], models, [ID, "family"])
+    models = {"logistic": lambda t: learn.fit_logistic(t, "family", fams), "forest": lambda t: learn.fit_forest(t, "family", fams)}
+    return learn.evaluate_grid(rows, [f"seed_{k}" for k in SEEDS], models, [ID, "family"])
 
 
 @query("ml_13_evaluation_grid")
