@@ -28,14 +28,12 @@ THREATS = ("kill", "hurt", "beat", "destroy", "punish", "shoot", "stab", "strang
 TARGETS = ("you", "your", "yours", "yourself", "he", "him", "she", "her", "they", "them", "u", "ur")
 NEGATIONS = ("not", "no", "never", "nobody", "isn't", "aren't", "wasn't", "don't", "without")
 REPORTS = ("said", "says", "called", "calls", "wrote", "quoted", "quote", "reportedly", "allegedly")
-#: A learned insult stands in at least this share of the labelled toxic texts, and in MIN_TEXTS of them.
-MIN_SHARE, MIN_TEXTS = 0.02, 8
+#: A learned insult stands in at least this number of labelled toxic texts.
+MIN_TEXTS = 8
 #: Lower bound of its log-odds, at 1.96 standard errors.
 MIN_ODDS = 2.0
 #: Letters of a learned stem; of stems that start each other, the surest one stays.
 STEM = range(4, 9)
-#: Most learned words and stems, by log-odds; bounds what is sent to the tasks.
-MOST_WORDS = 2000
 #: A negation reaches this many words on.
 SCOPE = 3
 THREAT_WEIGHT = 2.0
@@ -112,7 +110,7 @@ class Grammar:
 def learn_insults(labelled: DataFrame) -> dict[str, float]:
     """Words and stems (`stem*`) that mark toxic texts and their weights (log-odds), from rows (text, toxic).
 
-    Equal texts count once.  The counts cover all labelled rows; at most `MOST_WORDS` words come back.
+    Equal texts count once.  The counts cover all labelled rows; all words and stems that are sure enough come back.
     """
     rows = labelled.where("text is not null and toxic is not null").groupBy(F.xxhash64("text").alias("h")).agg(F.max("toxic").alias("toxic"), F.first("text").alias("text"))
     n = {r["toxic"]: r["n"] for r in rows.groupBy("toxic").agg(F.count(F.lit(1)).alias("n")).collect()}
@@ -124,8 +122,8 @@ def learn_insults(labelled: DataFrame) -> dict[str, float]:
         x = counts.withColumn("b", F.col("n") - F.col("a"))
         a, b = F.col("a") + 0.5, F.col("b") + 0.5
         x = x.withColumn("odds", F.log(a / (bad + 1)) - F.log(b / (good + 1))).withColumn("low", F.col("odds") - 1.96 * F.sqrt(1 / a + 1 / b))
-        x = x.where((F.col("a") >= max(MIN_TEXTS, MIN_SHARE * bad)) & (F.col("low") > MIN_ODDS))
-        return x.orderBy(F.desc("low"), "w").limit(MOST_WORDS).select("w", "odds").collect()
+        x = x.where((F.col("a") >= MIN_TEXTS) & (F.col("low") > MIN_ODDS))
+        return x.orderBy(F.desc("low"), "w").select("w", "odds").collect()
 
     whole = marked(c)
     rest = c.where(~F.col("w").isin([*SEED_INSULTS, *(r["w"] for r in whole)]))
