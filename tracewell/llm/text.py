@@ -48,9 +48,9 @@ def pieces(data: np.ndarray, off: np.ndarray, size: int = 1 << 20) -> Iterator[t
         i = j
 
 
-def words(data: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts and ends of words (bytes that are no white space), and each text's first word."""
-    w = _WORD[data]
+def words(data: np.ndarray, off: np.ndarray, inside: np.ndarray = _WORD) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts and ends of words (runs of bytes `inside`, else those that are no white space), and each text's first word."""
+    w = inside[data]
     if not len(w):
         return np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(len(off), np.int64)
     s, e = w.copy(), w.copy()
