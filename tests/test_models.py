@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 from tracewell.operators import events, explain, gram, learn
 from tracewell.operators import windows as win
 from tracewell.sources import readers, sinks
-from tracewell.streaming import online
 
 
 @pytest.fixture(scope="module")
@@ -113,21 +112,6 @@ def test_manifest_notices_changes(spark, tmp_path):
     assert got == {"a.bin": "ok", "b.bin": "changed", "c.bin": "extra"}
 
 
-def test_streamed_alarm_equals_batch_over_several_batches(spark, tmp_path):
-    rows = [(k, float(i), float((i * 5 + k * 3) % 9)) for k in range(6) for i in range(60)]
-    df = spark.createDataFrame(rows, "sample_id long, t double, score double").withColumn("ts", F.timestamp_seconds("t"))
-    src = str(tmp_path / "in")
-    for lo in (0, 20, 40):
-        df.where((F.col("t") >= lo) & (F.col("t") < lo + 20)).coalesce(1).write.mode("append").parquet(src)
-    stream = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(src)
-    out = str(tmp_path / "out")
-    online.drain(online.persistent_alarm_stream(stream, 4.0, 2, "ts", "1 hour"), out)
-    got = {r["sample_id"]: r["first_alarm_s"] for r in spark.read.schema(online.ALARM_SCHEMA).parquet(f"{out}/data").collect()}
-    batch = win.persistent_alarm(df, "score", 4.0, 2, 10.0)
-    assert len(glob.glob(f"{out}/_state/commits/*")) >= 3
-    assert got == {r["sample_id"]: r["first_alarm_s"] for r in batch.collect() if r["first_alarm_s"] is not None}
-
-
 def test_worker_functions_do_not_need_the_package(tmp_path):
     """Python workers started outside the repository must still run the Arrow functions."""
     import subprocess

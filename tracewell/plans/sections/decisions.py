@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tracewell.functions import scalars as sc
-from tracewell.operators import align, decide, explain, gram, learn, metrics, splits
+from tracewell.operators import align, decide, explain, gram, learn, metrics, ordered, splits
 from tracewell.operators import aggregates as agg
 from tracewell.operators import anomaly as ano
 from tracewell.operators import windows as win
@@ -206,10 +206,21 @@ def exp_07(spark, d):
 # ---------------------------------------------------------------- streaming
 
 
+BATCHES = 4
+
+
 def _event_stream(spark, d):
-    schema = b.table(spark, d, "events").schema
-    src = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(d)
-    return src.withColumn("ts", F.col("ts").cast("timestamp"))
+    """The events as files that arrive one after another, each row up to a day after its time: order within and across files is mixed."""
+    path = f"{shared_dir(spark)}/arrivals-{uuid.uuid4().hex}"
+    ev = b.table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    arrival = F.unix_seconds("ts") + F.pmod(F.xxhash64("event_id"), F.lit(86_400))
+    ev = ordered.attach_row(ev.withColumn("_at", arrival), ev.agg(F.min(F.unix_seconds("ts")).alias("_a"), (F.max(F.unix_seconds("ts")) + 86_400).alias("_b")))
+    ev = ev.withColumn("_k", F.floor((F.col("_at") - F.col("_a")) * BATCHES / (F.col("_b") - F.col("_a") + 1)))
+    rows = ev.drop("_at", "_a", "_b")
+    for k in range(BATCHES):
+        rows.where(F.col("_k") == k).drop("_k").write.parquet(f"{path}/{k}")
+    src = spark.readStream.schema(rows.drop("_k").schema).option("recursiveFileLookup", True).option("maxFilesPerTrigger", 1)
+    return src.parquet(path)
 
 
 @query("str_01_online_alarm", sql("", """
@@ -222,18 +233,19 @@ def str_01(spark, d):
     s = _event_stream(spark, d).select(F.col("user_id").alias(ID), "ts", r6(b._seconds("ts"), 3).alias("t"), F.col("value").alias("score"))
     path = f"{shared_dir(spark)}/alarms-{uuid.uuid4().hex}"
     online.drain(online.persistent_alarm_stream(s, 20.0, 3, "ts", "2 days"), path)
-    return spark.read.schema(online.ALARM_SCHEMA).parquet(f"{path}/data")
+    told = spark.read.schema(online.ALARM_SCHEMA).parquet(f"{path}/data")
+    return online.current_alarms(told).select(ID, "first_alarm_s", "late_rows")
 
 
 @query("str_02_online_windowed_score", sql("", f"""
   WITH r AS (SELECT event_type, avg(value) AS center, stddev_samp(value) AS scale FROM events GROUP BY 1)
   SELECT user_id AS sample_id, CAST(date_diff('day', TIMESTAMP '2024-01-01', ts) AS BIGINT) AS day, count(*) AS n, {q6('avg((value-center)/scale)')} AS mean_score, {q6('max(abs((value-center)/scale))')} AS peak_score
-  FROM events JOIN r USING (event_type) WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= (SELECT max(ts) FROM events) - INTERVAL 1 HOUR GROUP BY 1, 2"""))
+  FROM events JOIN r USING (event_type) GROUP BY 1, 2"""))
 def str_02(spark, d):
     ref = b.table(spark, d, "events").groupBy("event_type").agg(F.avg("value").alias("center"), F.stddev_samp("value").alias("scale"))
     s = _event_stream(spark, d).select(F.col("user_id").alias(ID), "ts", "event_type", "value")
-    out = online.windowed_score_stream(s, ref, ["event_type"], "value", "ts", "1 day", "1 hour")
+    out = online.windowed_score_stream(s, ref, ["event_type"], "value", "ts", "1 day", "2 days")
     path = f"{shared_dir(spark)}/scores-{uuid.uuid4().hex}"
-    online.drain(out.select(ID, F.col("window.start").alias("start"), "n", "mean_score", "peak_score"), path)
-    got = spark.read.schema("sample_id long, start timestamp, n long, mean_score double, peak_score double").parquet(f"{path}/data")
+    online.upsert(out.select(ID, F.col("window.start").alias("start"), "n", "mean_score", "peak_score"), path)
+    got = online.current(spark, path, "sample_id long, start timestamp, n long, mean_score double, peak_score double", [ID, "start"])
     return rounded(got.select(ID, F.datediff("start", F.lit("2024-01-01")).cast("long").alias("day"), "n", "mean_score", "peak_score"))
