@@ -13,32 +13,46 @@ from tracewell.operators.ordered import BUCKET, attach, attach_row
 from tracewell.operators.quantiles import medians
 
 
-def steps(df: DataFrame, id: str, t: str, width: float, order: Sequence[str] | None = None) -> DataFrame:
+def steps(df: DataFrame, id: str, t: str, width: float, order: Sequence[str] | None = None, ordinal: str | None = None) -> DataFrame:
     """Rows with `dt` to the previous row of the same trajectory (NULL on the first).
 
-    Rows are put in order by time plus the given tie columns, so a repeated time shows up as dt = 0.
+    With `ordinal`, the column that holds each row's place in its source, the previous row is the one in front of it there, so
+    a time that falls gives a negative step.  Else rows are ordered by time plus the given tie columns.
     """
-    near = ordered.neighbour(ordered.time_bucket(df, t, width), [id], list(order or [t]), {"_prev": t})
+    placed = ordered.ordinal_bucket(df, ordinal) if ordinal else ordered.time_bucket(df, t, width)
+    near = ordered.neighbour(placed, [id], [ordinal] if ordinal else list(order or [t]), {"_prev": t})
     return near.withColumn("dt", F.col(t) - F.col("_prev")).drop("_prev", BUCKET)
 
 
+def ends(t: str, ordinal: str | None) -> tuple[Column, Column]:
+    """First and last time: of the source's first and last row with `ordinal`, else the smallest and the largest."""
+    return (F.min_by(t, ordinal), F.max_by(t, ordinal)) if ordinal else (F.min(t), F.max(t))
+
+
 def time_metrics(
     df: DataFrame, width: float, id: str = "sample_id", t: str = "t", order: Sequence[str] | None = None,
-    rtol: float = 1e-5, atol: float = 1e-6,
+    rtol: float = 1e-5, atol: float = 1e-6, ordinal: str | None = None,
 ) -> DataFrame:
-    """Row count, span, step statistics, monotonicity, repeated times and non-uniform steps per trajectory."""
-    s = steps(df, id, t, width, order)
+    """Row count, span, step statistics, monotonicity, repeated times and non-uniform steps per trajectory.
+
+    Pass `ordinal` to audit the rows in the order of their source: only then can a falling time be seen.
+    """
+    s = steps(df, id, t, width, order, ordinal)
+    start, end = ends(t, ordinal)
     base = s.groupBy(id).agg(
-        F.count(F.lit(1)).alias("rows"), F.min(t).alias("time_start_s"), F.max(t).alias("time_end_s"),
+        F.count(F.lit(1)).alias("rows"), start.alias("time_start_s"), end.alias("time_end_s"),
         F.min("dt").alias("sampling_min_s"), F.max("dt").alias("sampling_max_s"),
         F.coalesce(F.min(F.col("dt") > 0), F.lit(True)).alias("time_strictly_increasing"),
+        # on a sorted axis a row repeats a time exactly when its step is zero
+        F.count_if(F.col("dt") == 0).alias("time_duplicate_count"),
     )
-    # on a sorted axis a row repeats a time exactly when its step is zero
-    dup = s.groupBy(id).agg(F.count_if(F.col("dt") == 0).alias("time_duplicate_count"))
+    if ordinal:
+        again = df.groupBy(id, t).agg((F.count(F.lit(1)) - 1).alias("_n")).groupBy(id).agg(F.sum("_n").alias("time_duplicate_count"))
+        base = base.drop("time_duplicate_count").join(again, id)
     med = medians(s, [id], "dt", "sampling_median_s")
     off = attach(s, med, [id]).groupBy(id).agg(
         F.count_if(F.abs(F.col("dt") - F.col("sampling_median_s")) > atol + rtol * F.abs("sampling_median_s")).alias("_off"))
-    out = base.join(dup, id).join(med, id, "left").join(off, id, "left")
+    out = base.join(med, id, "left").join(off, id, "left")
     return out.withColumn("nonuniform_sampling_intervals", F.coalesce("_off", F.lit(0)).cast("long")).drop("_off")
 
 
@@ -238,28 +252,54 @@ def class_audit(inventory: DataFrame, label: str, windows: Sequence[str], eligib
     )
 
 
+def header_faults(header: DataFrame, expected: Sequence[str], id: str = "sample_id", column: str = "column") -> DataFrame:
+    """Missing, extra and repeated column names of each source, from one row per name in its header."""
+    names = header.groupBy(id, column).agg(F.count(F.lit(1)).alias("_n"))  # then one entry per distinct name
+    have = names.groupBy(id).agg(F.collect_set(column).alias("_have"), F.max(F.col("_n") > 1).alias("duplicate_columns"))
+    want = F.array(*[F.lit(c) for c in expected])
+    return have.select(
+        id, F.array_intersect(want, F.array_except(want, "_have")).alias("missing_columns"), F.array_sort(F.array_except("_have", want)).alias("extra_columns"),
+        "duplicate_columns")
+
+
 def input_gate(
     df: DataFrame, features: Sequence[str], injection: float, window: float, interval: float, tolerance: float, width: float,
-    id: str = "sample_id", t: str = "t", order: Sequence[str] | None = None, span: str = "end",
+    id: str = "sample_id", t: str = "t", order: Sequence[str] | None = None, span: str = "end", ordinal: str | None = None, header: DataFrame | None = None,
 ) -> DataFrame:
     """Error codes and quality figures per trajectory before any scoring.
 
     span = "end" tests the last time against the window, "length" tests last minus first.
     A feature with no value at all counts as a missing column and hides the other codes.
+    `ordinal` holds each row's place in its source: steps are then taken in that order and the median step is reported.
+    `header` has one row (id, column) for each name in a source's header; it adds missing, extra and repeated names.
     """
-    s = steps(df, id, t, width, order)
+    s = steps(df, id, t, width, order, ordinal)
     bad_t = ~is_finite(F.col(t))
     inside = (F.col(t) > injection) & (F.col(t) <= injection + window)
+    start, end = ends(t, ordinal)
     stats = s.groupBy(id).agg(
         F.count(F.lit(1)).alias("row_count"), F.max(bad_t).alias("_bad_t"), F.min("dt").alias("_dt_min"),
         F.max(F.abs(F.col("dt") - interval)).alias("sampling_interval_max_deviation_s"),
-        F.min(t).alias("time_start_s"), F.max(t).alias("time_end_s"), F.max(F.col(t) <= injection).alias("_base"), F.max(inside).alias("_inside"),
+        start.alias("time_start_s"), end.alias("time_end_s"), F.min(t).alias("_lo"), F.max(t).alias("_hi"), F.max(F.col(t) <= injection).alias("_base"), F.max(inside).alias("_inside"),
         *[F.count(f).alias(f"_have_{f}") for f in features], *[F.max(~is_finite(F.col(f))).alias(f"_bad_{f}") for f in features],
-    ).withColumn("window_s", F.col("time_end_s") - F.col("time_start_s"))
+    ).withColumn("window_s", F.col("_hi") - F.col("_lo"))
+    none = F.array().cast("array<string>")
     absent = F.array_compact(F.array(*[F.when(F.col(f"_have_{f}") == 0, F.lit(f)) for f in features]))
-    length = F.col("time_end_s") if span == "end" else F.col("window_s")
+    more = []
+    if ordinal:
+        stats = stats.join(medians(s, [id], "dt", "sampling_interval_median_s"), id, "left")
+        more.append("sampling_interval_median_s")
+    repeated = F.lit(False)
+    if header is not None:
+        faults = header_faults(header, [t, *features], id).select(F.col(id), *[F.col(c).alias(f"_{c}") for c in ("missing_columns", "extra_columns", "duplicate_columns")])
+        stats = stats.join(faults, id, "left")
+        absent = F.array_union(F.coalesce("_missing_columns", none), absent)
+        repeated = F.col("_duplicate_columns")
+        more.append(F.array_join(F.coalesce("_extra_columns", none), ";").alias("extra_columns"))
+    length = F.col("_hi") if span == "end" else F.col("window_s")
     code = lambda c, name: F.when(F.coalesce(c, F.lit(False)), F.lit(name))
     errors = F.array_compact(F.array(
+        code(repeated, "duplicate_column_names"),
         code(F.col("_bad_t"), "time_contains_NaN_or_Inf"),
         code(F.col("row_count") < 2, "at_least_two_rows_required"),
         code(F.col("_dt_min") <= 0, "time_not_strictly_increasing_or_duplicate"),
@@ -269,9 +309,10 @@ def input_gate(
         code(~F.col("_bad_t") & ~F.col("_inside"), "no_samples_in_window"),
         *[code(F.col(f"_bad_{f}"), f"{f}_contains_NaN_or_Inf") for f in features],
     ))
-    final = F.when(F.size(absent) > 0, F.array(F.concat(F.lit("missing_required_columns:"), F.array_join(absent, ",")))).otherwise(errors)
+    stats = stats.withColumn("_absent", absent)
+    final = F.when(F.size("_absent") > 0, F.array(F.concat(F.lit("missing_required_columns:"), F.array_join("_absent", ",")))).otherwise(errors)
     return stats.withColumn("_errors", final).select(
-        id, "row_count", "time_start_s", "time_end_s", "window_s", "sampling_interval_max_deviation_s",
+        id, "row_count", "time_start_s", "time_end_s", "window_s", "sampling_interval_max_deviation_s", *more,
         F.array_join("_errors", ";").alias("errors"), (F.size("_errors") == 0).alias("valid"),
     )
 

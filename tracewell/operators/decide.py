@@ -111,10 +111,13 @@ def fit_bundle(train: DataFrame, calibration: DataFrame, label: str, labels: Seq
 
 def diagnose(
     df: DataFrame, bundle: Bundle, features: Sequence[str], injection: float, window: float, interval: float, tolerance: float, width: float,
-    id: str = "sample_id", t: str = "t", order: Sequence[str] | None = None,
+    id: str = "sample_id", t: str = "t", order: Sequence[str] | None = None, ordinal: str | None = None, header: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per trajectory; rejected input keeps its row with status invalid_input and the error codes."""
-    gate = audit.input_gate(df, features, injection, window, interval, tolerance, width, id, t, order)
+    """One row per trajectory; rejected input keeps its row with status invalid_input and the error codes.
+
+    `ordinal` and `header` go to the gate: rows are then checked in the order of their source, and against its column names.
+    """
+    gate = audit.input_gate(df, features, injection, window, interval, tolerance, width, id, t, order, ordinal=ordinal, header=header)
     feats = win.window_summary(df, features, [window], injection, id, t)
     cols = [f"{f}__{s}" for f in features for s in win.STATS]
     good = gate.where("valid").join(feats, id).select(id, F.array(*cols).alias("x"))

@@ -17,6 +17,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 BUCKET = "_bucket"
 _FIRST = Window.unboundedPreceding
@@ -27,6 +28,15 @@ def time_bucket(df: DataFrame, t: str, width: float, out: str = BUCKET) -> DataF
     return df.withColumn(out, F.floor(F.col(t) / F.lit(float(width))))
 
 
+def ordinal_bucket(df: DataFrame, ordinal: str, rows: int = 10_000, out: str = BUCKET) -> DataFrame:
+    """Buckets of at most `rows` rows of a key in the order of distinct whole numbers, or of (block, row) places in a file."""
+    kind = df.schema[ordinal].dataType
+    if isinstance(kind, T.StructType):
+        *outer, last = [F.col(f"{ordinal}.{f.name}") for f in kind]
+        return df.withColumn(out, F.struct(*outer, F.floor(last / F.lit(rows)).alias("row")))
+    return df.withColumn(out, F.floor(F.col(ordinal) / F.lit(rows)))
+
+
 def attach(df: DataFrame, side: DataFrame, on: Sequence[str], how: str = "inner", small: bool = False) -> DataFrame:
     """Equi-join in which NULL keys match each other, keeping one copy of the keys.
 

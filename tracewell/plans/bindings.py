@@ -54,6 +54,27 @@ def faulty(spark: SparkSession, d: str) -> DataFrame:
     )
 
 
+def faulty_file(spark: SparkSession, d: str) -> DataFrame:
+    """`faulty` with each row's place in its source, `ord`; some rows stand behind the row of the next day."""
+    sid, k = F.col("sample_id"), F.col("t").cast("long")
+    return faulty(spark, d).withColumn("ord", 20 * k + F.col("dup") + F.when((sid + k) % 53 == 0, 25).otherwise(0))
+
+
+def headers(spark: SparkSession, d: str) -> DataFrame:
+    """Column names of each source of `faulty_file`: one lacks a feature, others have a name too many or one twice."""
+    sid = F.col("sample_id")
+    names = F.concat(
+        F.array(*[F.lit(c) for c in ["t", *FEATURES[:3], FEATURES[4]]]), F.when(sid % 11 != 0, F.array(F.lit(FEATURES[3]))).otherwise(F.array().cast("array<string>")),
+        F.when(sid % 13 == 0, F.array(F.lit("note"))).when(sid % 17 == 0, F.array(F.lit("f_view"))).otherwise(F.array().cast("array<string>")))
+    return cls(spark, d).select(sid, F.explode(names).alias("column"))
+
+
+def arrivals(spark: SparkSession, d: str) -> DataFrame:
+    """Events in an order in which neighbours are swapped, so that times fall now and then."""
+    return table(spark, d, "events").select(
+        F.col("user_id").alias("sample_id"), F.col("event_id").bitwiseXOR(F.lit(341)).alias("ord"), F.floor(_seconds("ts")).cast("double").alias("t"))
+
+
 def cls(spark: SparkSession, d: str) -> DataFrame:
     n = table(spark, d, "events").groupBy("user_id", "event_type").agg(F.count(F.lit(1)).alias("n"))
     return n.groupBy(F.col("user_id").alias("sample_id")).agg(
@@ -148,6 +169,13 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
              CASE WHEN sample_id % 11 <> 0 THEN f_signup END AS f_signup, f_error
       FROM traj JOIN (VALUES (0), (1)) v(dup) ON dup = 0 OR (sample_id + CAST(t AS BIGINT)) % 101 = 0
       WHERE sample_id % 7 <> 0 OR t <= 5"""),
+    "faultyfile": (("faulty",), """
+      SELECT *, 20*CAST(t AS BIGINT) + dup + CASE WHEN (sample_id + CAST(t AS BIGINT)) % 53 = 0 THEN 25 ELSE 0 END AS ord FROM faulty"""),
+    "headers": (("cls",), """
+      SELECT sample_id, unnest(list_concat(['t','f_click','f_view','f_purchase','f_error'], CASE WHEN sample_id % 11 <> 0 THEN ['f_signup'] ELSE [] END,
+             CASE WHEN sample_id % 13 = 0 THEN ['note'] WHEN sample_id % 17 = 0 THEN ['f_view'] ELSE [] END)) AS col FROM cls"""),
+    "arrivals": ((), f"""
+      SELECT user_id AS sample_id, xor(event_id, 341) AS ord, CAST({_SEC} AS DOUBLE) AS t FROM events"""),
     "long": (("traj",), "SELECT sample_id, t, feature, x FROM traj UNPIVOT (x FOR feature IN (f_click, f_view, f_purchase, f_signup, f_error))"),
     "cls": ((), """
       SELECT user_id AS sample_id, event_type AS class FROM (

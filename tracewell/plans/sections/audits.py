@@ -30,6 +30,17 @@ def aud_01b(spark, d):
     return audit.time_metrics(b.faulty(spark, d), b.SEGMENT, order=["t", "dup"])
 
 
+define_cte("arrivalsteps", ["arrivals"], "SELECT *, t - lag(t) OVER (PARTITION BY sample_id ORDER BY ord) AS dt FROM arrivals")
+
+
+@query("aud_01_time_metrics_file_order", sql("arrivalsteps", """
+  SELECT s.sample_id, count(*) AS rows, min_by(t, ord) AS time_start_s, max_by(t, ord) AS time_end_s, min(dt) AS sampling_min_s, max(dt) AS sampling_max_s, COALESCE(bool_and(dt > 0), true) AS time_strictly_increasing,
+         count(*) - count(DISTINCT t) AS time_duplicate_count, max(m) AS sampling_median_s, count(*) FILTER (abs(dt - m) > 1e-6 + 1e-5*abs(m)) AS nonuniform_sampling_intervals
+  FROM arrivalsteps s JOIN (SELECT sample_id, median(dt) AS m FROM arrivalsteps GROUP BY 1) q USING (sample_id) GROUP BY 1"""))
+def aud_01c(spark, d):
+    return audit.time_metrics(b.arrivals(spark, d), 12.0, ordinal="ord")
+
+
 @query("aud_02_presence", """
   SELECT COALESCE(c_custkey, o_custkey) AS id, CASE WHEN o_custkey IS NULL THEN 'missing' WHEN c_custkey IS NULL THEN 'extra' ELSE 'present' END AS status
   FROM customer c FULL JOIN (SELECT DISTINCT o_custkey FROM orders) o ON c_custkey = o_custkey""")
@@ -231,6 +242,19 @@ def aud_16b(spark, d):
     return gate(spark, d, "length")
 
 
+define_cte("filesteps", ["faultyfile"], "SELECT *, t - lag(t) OVER (PARTITION BY sample_id ORDER BY ord) AS dt FROM faultyfile")
+_FILE_CODES = ", ".join(f"CASE WHEN {c.format(len='hi')} THEN '{n}' END" for c, n in [("repeated", "duplicate_column_names"), *_CODES])
+
+
+@query("aud_16_input_gate_file_order", sql("filesteps headers", f"""
+  SELECT sample_id, n AS row_count, t0 AS time_start_s, t1 AS time_end_s, hi - lo AS window_s, dev AS sampling_interval_max_deviation_s, med AS sampling_interval_median_s, extra AS extra_columns, errors, errors = '' AS valid FROM (
+    SELECT *, CASE WHEN lacks THEN 'missing_required_columns:f_signup' ELSE array_to_string(list_filter([{_FILE_CODES}], lambda x: x IS NOT NULL), ';') END AS errors FROM (
+      SELECT sample_id, count(*) AS n, min_by(t, ord) AS t0, max_by(t, ord) AS t1, min(t) AS lo, max(t) AS hi, min(dt) AS mindt, max(abs(dt - 1)) AS dev, median(dt) AS med, {", ".join(f"bool_or({x}) AS bad_{f}" for f, x in _BAD.items())} FROM filesteps GROUP BY 1) z
+    JOIN (SELECT sample_id, count(*) FILTER (col = 'f_signup') = 0 AS lacks, COALESCE(string_agg(col, ';') FILTER (col = 'note'), '') AS extra, count(*) > count(DISTINCT col) AS repeated FROM headers GROUP BY 1) h USING (sample_id)) y"""))
+def aud_16c(spark, d):
+    return audit.input_gate(b.faulty_file(spark, d), b.FEATURES, b.INJECTION, 12.0, 1.0, 0.1, b.SEGMENT, ordinal="ord", header=b.headers(spark, d))
+
+
 def gate(spark, d, span):
     return audit.input_gate(b.faulty(spark, d), b.FEATURES, b.INJECTION, 12.0, 1.0, 0.1, b.SEGMENT, order=["t", "dup"], span=span)
 

@@ -18,11 +18,16 @@ def text_schema(columns: Sequence[str]) -> T.StructType:
     return T.StructType([*[T.StructField(c, T.StringType()) for c in columns], T.StructField(CORRUPT, T.StringType())])
 
 
+def file_order():
+    """Place of a row in its file: where the split starts, then the running id of the task, so large files are read in parallel."""
+    return F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row"))
+
+
 def scan_trajectories(
     spark: SparkSession, root: str, columns: Sequence[str], t: str = "TIME", class_dir: str | None = r"/([^/]+)/[^/]+$",
-    id_pattern: str | None = r"/([^/]+)\.csv$", glob: str = "*.csv",
+    id_pattern: str | None = r"/([^/]+)\.csv$", glob: str = "*.csv", ordinal: str | None = None,
 ) -> DataFrame:
-    """All trajectory CSVs below `root` as one table with class and id taken from the path.
+    """All trajectory CSVs below `root` as one table with class and id taken from the path, and each row's place in its file as `ordinal`.
 
     One declared schema, so no inference pass; unreadable numbers become NULL and
     malformed lines stay visible in the corrupt-record column.
@@ -33,6 +38,8 @@ def scan_trajectories(
     )
     path = F.col("_metadata.file_path")
     meta = [path.alias("source_file")]
+    if ordinal:
+        meta.append(file_order().alias(ordinal))
     if class_dir:
         meta.append(F.regexp_extract(path, class_dir, 1).alias("class"))
     if id_pattern:
@@ -47,15 +54,11 @@ def numeric_order(df: DataFrame, case: str = "case_id") -> DataFrame:
 
 
 def scan_logs(spark: SparkSession, root: str, glob: str = "*.txt", id_pattern: str = r"/([^/]+)\.txt$") -> DataFrame:
-    """Event logs line by line with their file id and an order within the file.
-
-    The line order comes from the position inside the file's splits (file block start,
-    then the running id of the task), so large logs are still read in parallel.
-    """
+    """Event logs line by line with their file id and their place in the file."""
     raw = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).text(root)
     return raw.select(
         F.regexp_extract(F.col("_metadata.file_path"), id_pattern, 1).alias("sample_id"),
-        F.struct(F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("row")).alias("line_no"),
+        file_order().alias("line_no"),
         F.col("value").alias("line"),
     )
 
