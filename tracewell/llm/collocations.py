@@ -31,6 +31,8 @@ LEAST = 10
 INSIDE = 50
 #: Bytes of text in a shard; a longer text is a shard of its own.
 SHARD_BYTES = 1 << 23
+#: Parts into which a language's phrases are dealt to find its best: the last step sees at most this many times the wanted number.
+PARTS = 32
 #: Language of texts that name none.
 NO_LANG = "und"
 
@@ -339,5 +341,8 @@ def collocations(docs: DataFrame, top: int, least: int = LEAST) -> DataFrame:
     two = two.join(around, ["first", "second"], "left").where(F.col("most").isNull() | (F.col("most") * 100 < F.col("f") * INSIDE))
     two = two.select("lang", F.concat_ws(" ", "first_word", "second_word").alias("phrase"), F.col("f").alias("a"), "l", "r", _score(F.col("f"), F.col("l"), F.col("r")).alias("score"))
     every = two.unionByName(three.select(two.columns))
-    best = every.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))).where(F.col("rank") <= top)
+    order = (F.desc("score"), F.desc("a"), F.col("phrase"))
+    part = F.pmod(F.xxhash64("phrase"), F.lit(PARTS))  # the best of each part first, so that no task gets all phrases of a language
+    every = every.withColumn("rank", F.row_number().over(Window.partitionBy("lang", part).orderBy(*order))).where(F.col("rank") <= top)
+    best = every.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("rank") <= top)
     return best.join(n, "lang").select("lang", F.col("rank").cast("long").alias("rank"), "phrase", "a", "l", "r", "n", "score")
