@@ -53,3 +53,42 @@ def test_rows_of_a_file_keep_their_order(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
     assert not got["1"]["time_strictly_increasing"] and got["1"]["sampling_max_s"] == -1 and got["1"]["time_start_s"] == 500
     assert got["2"]["time_strictly_increasing"] and got["2"]["rows"] == 500
+
+
+def test_damaged_files_become_rows(spark, tmp_path):
+    import bz2
+    import gzip
+
+    body = "TIME,P,Q\n" + "".join(f"{i},{i}.5,-{i}\n" for i in range(1, 2001))
+    (tmp_path / "whole.csv").write_text(body)
+    (tmp_path / "zero.csv").write_bytes(b"")
+    (tmp_path / "head.csv").write_text("TIME,P,Q\n")
+    (tmp_path / "mixed.csv").write_text('Q,"TIME",P,P\r\n1,2,3,4\r\n\n5,6\n7,x,"8",9\n,10,11,12\n"1,5",2,3,4\n')
+    (tmp_path / "lacks.csv").write_text("TIME,Z\n1,2\n")
+    (tmp_path / "good.csv.gz").write_bytes(gzip.compress(body.encode()))
+    (tmp_path / "cut.csv.gz").write_bytes(gzip.compress(body.encode())[:-500])
+    (tmp_path / "cut.csv.bz2").write_bytes(bz2.compress(body.encode())[:-20])
+    (tmp_path / "junk.csv.gz").write_bytes(b"this was never compressed")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "5000")
+    try:
+        rows, faults = readers.scan_checked(spark, str(tmp_path), ["TIME", "P", "Q"])
+        name = F.element_at(F.split("file", "/"), -1)
+        got = sorted((r["file"], r["line"], r["error"], r["detail"]) for r in faults.withColumn("file", name).collect())
+        n = {r["file"]: r["n"] for r in rows.groupBy(name.alias("file")).agg(F.count("*").alias("n")).collect()}
+        mixed = [tuple(r) for r in rows.where(name == "mixed.csv").orderBy("place").select("line", "TIME", "P", "Q").collect()]
+        whole = rows.where(name == "whole.csv").agg(F.min("line"), F.max("line"), F.count_if(F.col("line") != F.col("TIME") + 1), F.sum("Q")).first()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+    errors = {(f, e) for f, _, e, _ in got}
+    assert {("zero.csv", "empty"), ("head.csv", "empty"), ("junk.csv.gz", "unreadable"), ("cut.csv.gz", "unreadable"), ("cut.csv.bz2", "unreadable")} <= errors
+    assert not any(f in ("whole.csv", "good.csv.gz") for f, _ in errors)
+    assert [g[1:] for g in got if g[0] == "mixed.csv"] == [(1, "repeated_columns", None), (4, "cells", "2 of 4"), (5, "number", "TIME"), (7, "number", "Q")]
+    assert mixed == [(2, 2.0, 3.0, 1.0), (5, None, 8.0, 7.0), (6, 10.0, 11.0, None), (7, 2.0, 3.0, None)]
+    assert [g[1:] for g in got if g[0] == "lacks.csv"] == [(1, "missing_columns", "P;Q")]
+    assert tuple(whole) == (2, 2001, 0, -2001000.0) and n["good.csv.gz"] == 2000
+    report = {r["file"]: r for r in audit.file_report(
+        spark.createDataFrame([("whole.csv",), ("gone.csv",), ("junk.csv.gz",)], "file string"), rows.withColumn("file", name), faults.withColumn("file", name), "file").collect()}
+    assert report["gone.csv"]["status"] == "missing" and report["whole.csv"]["error"] is None and report["whole.csv"]["rows"] == 2000
+    assert report["junk.csv.gz"]["status"] == "present" and report["junk.csv.gz"]["unreadable"] == 1 and report["mixed.csv"]["status"] == "extra"
+    assert report["mixed.csv"]["error"] == "repeated_columns in line 1"

@@ -64,6 +64,23 @@ def presence(expected: DataFrame, found: DataFrame, on: str) -> DataFrame:
     return e.join(f, on, "full_outer").select(on, status.alias("status"))
 
 
+def file_report(expected: DataFrame, rows: DataFrame, faults: DataFrame, on: str) -> DataFrame:
+    """Every expected or found source with its status, rows read, faults of each kind, and the first fault as text.
+
+    `faults` has line, error and detail for each source; a fault of the whole source comes before those of its lines.
+    """
+    found = rows.select(on).unionByName(faults.select(on))
+    status = presence(expected, found, on)
+    n = rows.groupBy(on).agg(F.count(F.lit(1)).alias("rows"))
+    kinds = ("unreadable", "empty", "missing_columns", "repeated_columns", "cells", "number")
+    text = F.concat_ws(": ", F.concat(F.col("error"), F.coalesce(F.concat(F.lit(" in line "), F.col("line")), F.lit(""))), "detail")
+    bad = faults.groupBy(on).agg(
+        *[F.count_if(F.col("error") == k).alias(k) for k in kinds], F.min_by(text, F.struct(F.coalesce("line", F.lit(0)), "error")).alias("error"))
+    out = status.join(n, on, "left").join(bad, on, "left")
+    zero = lambda c: F.coalesce(c, F.lit(0)).cast("long").alias(c)
+    return out.select(on, "status", zero("rows"), *[zero(k) for k in kinds], "error")
+
+
 def schema_conformance(columns: DataFrame, expected: Sequence[str], id: str, column: str) -> DataFrame:
     """Missing and extra column names per source; a source lists each of its columns once."""
     want = F.array(*[F.lit(c) for c in expected])

@@ -1,5 +1,7 @@
 """AUD: data-quality and dataset audits."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from tracewell.operators import align, audit, ranking, splits
@@ -11,6 +13,8 @@ from tracewell.plans.sections.aggregates import big_long, feat_long
 from tracewell.plans.sections.events import evt_06
 from tracewell.plans.sections.splits import SETS, release  # noqa: F401
 from tracewell.plans.sections.windows import ID, events_row, long_traj, reference
+from tracewell.session import shared_dir
+from tracewell.sources import readers
 
 define_cte("bigsteps", ["bigtraj"], "SELECT *, t - lag(t) OVER (PARTITION BY sample_id ORDER BY t) AS dt FROM bigtraj")
 define_cte("faultysteps", ["faulty"], "SELECT *, t - lag(t) OVER (PARTITION BY sample_id ORDER BY t, dup) AS dt FROM faulty")
@@ -49,6 +53,32 @@ def aud_02(spark, d):
     return audit.presence(want, b.table(spark, d, "orders").select(F.col("o_custkey").alias("id")), "id")
 
 
+def damaged_files(spark, d):
+    """Trajectories in sixteen files, some with short lines, cells that are no numbers, or a header that lacks a name."""
+    path = f"{shared_dir(spark)}/damaged-{uuid.uuid4().hex}"
+    k = F.col(ID) + F.col("t").cast("long")
+    view = F.when(k % 43 == 0, "n/a").otherwise(F.col("f_view").cast("string"))
+    line = F.when(k % 41 == 0, F.col("t").cast("string")).otherwise(F.concat_ws(",", F.col("t").cast("string"), F.col("f_click").cast("string"), view))
+    rows = b.traj(spark, d).select((F.col(ID) % 16).alias("folder"), F.col(ID), "t", line.alias("line"))
+    tops = rows.select("folder").distinct().select("folder", F.lit(-1).cast("long").alias(ID), F.lit(0.0).alias("t"), F.when(F.col("folder") % 5 == 2, "TIME,f_click,other").otherwise("TIME,f_click,f_view").alias("line"))
+    tops.unionByName(rows).repartition("folder").sortWithinPartitions("folder", ID, "t").select("folder", "line").write.partitionBy("folder").option("compression", "none").text(path)
+    return path
+
+
+@query("aud_02_file_errors", sql("traj", """
+  WITH l AS (SELECT sample_id % 16 AS folder, sample_id + CAST(t AS BIGINT) AS k, 1 + ROW_NUMBER() OVER (PARTITION BY sample_id % 16 ORDER BY sample_id, t) AS line FROM traj),
+  e AS (SELECT folder, line, CASE WHEN k % 41 = 0 THEN 'cells' WHEN k % 43 = 0 AND folder % 5 <> 2 THEN 'number' END AS error, CASE WHEN k % 41 = 0 THEN '1 of 3' ELSE 'f_view' END AS detail FROM l
+    UNION ALL SELECT DISTINCT folder, 1, 'missing_columns', 'f_view' FROM l WHERE folder % 5 = 2)
+  SELECT r.k AS folder, CASE WHEN f.folder IS NULL THEN 'missing' ELSE 'present' END AS status, COALESCE(n, 0) AS rows, 0::BIGINT AS unreadable, 0::BIGINT AS empty, COALESCE(missing_columns, 0) AS missing_columns, 0::BIGINT AS repeated_columns, COALESCE(cells, 0) AS cells, COALESCE(number, 0) AS number, x.error
+  FROM range(0, 20) r(k) LEFT JOIN (SELECT folder, count(*) FILTER (k % 41 <> 0) AS n FROM l GROUP BY 1) f ON f.folder = r.k
+  LEFT JOIN (SELECT folder, count(*) FILTER (error = 'missing_columns') AS missing_columns, count(*) FILTER (error = 'cells') AS cells, count(*) FILTER (error = 'number') AS number, min_by(error || ' in line ' || line || ': ' || detail, line) AS error FROM e WHERE error IS NOT NULL GROUP BY 1) x ON x.folder = r.k"""))
+def aud_02b(spark, d):
+    rows, faults = readers.scan_checked(spark, damaged_files(spark, d), ["TIME", "f_click", "f_view"], "*.txt")
+    folder = F.regexp_extract("file", r"/folder=(\d+)/[^/]+$", 1).cast("long")
+    expected = spark.range(20).withColumnRenamed("id", "folder")  # the last four do not exist
+    return audit.file_report(expected, rows.withColumn("folder", folder), faults.withColumn("folder", folder), "folder")
+
+
 @query("aud_03_schema_conformance", """
   SELECT user_id AS sample_id, len(h) AS column_count, array_to_string(list_sort(list_filter(['click','purchase','refund','view'], lambda x: NOT list_contains(h, x))), ';') AS schema_missing_columns,
          array_to_string(list_sort(list_filter(h, lambda x: NOT list_contains(['click','purchase','refund','view'], x))), ';') AS schema_extra_columns, false AS schema_match

@@ -2,9 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
-
-from pyspark.sql import DataFrame, SparkSession, Window
+import bz2
+import gzip
+import io
+import lzma
+import zlib
+from collections.abc import Iterator, Sequence
+from functools import reduce
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -48,6 +55,89 @@ def scan_trajectories(
     return raw.select(*meta, *values, CORRUPT)
 
 
+#: A comma outside double quotes.
+_COMMA = ',(?=(?:[^"]*"[^"]*")*[^"]*$)'
+_OPEN = {".gz": gzip.open, ".bz2": bz2.open, ".xz": lzma.open}
+
+
+def _damage(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What goes wrong when a compressed file is read to its end; nothing for files that are whole."""
+    for batch in batches:
+        path, why = [], []
+        for p, content in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            try:
+                with _OPEN[p[p.rindex("."):]](io.BytesIO(content)) as f:
+                    while f.read(1 << 20):
+                        pass
+            except (OSError, EOFError, zlib.error, lzma.LZMAError) as x:
+                path.append(p)
+                why.append(f"{type(x).__name__}: {x}")
+        yield pa.RecordBatch.from_arrays([pa.array(path, pa.string()), pa.array(why, pa.string())], names=["file", "detail"])
+
+
+def _cells(line: Column) -> Column:
+    cells = F.split(F.regexp_replace(line, "\r$", ""), _COMMA, -1)
+    return F.transform(cells, lambda c: F.regexp_replace(F.regexp_replace(F.trim(c), '^"(.*)"$', "$1"), '""', '"'))
+
+
+def scan_checked(spark: SparkSession, root: str, columns: Sequence[str], glob: str = "*.csv*") -> tuple[DataFrame, DataFrame]:
+    """CSVs below `root` that may be damaged: the rows that can be read, and what could not be.  No file fails the job.
+
+    Rows have `file`, `line` (the header is line 1), `place` (their order in the file) and `columns` as numbers, found by the names in the
+    file's own header.  Faults have file, line, error and detail:
+
+    unreadable       nothing could be read; or a compressed file ends in damage, then what comes before it is among the rows
+    empty            the file has no byte or no line, or no row below its header
+    missing_columns  the header lacks some of `columns`: these are NULL in the rows; detail names them
+    repeated_columns the header has a name twice: the first one counts
+    cells            a line has more or fewer cells than the header: it is not among the rows
+    number           a cell is no number: it is NULL in its row; detail names the columns
+
+    Blank lines are skipped, a cell holds no line break.  A compressed file is held whole by the task that tests it.
+    """
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", glob).load(root)
+    text = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", glob).option("ignoreCorruptFiles", True).option("ignoreMissingFiles", True).text(root)
+    lines = text.select(F.col("_metadata.file_path").alias("file"), file_order().alias("place"), "value")
+    # Ids run on without a gap inside a split, so a few numbers for each split give every line its number.
+    per = lines.groupBy("file", "place.block").agg(F.count(F.lit(1)).alias("_n"), F.min("place.row").alias("_row"), F.min_by("value", "place.row").alias("_top"))
+    upto = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)  # one row for each split
+    names = F.first(F.when(F.col("block") == 0, _cells(F.col("_top"))), ignorenulls=True).over(Window.partitionBy("file"))
+    split = per.withColumn("_before", F.coalesce(F.sum("_n").over(upto), F.lit(0))).withColumn("_names", names).drop("_top", "_n")
+    split = split.select(*[F.col(c).alias(f"_s_{c}" if c in ("file", "block") else c) for c in split.columns])
+    numbered = lines.join(split, (F.col("file") == F.col("_s_file")) & (F.col("place.block") == F.col("_s_block")))
+    numbered = numbered.withColumn("line", F.col("_before") + F.col("place.row") - F.col("_row") + 1).where((F.col("line") > 1) & (F.trim("value") != ""))
+    cells = numbered.withColumn("_cells", _cells(F.col("value"))).withColumn("_whole", F.size("_cells") == F.size("_names"))
+    found = [F.get("_cells", F.nullif(F.array_position("_names", F.lit(c)), F.lit(0)).cast("int") - 1) for c in columns]
+    odd = F.array_compact(F.array(*[F.when((F.trim(x) != "") & _number(x).isNull(), F.lit(c)) for c, x in zip(columns, found, strict=True)]))
+    rows = cells.where("_whole").select("file", "line", "place", *[_number(x).alias(c) for c, x in zip(columns, found, strict=True)])
+    short = cells.where("not _whole").select("file", "line", F.lit("cells").alias("error"), F.concat(F.size("_cells").cast("string"), F.lit(" of "), F.size("_names").cast("string")).alias("detail"))
+    bad = cells.where("_whole").select("file", "line", F.lit("number").alias("error"), F.array_join(odd, ";").alias("detail")).where("detail <> ''")
+    want = F.array(*[F.lit(c) for c in columns])
+    heads = split.where("_s_block = 0").select(F.col("_s_file").alias("file"), "_names").withColumn("_lacks", F.array_join(F.array_except(want, "_names"), ";"))
+    lacking = heads.where("_lacks <> ''").select("file", F.lit(1).alias("line"), F.lit("missing_columns").alias("error"), F.col("_lacks").alias("detail"))
+    twice = heads.where(F.size(F.array_distinct("_names")) < F.size("_names")).select("file", F.lit(1).alias("line"), F.lit("repeated_columns").alias("error"), F.lit(None).cast("string").alias("detail"))
+    # A scan passes over files without a byte; the names that the driver has listed for it tell them.
+    every = spark.createDataFrame([(f,) for f in listed.inputFiles()], "file string").select(_plain_path(F.col("file")).alias("file"))
+    files = every.join(listed.select(_plain_path(F.col("path")).alias("file"), "length"), "file", "left")
+    read = lines.groupBy(_plain_path(F.col("file")).alias("file")).agg(F.count(F.lit(1)).alias("_n"))
+    none = files.join(read, "file", "left").where("coalesce(_n, 0) < 2")
+    none = none.select("file", F.lit(None).cast("long").alias("line"), F.when((F.col("length") > 0) & F.col("_n").isNull(), "unreadable").otherwise("empty").alias("error"), F.lit(None).cast("string").alias("detail"))
+    packed = listed.where(F.col("path").rlike(r"\.(gz|bz2|xz)$")).select("path", "content").mapInArrow(_damage, "file string, detail string")
+    packed = packed.select(_plain_path(F.col("file")).alias("file"), F.lit(None).cast("long").alias("line"), F.lit("unreadable").alias("error"), "detail")
+    none = none.join(packed.select("file"), "file", "left_anti")
+    faults = [x.withColumn("file", _plain_path(F.col("file"))).withColumn("line", F.col("line").cast("long")) for x in (short, bad, lacking, twice)] + [none, packed]
+    return rows.withColumn("file", _plain_path(F.col("file"))), reduce(DataFrame.unionByName, faults)
+
+
+def _plain_path(path: Column) -> Column:
+    """The path without its scheme; readers and listings spell it in different ways."""
+    return F.regexp_replace(path, "^[a-z0-9]+:/+", "/")
+
+
+def _number(cell: Column) -> Column:
+    return F.nullif(F.trim(cell), F.lit("")).try_cast("double")
+
+
 def numeric_order(df: DataFrame, case: str = "case_id") -> DataFrame:
     """Sort key for file stems: trailing digits as a number, then the text."""
     return df.withColumn("case_number", F.expr(f"try_cast(regexp_extract({case}, '(\\\\d+)$', 1) AS BIGINT)"))
