@@ -2,19 +2,22 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.functions.scalars import label_set, map_label
 from tracewell.operators import audit, gram, learn
 from tracewell.operators import windows as win
+from tracewell.operators.calibrate import Calibrated, fit_calibrated
 from tracewell.operators.quantiles import order_statistics, quantiles
 from tracewell.operators.aggregates import conformal_rank
 from tracewell.operators.ranking import best_per_group
+from tracewell.session import cut_lineage
 
 TIER_DEFAULT = "Tier C"
 
@@ -48,6 +51,27 @@ class ClassDistance:
         lit = lambda vs: F.array(*[F.lit(float(v)) for v in vs])
         return F.zip_with(F.zip_with(F.col(x), lit(self.mean), lambda a, m: a - m), lit(self.scale), lambda a, s: a / s)
 
+    def parts(self, x: str, guess: str) -> Column:
+        """Struct for the predicted class: the squared distance by the whole precision matrix, the displacement of each
+        feature, and the diagonal share of each; NULL for a class without a model."""
+        order = {c: i for i, c in enumerate(self.centers)}
+        mus, precisions = [np.asarray(m) for m in self.centers.values()], [np.asarray(p) for p in self.precisions.values()]
+        number = F.coalesce(*[F.when(F.col(guess) == c, F.lit(i)) for c, i in order.items()], F.lit(-1))
+
+        @F.pandas_udf("distance double, displacement array<double>, diagonal array<double>")
+        def products(z: pd.Series, which: pd.Series) -> pd.DataFrame:
+            out = pd.DataFrame({"distance": np.full(len(z), np.nan), "displacement": None, "diagonal": None}, index=z.index).astype({"displacement": object, "diagonal": object})
+            for i, (mu, p) in enumerate(zip(mus, precisions)):
+                mine = (which == i).to_numpy()
+                if mine.any():
+                    d = np.vstack(z[mine].to_numpy()) - mu
+                    out.loc[mine, "distance"] = ((d @ p) * d).sum(axis=1)
+                    out.loc[mine, "displacement"] = pd.Series(list(d), index=z.index[mine])
+                    out.loc[mine, "diagonal"] = pd.Series(list(np.maximum(d * d * np.diag(p), 0.0)), index=z.index[mine])
+            return out
+
+        return F.when(number >= 0, products(self.z(x), number))
+
     def score(self, x: str, guess: str) -> Column:
         """Squared distance to the predicted class, NULL for a class without a model."""
         out = F.lit(None).cast("double")
@@ -87,26 +111,35 @@ def fit_class_distance(train: DataFrame, label: str, labels: Sequence, x: str =
 @dataclass(frozen=True)
 class Bundle:
     labels: tuple
-    classifier: learn.Classifier
+    classifier: Calibrated
     cutoff: float
     distance: ClassDistance
     distance_limit: float
     tiers: dict
+    regressor: learn.Ridge | None = None
+    regressor_label: str | None = None
+
 
+def fit_bundle(
+    train: DataFrame, calibration: DataFrame, label: str, labels: Sequence, tiers: Mapping, alpha: float = 0.1, quantile: float = 0.95, iterations: int = 100,
+    folds: int = 3, target: str | None = None, target_label: str | None = None, id: str = "sample_id",
+) -> Bundle:
+    """Cross-fitted classifier and distances from train rows, set cutoff and distance limit from calibration rows.
 
-def fit_bundle(train: DataFrame, calibration: DataFrame, label: str, labels: Sequence, tiers: Mapping, alpha: float = 0.1, quantile: float = 0.95, iterations: int = 100) -> Bundle:
-    """Classifier and distances from train rows, set cutoff and distance limit from calibration rows."""
+    With `target`, a ridge model of it is fitted on the train rows of `target_label`, for the estimate behind the gate.
+    """
     train, calibration = train.persist(), calibration.persist()  # feature rows, read by several fits
-    model = learn.fit_logistic(train, label, labels, iterations=iterations)
+    model = fit_calibrated(train, label, labels, lambda rows: learn.fit_logistic(rows, label, labels, iterations=iterations), folds, id=id)
     dist = fit_class_distance(train, label, labels)
     names = F.array(*[F.lit(c) for c in labels])
     own = F.element_at("probs", F.array_position(names, F.col(label)).cast("int"))
     held = model.predict(calibration).select((1 - own).alias("_nc"), dist.score("x", "y_pred").alias("_d")).persist()
     nc = order_statistics(held, [], "_nc", {"q": conformal_rank(alpha)}).first()
     limit = quantiles(held, [], "_d", {"q": quantile}).first()
+    ridge = learn.fit_ridge(train.where(F.col(label) == target_label), "x", target) if target else None
     for used in (train, calibration, held):
         used.unpersist()
-    return Bundle(tuple(labels), model, 1.0 - nc["q"], dist, limit["q"], dict(tiers))
+    return Bundle(tuple(labels), model, 1.0 - nc["q"], dist, limit["q"], dict(tiers), ridge, target_label)
 
 
 def diagnose(
@@ -132,7 +165,26 @@ def decide_rows(rows: DataFrame, bundle: Bundle) -> DataFrame:
     p = p.withColumn("conformal_set", label_set(F.col("probs"), list(bundle.labels), bundle.cutoff))
     p = p.withColumn("distance", bundle.distance.score("x", "y_pred")).withColumn("ood_warning", F.coalesce(F.col("distance") > bundle.distance_limit, F.lit(False)))
     p = p.withColumn("tier", capability(F.col("y_pred"), bundle.tiers))
-    return p.withColumn("status", status_policy(F.size("conformal_set"), F.col("ood_warning"), F.col("tier")))
+    p = p.withColumn("status", status_policy(F.size("conformal_set"), F.col("ood_warning"), F.col("tier")))
+    if bundle.regressor is None:
+        return p
+    # Written once: both sides of the gate read it, and no filter moves below the models to rows that they can not score.
+    return gated_estimate(cut_lineage(p), gate_open(bundle.regressor_label), lambda rows: rows.withColumn("estimate", bundle.regressor.predict(F.col("x"))))
+
+
+def gate_open(label: str) -> Column:
+    """Accepted, of the one class, and tier A; never NULL."""
+    return F.coalesce((F.col("status") == "accepted") & (F.col("y_pred") == label) & (F.col("tier") == "Tier A"), F.lit(False))
+
+
+def gated_estimate(decided: DataFrame, gate: Column, estimate: Callable[[DataFrame], DataFrame], out: str = "estimate") -> DataFrame:
+    """Run a second model on the rows that pass the gate, and on no other; every row stays.
+
+    `estimate` adds the column `out` to the rows it is given.
+    """
+    inside = estimate(decided.where(gate)).withColumn("severity_status", F.lit("available_exploratory"))
+    outside = decided.where(~gate).withColumn(out, F.lit(None).cast("double")).withColumn("severity_status", F.lit("not_run_due_to_gating"))
+    return inside.withColumn(out, F.col(out).cast("double")).unionByName(outside)
 
 
 def secondary_estimate(decided: DataFrame, estimates: DataFrame, family: str, id: str = "sample_id") -> DataFrame:

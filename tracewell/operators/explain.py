@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.scalars import base_variable, top_two_margin
 from tracewell.operators import splits
+from tracewell.operators.decide import ClassDistance
 from tracewell.operators.learn import Classifier
 from tracewell.operators.ordered import attach
 
@@ -79,6 +80,34 @@ def distance_drivers(deltas: DataFrame, keys: Sequence[str], delta: str, diagona
     return out.drop("_sum")
 
 
+def distance_explanation(rows: DataFrame, distance: ClassDistance, names: Sequence[str], keep: Sequence[str], x: str = "x", guess: str = "y_pred") -> DataFrame:
+    """What moves each row away from its predicted class, one row per feature, from the fitted shrunk precision.
+
+    contribution is the feature's diagonal share of the squared distance, fraction its part of all diagonal shares,
+    displacement its standardised distance to the class centre.  Cross terms belong to no feature: cross_term_residual is what they
+    leave over, so contributions and residual add up to `distance`.  Rows of a class without a model are left out.
+    """
+    parts = rows.select(*keep, distance.parts(x, guess).alias("_p")).where("_p is not null")
+    total = F.aggregate("_p.diagonal", F.lit(0.0), lambda acc, v: acc + v)
+    cells = parts.withColumn("_sum", total).select(
+        *keep, F.col("_p.distance").alias("distance"), (F.col("_p.distance") - F.col("_sum")).alias("cross_term_residual"), "_sum",
+        F.posexplode(F.arrays_zip(F.col("_p.diagonal").alias("c"), F.col("_p.displacement").alias("d"))).alias("j", "_c"))
+    side = F.when(F.col("displacement") > 0, "above_class_center").when(F.col("displacement") < 0, "below_class_center").otherwise("at_class_center")
+    out = cells.withColumn("contribution", F.col("_c.c")).withColumn("displacement", F.col("_c.d"))
+    return out.select(
+        *keep, F.get(F.array(*[F.lit(n) for n in names]), F.col("j")).alias("feature"), "contribution",
+        F.when(F.col("_sum") > 0, F.col("contribution") / F.col("_sum")).otherwise(F.lit(0.0)).alias("fraction"), "displacement", side.alias("direction"),
+        "distance", "cross_term_residual")
+
+
+def distance_variables(features: DataFrame, keys: Sequence[str], feature: str = "feature") -> DataFrame:
+    """`distance_explanation` rolled up to base variables; the direction is that of the displacement weighted by contribution."""
+    out = features.groupBy(*keys, base_variable(F.col(feature)).alias("variable")).agg(
+        F.sum("contribution").alias("contribution"), F.sum(F.col("contribution") * F.col("displacement")).alias("weighted_displacement"), F.count(F.lit(1)).alias("features"))
+    w = F.col("weighted_displacement")
+    return out.withColumn("direction", F.when(w > 0, "above_class_center").when(w < 0, "below_class_center").otherwise("at_class_center"))
+
+
 def by_variable(contributions: DataFrame, keys: Sequence[str], value: str = "contribution", feature: str = "feature") -> DataFrame:
     """Engineered features rolled up to their base variable: signed and absolute sums."""
     return contributions.groupBy(*keys, base_variable(F.col(feature)).alias("variable")).agg(

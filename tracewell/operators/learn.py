@@ -46,7 +46,10 @@ class Classifier:
         keep = df.columns
         cur = df.withColumn(FEATURES, array_to_vector(F.col(x)))
         if len(self.models) == 1:
-            out = self.models[0].transform(cur).withColumn(probs, vector_to_array("probability")).select(*keep, probs)
+            p = vector_to_array("probability")
+            if self.models[0].stages[-1].numClasses < len(self.labels):  # the last labels had no train row
+                p = F.transform(F.sequence(F.lit(0), F.lit(len(self.labels) - 1)), lambda k: F.coalesce(F.get(vector_to_array("probability"), k), F.lit(0.0)))
+            out = self.models[0].transform(cur).withColumn(probs, p).select(*keep, probs)
         else:
             names = []
             for i, m in enumerate(self.models):

@@ -116,17 +116,22 @@ def bigtraj(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pred(spark: SparkSession, d: str) -> DataFrame:
+    return pred_quantity(spark, d).drop("quantity")
+
+
+def pred_quantity(spark: SparkSession, d: str) -> DataFrame:
+    """`pred` with the number that a second model is to estimate."""
     li = table(spark, d, "lineitem")
     flag = lambda v: F.when(F.col("l_returnflag") == v, 0.8).otherwise(0.0)
     w = li.select(
         (F.col("l_orderkey") * 1000 + F.col("l_partkey") % 100 * 10 + F.col("l_linenumber")).alias("row_id"),
-        F.col("l_returnflag").alias("y_true"), F.col("l_linestatus").alias("grp"),
+        F.col("l_returnflag").alias("y_true"), F.col("l_linestatus").alias("grp"), F.col("l_quantity").cast("double").alias("quantity"),
         (1 + F.col("l_quantity") / 50 + flag("A")).alias("w_a"),
         (1 + F.col("l_discount") * 10 + flag("N")).alias("w_n"),
         (1 + F.col("l_tax") * 12 + flag("R")).alias("w_r"),
     )
     total = F.col("w_a") + F.col("w_n") + F.col("w_r")
-    return w.select("row_id", "y_true", "grp", *[(F.col(f"w_{k}") / total).alias(f"p_{k}") for k in "anr"])
+    return w.select("row_id", "y_true", "grp", "quantity", *[(F.col(f"w_{k}") / total).alias(f"p_{k}") for k in "anr"])
 
 
 def feat(spark: SparkSession, d: str) -> DataFrame:
@@ -199,8 +204,9 @@ CTES: dict[str, tuple[tuple[str, ...], str]] = {
     "bigtraj": ((), f"""
       SELECT l_suppkey AS sample_id, CAST({_MON} AS DOUBLE) AS t, SUM(l_quantity) AS f_qty, SUM(l_extendedprice) AS f_price,
              AVG(l_discount) AS f_disc, AVG(l_tax) AS f_tax, COUNT(*) AS n FROM lineitem GROUP BY 1, 2"""),
-    "pred": ((), """
-      SELECT l_orderkey*1000+l_partkey%100*10+l_linenumber AS row_id, l_returnflag AS y_true, l_linestatus AS grp,
+    "pred": (("predq",), "SELECT * EXCLUDE (quantity) FROM predq"),
+    "predq": ((), """
+      SELECT l_orderkey*1000+l_partkey%100*10+l_linenumber AS row_id, l_returnflag AS y_true, l_linestatus AS grp, CAST(l_quantity AS DOUBLE) AS quantity,
              w_a/(w_a+w_n+w_r) AS p_a, w_n/(w_a+w_n+w_r) AS p_n, w_r/(w_a+w_n+w_r) AS p_r
       FROM (SELECT *, 1+l_quantity/50+(CASE WHEN l_returnflag='A' THEN 0.8 ELSE 0.0 END) AS w_a,
                    1+l_discount*10+(CASE WHEN l_returnflag='N' THEN 0.8 ELSE 0.0 END) AS w_n,

@@ -13,6 +13,7 @@ from tracewell.plans import bindings as b
 from tracewell.plans.bindings import define_cte, sql
 from tracewell.plans.registry import q6, query, r6, rounded
 from tracewell.plans.sections.anomaly import BIG, ano_07, reference
+from tracewell.plans.sections.audits import _BAD, _FILE_CODES
 from tracewell.plans.sections.learning import TRAIN
 from tracewell.plans.sections.joins import scored_pred
 from tracewell.plans.sections.windows import ID
@@ -23,15 +24,27 @@ FAMS = [0, 1, 2, 3, 4]
 TIERS = {"A": "Tier A", "N": "Tier B"}
 
 
-def _diagnosis(spark, d):
-    t = b.faulty(spark, d)
+COLUMNS = [f"{f}__{s}" for f in b.FEATURES for s in win.STATS]
+
+
+def _feature_rows(spark, d):
+    """Window features with class, family, partition, and a number to estimate from them: what the whole trajectory adds up to."""
+    t = b.traj(spark, d)
+    feats = win.window_summary(t, b.FEATURES, [12], b.INJECTION).select(ID, F.array(*COLUMNS).alias("x"))
+    size = t.groupBy(ID).agg(F.sum("f_click").alias("size"))
     c = splits.interleaved(b.cls(spark, d), ["class"], ID, 5, min_size=1)
-    feats = win.window_summary(b.traj(spark, d), b.FEATURES, [12], b.INJECTION)
-    cols = [f"{f}__{s}" for f in b.FEATURES for s in win.STATS]
-    rows = feats.select(ID, F.array(*cols).alias("x")).join(c, ID).withColumn("family", sc.map_label(F.col("class"), b.FAMILY))
-    bundle = decide.fit_bundle(
-        rows.where("partition = 'train'"), rows.where("partition = 'validation'"), "family", ["browse", "convert", "fault"], b.TIER)
-    return decide.diagnose(t, bundle, b.FEATURES, b.INJECTION, 12.0, 1.0, 0.1, b.SEGMENT, order=["t", "dup"])
+    return feats.join(c, ID).join(size, ID).withColumn("family", sc.map_label(F.col("class"), b.FAMILY))
+
+
+def _bundle(spark, d):
+    rows = _feature_rows(spark, d)
+    return decide.fit_bundle(
+        rows.where("partition = 'train'"), rows.where("partition = 'validation'"), "family", ["browse", "convert", "fault"], b.TIER, target="size", target_label="browse")
+
+
+def _diagnosis(spark, d):
+    return decide.diagnose(
+        b.faulty_file(spark, d), _bundle(spark, d), b.FEATURES, b.INJECTION, 12.0, 1.0, 0.1, b.SEGMENT, ordinal="ord", header=b.headers(spark, d))
 
 
 @query("dec_01_diagnose")
@@ -40,6 +53,29 @@ def dec_01(spark, d):
     return rounded(out.withColumn("conformal_set", F.array_join("conformal_set", "|")))
 
 
+_GATE = f"""
+  SELECT sample_id, n AS row_count, CASE WHEN lacks THEN 'missing_required_columns:f_signup' ELSE array_to_string(list_filter([{_FILE_CODES}], lambda x: x IS NOT NULL), ';') END AS errors FROM (
+    SELECT sample_id, count(*) AS n, max(t) AS hi, min(dt) AS mindt, max(abs(dt - 1)) AS dev, {", ".join(f"bool_or({x}) AS bad_{f}" for f, x in _BAD.items())} FROM filesteps GROUP BY 1) z
+  JOIN (SELECT sample_id, count(*) FILTER (col = 'f_signup') = 0 AS lacks, count(*) > count(DISTINCT col) AS repeated FROM headers GROUP BY 1) h USING (sample_id)"""
+
+
+@query("dec_01_diagnosis_rules", sql("filesteps headers", f"""
+  SELECT sample_id, row_count, errors, errors = '' AS valid, errors <> '' AS invalid_input, true AS status_follows_policy, true AS estimate_follows_gate, true AS confidence_in_range, true AS set_follows_cutoff FROM ({_GATE}) z"""))
+def dec_01b(spark, d):
+    bundle = _bundle(spark, d)
+    out = decide.diagnose(b.faulty_file(spark, d), bundle, b.FEATURES, b.INJECTION, 12.0, 1.0, 0.1, b.SEGMENT, ordinal="ord", header=b.headers(spark, d))
+    scored = F.col("valid")
+    policy = decide.status_policy(F.size("conformal_set"), F.col("distance") > bundle.distance_limit, decide.capability(F.col("y_pred"), bundle.tiers))
+    opened = (F.col("status") == "accepted") & (F.col("y_pred") == "browse")
+    inside = F.array_contains("conformal_set", F.col("y_pred")) == (F.col("confidence") >= bundle.cutoff - 1e-12)
+    return out.select(
+        ID, "row_count", "errors", "valid", (F.col("status") == "invalid_input").alias("invalid_input"),
+        F.when(scored, F.col("status") == policy).otherwise(F.col("y_pred").isNull()).alias("status_follows_policy"),
+        F.when(scored, F.col("estimate").isNotNull() == opened).otherwise(F.col("estimate").isNull()).alias("estimate_follows_gate"),
+        F.when(scored, F.col("confidence").between(1 / 3 - 1e-9, 1)).otherwise(F.col("confidence").isNull()).alias("confidence_in_range"),
+        F.when(scored, inside).otherwise(F.col("conformal_set").isNull()).alias("set_follows_cutoff"))
+
+
 define_cte("decided", ["scored"], """
   SELECT *, CASE WHEN len(members) = 0 THEN 'unknown' WHEN len(members) > 1 OR ood THEN 'requires_review' WHEN tier = 'Tier C' THEN 'unknown' WHEN tier = 'Tier B' THEN 'requires_review' ELSE 'accepted' END AS status FROM (
     SELECT *, list_filter(['A','N','R'], lambda l: CASE l WHEN 'A' THEN p_a WHEN 'N' THEN p_n ELSE p_r END >= 0.42 - 1e-12) AS members, p_r > 0.55 AS ood,
@@ -58,16 +94,20 @@ def dec_02(spark, d):
     return decided(spark, d).groupBy("grp", "y_pred", "tier", "ood", F.size("members").cast("long").alias("set_size"), "status").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("dec_03_gated_estimate", sql("decided", f"""
-  SELECT y_pred, status, CASE WHEN status = 'accepted' AND y_pred = 'A' AND tier = 'Tier A' THEN 'available_exploratory' ELSE 'not_run_due_to_gating' END AS severity_status, count(*) AS n,
-         {q6("avg(CASE WHEN status = 'accepted' AND y_pred = 'A' AND tier = 'Tier A' THEN 100*p_a END)")} AS mean_estimate FROM (SELECT DISTINCT ON (row_id) * FROM decided WHERE row_id IN (SELECT row_id FROM decided GROUP BY 1 HAVING count(*) = 1)) z GROUP BY 1, 2, 3"""))
+_OPEN = "status = 'accepted' AND y_pred = 'A' AND tier = 'Tier A'"
+
+
+@query("dec_03_gated_estimate", sql("decided predq", f"""
+  WITH tr AS (SELECT (1 - p_a) AS x, quantity AS y FROM predq WHERE row_id % 5 <> 0 AND y_true = 'A'),
+  s AS (SELECT avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my FROM tr), w AS (SELECT mx, sx, my, sum((x - mx)/sx*(y - my))/(sum(((x - mx)/sx)**2) + 10) AS w FROM tr, s GROUP BY ALL)
+  SELECT y_pred, status, CASE WHEN {_OPEN} THEN 'available_exploratory' ELSE 'not_run_due_to_gating' END AS severity_status, count(*) AS n, count(e) AS estimates, {q6('avg(e)', 4)} AS mean_estimate, {q6('min(e)', 4)} AS least, {q6('max(e)', 4)} AS most
+  FROM (SELECT *, CASE WHEN {_OPEN} THEN my + (1 - p_a - mx)/sx*w END AS e FROM decided, w) z GROUP BY 1, 2, 3"""))
 def dec_03(spark, d):
-    rows = decided(spark, d)
-    one = rows.groupBy("row_id").agg(F.count(F.lit(1)).alias("k")).where("k = 1").select("row_id")
-    rows = align.restrict(rows, one, "row_id")  # row_id is not unique in this binding
-    est = rows.select("row_id", (100 * F.col("p_a")).alias("estimate"))
-    out = decide.secondary_estimate(rows, est, "A", "row_id")
-    return rounded(out.groupBy("y_pred", "status", "severity_status").agg(F.count(F.lit(1)).alias("n"), F.avg("estimate").alias("mean_estimate")))
+    train = b.pred_quantity(spark, d).where("row_id % 5 <> 0 AND y_true = 'A'").select(F.array(1 - F.col("p_a")).alias("x"), "quantity")
+    ridge = learn.fit_ridge(train, "x", "quantity", 10.0)
+    rows = decide.gated_estimate(decided(spark, d), decide.gate_open("A"), lambda r: r.withColumn("estimate", ridge.predict(F.array(1 - F.col("p_a")))))
+    return rounded(rows.groupBy("y_pred", "status", "severity_status").agg(
+        F.count(F.lit(1)).alias("n"), F.count("estimate").alias("estimates"), F.avg("estimate").alias("mean_estimate"), F.min("estimate").alias("least"), F.max("estimate").alias("most")), 4)
 
 
 @query("dec_04_capability_gate", sql("cls family tier", """
@@ -163,6 +203,41 @@ def exp_03(spark, d):
     return rounded(explain.distance_drivers(rows, [ID], "delta", "diag").select(ID, "label", "j", "contribution", "fraction", "direction"))
 
 
+# the closed form of the shrunk precision per class for two features
+define_cte("dz", ["bigtraj"], """
+  SELECT sample_id, t, sample_id % 3 AS label, (sample_id + CAST(t AS BIGINT)) % 3 AS guess, (f_qty - mq)/sq AS a, (f_price - mp)/sp AS c
+  FROM bigtraj CROSS JOIN (SELECT avg(f_qty) AS mq, stddev_pop(f_qty) AS sq, avg(f_price) AS mp, stddev_pop(f_price) AS sp FROM bigtraj) m""")
+define_cte("dprec", ["dz"], """
+  SELECT label, ma, mc, v11/det AS p00, v00/det AS p11, -v01/det AS p01 FROM (SELECT *, v00*v11 - v01*v01 AS det FROM (
+    SELECT label, ma, mc, (1-l)*s00 + l*mu AS v00, (1-l)*s11 + l*mu AS v11, (1-l)*s01 AS v01 FROM (
+      SELECT *, greatest(least((q/n - nrm)/(2*n), dl), 0)/dl AS l FROM (SELECT *, (nrm - 2*mu*(s00+s11) + 2*mu*mu)/2 AS dl FROM (
+        SELECT *, (s00+s11)/2 AS mu, s00*s00 + s11*s11 + 2*s01*s01 AS nrm FROM (
+          SELECT label, max(ma) AS ma, max(mc) AS mc, avg(u*u) AS s00, avg(w*w) AS s11, avg(u*w) AS s01, sum((u*u + w*w)**2) AS q, count(*) AS n FROM (
+            SELECT z.label, m.ma, m.mc, a - m.ma AS u, c - m.mc AS w FROM dz z JOIN (SELECT label, avg(a) AS ma, avg(c) AS mc FROM dz GROUP BY 1) m ON m.label = z.label) e GROUP BY 1) f) g) h) i) j) k""")
+define_cte("dparts", ["dz", "dprec"], """
+  SELECT *, u*u*p00 AS k0, w*w*p11 AS k1, u*u*p00 + w*w*p11 + 2*u*w*p01 AS distance FROM (SELECT z.sample_id, z.t, guess, a - ma AS u, c - mc AS w, p00, p11, p01 FROM dz z JOIN dprec p ON p.label = guess) e""")
+_SIDE = "CASE WHEN {0} > 0 THEN 'above_class_center' WHEN {0} < 0 THEN 'below_class_center' ELSE 'at_class_center' END"
+
+
+def _distance_rows(spark, d):
+    rows = b.bigtraj(spark, d).select(ID, "t", F.array("f_qty", "f_price").alias("x"), (F.col(ID) % 3).alias("label"), ((F.col(ID) + F.col("t").cast("long")) % 3).alias("guess"))
+    model = decide.fit_class_distance(rows, "label", [0, 1, 2])
+    return explain.distance_explanation(rows, model, ["load__qty", "load__price"], [ID, "t", "guess"], guess="guess")
+
+
+@query("exp_03_distance_explanation", sql("dparts", f"""
+  SELECT sample_id, t, guess, CASE j WHEN 0 THEN 'load__qty' ELSE 'load__price' END AS feature, {q6('k')} AS contribution, {q6('k/(k0 + k1)')} AS fraction, {q6('d')} AS displacement, {_SIDE.format('d')} AS direction, {q6('distance')} AS distance, {q6('distance - k0 - k1')} AS cross_term_residual
+  FROM (SELECT *, 0 AS j, k0 AS k, u AS d FROM dparts UNION ALL SELECT *, 1, k1, w FROM dparts) z"""))
+def exp_03b(spark, d):
+    return rounded(_distance_rows(spark, d))
+
+
+@query("exp_03_distance_variables", sql("dparts", f"""
+  SELECT sample_id, t, guess, 'load' AS variable, {q6('k0 + k1')} AS contribution, {q6('k0*u + k1*w')} AS weighted_displacement, 2::BIGINT AS features, {_SIDE.format('(k0*u + k1*w)')} AS direction FROM dparts"""))
+def exp_03c(spark, d):
+    return rounded(explain.distance_variables(_distance_rows(spark, d), [ID, "t", "guess"]))
+
+
 def raw_contributions(spark, d, shift=0.0):
     f = b.feat(spark, d).select(ID, F.posexplode("x").alias("j", "v"))
     names = F.array(*[F.lit(n) for n in NAMES])

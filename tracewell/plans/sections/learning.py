@@ -5,7 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tracewell.functions import scalars as sc
-from tracewell.operators import learn, metrics, splits
+from tracewell.operators import bundle, calibrate, learn, metrics, splits
 from tracewell.operators.ordered import attach_row
 from tracewell.plans import bindings as b
 from tracewell.plans.bindings import define_cte, sql
@@ -109,6 +109,21 @@ def ml_09(spark, d):
     return out.select(ID, "family", F.posexplode("probs").alias("k", "p")).withColumn("p", r6("p"))
 
 
+FAMS = [0, 1, 2, 3, 4]
+
+
+@query("ml_09_cross_fitted_calibration", sql("feat", f"""
+  SELECT sample_id, family, 3::BIGINT AS folds, 'train_only_sigmoid_cv' AS status, 5::BIGINT AS labels, 1.0::DOUBLE AS total, true AS in_range FROM feat WHERE sample_id % 5 = 0"""))
+def ml_09b(spark, d):
+    f = b.feat(spark, d)
+    model = calibrate.fit_calibrated(f.where(TRAIN), "family", FAMS, lambda rows: learn.fit_logistic(rows, "family", FAMS))
+    out = model.predict(f.where(f"NOT ({TRAIN})"))
+    total = F.aggregate("probs", F.lit(0.0), lambda acc, p: acc + p)
+    return out.select(
+        ID, "family", F.lit(model.folds).cast("long").alias("folds"), F.lit(model.status).alias("status"), F.size("probs").cast("long").alias("labels"), r6(total).alias("total"),
+        F.forall("probs", lambda p: (p > 0) & (p < 1)).alias("in_range"))
+
+
 @query("ml_10_align_probabilities", sql("pred", f"""
   SELECT row_id, y_true, grp, {q6('p_a/(p_a + p_r)')} AS p_first, 0.0::DOUBLE AS p_second, {q6('p_r/(p_a + p_r)')} AS p_third, count(*) AS n FROM pred GROUP BY ALL"""))
 def ml_10(spark, d):
@@ -202,3 +217,21 @@ def ml_17(spark, d):
     files = sinks.file_manifest(spark, path).agg(F.count(F.lit(1)).alias("files"))
     same = metrics.parity(a, c, [ID], ["y_pred"], ["confidence"]).agg(F.count(F.lit(1)).alias("rows"), F.min("passed").alias("identical"))
     return attach_row(same, files).select("rows", "identical", (F.col("files") > 0).alias("has_files"))
+
+
+@query("ml_17_release_bundle", sql("traj cls", """
+  SELECT count(*) AS rows, true AS identical, true AS all_files_ok, 3::BIGINT AS folds FROM cls"""))
+def ml_17b(spark, d):
+    """Decisions from the bundle that was written and read again against those of the one in memory."""
+    from tracewell.operators import decide
+    from tracewell.plans.sections.decisions import _bundle, _feature_rows
+
+    fitted, rows = _bundle(spark, d), _feature_rows(spark, d).select(ID, "x")
+    path = f"{shared_dir(spark)}/release-{uuid.uuid4().hex}"
+    bundle.save(spark, fitted, path)
+    again = bundle.load(spark, path)
+    side = lambda which: decide.decide_rows(rows, which).select(ID, "y_pred", "status", "tier", "severity_status", F.array_join("conformal_set", "|").alias("members"), "confidence", "distance", "estimate")
+    same = metrics.parity(side(fitted), side(again), [ID], ["y_pred", "status", "tier", "severity_status", "members"], ["confidence", "distance", "estimate"])
+    one = same.agg(F.count(F.lit(1)).alias("rows"), F.min("passed").alias("identical"))
+    files = bundle.check(spark, path).agg(F.min(F.col("status") == "ok").alias("all_files_ok"))
+    return attach_row(one, files).withColumn("folds", F.lit(again.classifier.folds).cast("long"))
