@@ -12,7 +12,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import GBTClassifier, LogisticRegression, RandomForestClassifier
 from pyspark.ml.feature import StandardScaler
 from pyspark.ml.functions import array_to_vector, vector_to_array
-from pyspark.ml.regression import GBTRegressor, RandomForestRegressor
+from pyspark.ml.regression import GBTRegressor, RandomForestRegressionModel, RandomForestRegressor
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -134,20 +134,50 @@ def fit_ridge(train: DataFrame, x: str, y: str, alpha: float = 10.0) -> Ridge:
     return Ridge(mean[:-1], scale[:-1], w, float(mean[-1]))
 
 
-def fit_forest_regressor(train: DataFrame, y: str, x: str = "x", trees: int = 300, seed: int = 7, depth: int = MAX_DEPTH) -> PipelineModel:
-    rows = train.withColumn(FEATURES, array_to_vector(F.col(x)))
-    rf = RandomForestRegressor(featuresCol=FEATURES, labelCol=y, numTrees=trees, minInstancesPerNode=2, featureSubsetStrategy="0.7", seed=seed, maxDepth=depth)
-    return Pipeline(stages=[rf]).fit(rows)
+@dataclass(frozen=True)
+class Forest:
+    """Mean of several forests, weighted by their trees: the forest of all of them."""
+
+    models: tuple[RandomForestRegressionModel, ...]
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        cur, total = df, sum(m.getNumTrees for m in self.models)
+        for i, m in enumerate(self.models):
+            cur = m.copy().setPredictionCol(f"_t{i}").transform(cur)
+        mean = reduce(lambda a, c: a + c, [F.col(f"_t{i}") * F.lit(m.getNumTrees / total) for i, m in enumerate(self.models)])
+        return cur.withColumn("prediction", mean).drop(*[f"_t{i}" for i in range(len(self.models))])
+
+
+def fit_forest_regressor(
+    train: DataFrame, y: str, x: str = "x", trees: int = 300, seed: int = 7, depth: int = MAX_DEPTH, leaf: int = 2, batch: int = 75, workers: int = 4
+) -> Forest:
+    """`trees` trees, grown `batch` at a time in parallel jobs.
+
+    The node of every row is kept beside it: without that, each level would send all trees grown so far to all tasks.  A level's statistics
+    are added up in groups of nodes that fit a fixed memory, so they do not grow with the number of trees.
+    """
+    rows = train.select(array_to_vector(F.col(x)).alias(FEATURES), F.col(y).cast("double").alias(y)).persist()
+    sizes = [min(batch, trees - at) for at in range(0, trees, batch)]
+
+    def grow(i: int) -> RandomForestRegressionModel:
+        rf = RandomForestRegressor(
+            featuresCol=FEATURES, labelCol=y, numTrees=sizes[i], minInstancesPerNode=leaf, featureSubsetStrategy="0.7", seed=seed + i, maxDepth=depth, cacheNodeIds=True, maxMemoryInMB=1024)
+        return rf.fit(rows)
+
+    with ThreadPoolExecutor(workers) as pool:
+        models = tuple(pool.map(grow, range(len(sizes))))
+    rows.unpersist()
+    return Forest(models)
 
 
 def fit_boosted_regressor(train: DataFrame, y: str, x: str = "x", iterations: int = 200, seed: int = 7) -> PipelineModel:
     """Squared loss; MLlib has no Huber loss for trees."""
     rows = train.withColumn(FEATURES, array_to_vector(F.col(x)))
-    gbt = GBTRegressor(featuresCol=FEATURES, labelCol=y, maxIter=iterations, stepSize=0.03, maxDepth=2, minInstancesPerNode=3, lossType="squared", seed=seed)
+    gbt = GBTRegressor(featuresCol=FEATURES, labelCol=y, maxIter=iterations, stepSize=0.03, maxDepth=2, minInstancesPerNode=3, lossType="squared", seed=seed, cacheNodeIds=True)
     return Pipeline(stages=[gbt]).fit(rows)
 
 
-def regress(model: PipelineModel, df: DataFrame, x: str = "x", out: str = "estimate") -> DataFrame:
+def regress(model: PipelineModel | Forest, df: DataFrame, x: str = "x", out: str = "estimate") -> DataFrame:
     keep = df.columns
     return model.transform(df.withColumn(FEATURES, array_to_vector(F.col(x)))).select(*keep, F.col("prediction").alias(out))
 

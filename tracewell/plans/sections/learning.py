@@ -1,6 +1,7 @@
 """ML: baselines, models, calibration, screening and grids on the embedding vectors."""
 
 import uuid
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import functions as F
 
@@ -13,7 +14,7 @@ from tracewell.plans.registry import q6, query, r6, rounded
 from tracewell.plans.sections.audits import initial_confounding, states
 from tracewell.plans.sections.splits import SEEDS
 from tracewell.plans.sections.windows import ID
-from tracewell.session import shared_dir
+from tracewell.session import cut_lineage, shared_dir
 from tracewell.sources import sinks
 
 LABELS = list(range(10))
@@ -63,9 +64,11 @@ def ml_05(spark, d):
 @query("ml_06_tree_regressors")
 def ml_06(spark, d):
     rows = b.bigtraj(spark, d).select(ID, "t", F.array("f_qty", "f_disc", "f_tax").alias("x"), "f_price")
-    tr, te = rows.where(TRAIN), rows.where(f"NOT ({TRAIN})")
-    rf = learn.regress(learn.fit_forest_regressor(tr, "f_price"), te, out="forest")
-    both = learn.regress(learn.fit_boosted_regressor(tr, "f_price"), rf, out="boosted")
+    tr, te = cut_lineage(rows.where(TRAIN)), rows.where(f"NOT ({TRAIN})")  # aggregated once for every fit
+    with ThreadPoolExecutor(2) as pool:
+        forest, boosted = pool.submit(learn.fit_forest_regressor, tr, "f_price"), pool.submit(learn.fit_boosted_regressor, tr, "f_price")
+        rf = learn.regress(forest.result(), te, out="forest")
+        both = learn.regress(boosted.result(), rf, out="boosted")
     long = both.unpivot(["f_price"], ["forest", "boosted"], "model", "estimate")
     return rounded(metrics.regression(long, ["model"], "f_price", "estimate"), 2)
 
