@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 import numpy as np
 from pyspark.sql import Column, DataFrame, Window
@@ -13,6 +13,7 @@ from tracewell.operators import splits
 from tracewell.operators.decide import ClassDistance
 from tracewell.operators.learn import Classifier
 from tracewell.operators.ordered import attach
+from tracewell.operators.windows import perturb_after
 
 EPS = 1e-15
 
@@ -146,6 +147,26 @@ def stability(before: DataFrame, after: DataFrame, keys: Sequence[str], feature:
     return out.select(*keys, "common", (F.col("common") / F.col("_union")).alias("jaccard"), F.when(F.col("common") >= 2, F.col("_r")).alias("rank_correlation"))
 
 
+def perturbation_stability(
+    raw: DataFrame, scales: DataFrame, features: Sequence[str], injection: float, run: Callable[[DataFrame], tuple[DataFrame, DataFrame]],
+    keys: Sequence[str], factor: float = 0.001, k: int = 5,
+) -> DataFrame:
+    """Decide every trajectory twice, from its series as it is and from the series moved by `factor` of each train scale after the injection.
+
+    `run` takes raw series and gives the decisions (keys, status, score) and their contributions (keys, feature, contribution).  One row
+    per trajectory: both statuses and whether they differ, the change of the score, and Jaccard and rank correlation of the
+    top-k features.  A trajectory that only one run decides keeps its row, with NULL for the other.
+    """
+    decided, parts = run(raw)
+    again, parts_again = run(perturb_after(raw, scales, features, injection, factor))
+    both = decided.select(*keys, "status", "score").join(
+        again.select(*keys, F.col("status").alias("perturbed_status"), F.col("score").alias("_score")), list(keys), "full_outer")
+    out = both.join(stability(parts, parts_again, keys, k=k), list(keys), "left")
+    return out.select(
+        *keys, "status", "perturbed_status", (~F.col("status").eqNullSafe(F.col("perturbed_status"))).alias("status_changed"),
+        (F.col("_score") - F.col("score")).alias("score_change"), "common", "jaccard", "rank_correlation")
+
+
 def uncertainty(probs: Column, labels: Sequence[str]) -> dict[str, Column]:
     """Top two labels, margin and nonconformity of the best label."""
     order = F.reverse(F.array_sort(F.transform(F.arrays_zip(probs.alias("p"), F.array(*[F.lit(len(labels) - i) for i in range(len(labels))]).alias("o"), F.array(*[F.lit(c) for c in labels]).alias("l")), lambda s: s)))

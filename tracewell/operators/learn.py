@@ -331,6 +331,55 @@ def evaluate_grid(rows: DataFrame, splits: Sequence[str], models: Mapping[str, F
         return reduce(lambda a, c: a.unionByName(c), list(pool.map(run, cells)))
 
 
+@dataclass(frozen=True)
+class Constant:
+    """One answer for every row."""
+
+    answer: object
+
+    def predict(self, df: DataFrame, x: str = "x", guess: str = "y_pred") -> DataFrame:
+        return df.withColumn(guess, F.lit(self.answer))
+
+
+def fit_heaviest_class(train: DataFrame, label: str, weight: str = "weight") -> Constant:
+    """The class with the largest sum of weights (to nine digits), ties to the smallest label."""
+    per = train.groupBy(label).agg(F.round(F.sum(weight), 9).alias("w")).orderBy(F.desc("w"), label)
+    return Constant(per.first()[label])
+
+
+MODES = ("unweighted", "class_balanced")
+
+
+def evaluation_grid(
+    features: DataFrame, assignments: DataFrame, models: Mapping[str, Callable[[DataFrame], object]], label: str, modes: Sequence[str] = MODES,
+    axes: Sequence[str] = ("window_s", "input_group"), id: str = "sample_id", workers: int = 4,
+) -> DataFrame:
+    """Predictions of every cell split x axes x mode x model for its validation and test rows, as one long table.
+
+    `features` has one row for each id and value of the axes, with x and the label; `assignments` gives each id its partition in
+    each split.  Both are joined and staged once; every cell reads its rows from there.  Cells are independent
+    jobs from a small thread pool.  A model is fitted on train rows that carry `weight` (1, or N / (K n_c) in the balanced mode) and has
+    `predict`.  The grid's cells are named on the driver, no row is.
+    """
+    rows = cut_lineage(features.join(assignments.select(id, "split_id", "partition"), id))
+    if rows.groupBy(id, "split_id", *axes).count().where("count > 1").head(1):
+        raise ValueError("more than one row for an id in a cell")
+    cells = [(tuple(c), mode, name) for c in rows.select("split_id", *axes).distinct().collect() for mode in modes for name in models]
+
+    def run(cell) -> DataFrame:
+        where, mode, name = cell
+        part = rows
+        for column, value in zip(("split_id", *axes), where, strict=True):
+            part = part.where(F.col(column) == value)
+        train = part.where("partition = 'train'")
+        train = agg.balanced_weights(train, label) if mode == "class_balanced" else train.withColumn("weight", F.lit(1.0))
+        held = models[name](train).predict(part.where(F.col("partition").isin("validation", "test")))
+        return held.select("split_id", *axes, F.lit(mode).alias("mode"), F.lit(name).alias("model"), "partition", id, label, "y_pred")
+
+    with ThreadPoolExecutor(workers) as pool:
+        return reduce(lambda a, c: a.unionByName(c), list(pool.map(run, cells)))
+
+
 def fit_two_stage(train: DataFrame, family: str, label: str, fit: Callable[[DataFrame, str, Sequence], Classifier], min_rows: int = 20, min_class: int = 5):
     """Family model plus one subtype model per family with enough data; otherwise the family's majority class."""
     counts = train.groupBy(family, label).agg(F.count(F.lit(1)).alias("n")).collect()  # one row per class

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tracewell.operators.ordered import attach, quantile_bucket, running_sum
 from tracewell.operators.quantiles import order_statistics, quantiles
 from tracewell.operators.aggregates import conformal_rank
+from tracewell.operators.ranking import best_per_group, held_out_row
 
 COUNT = "_count"
 
@@ -160,6 +161,59 @@ def combination_thresholds(
     ).drop("_i", "_j")
 
 
+def cumulative_counts(pred: DataFrame, keys: Sequence[str], good: str, bad: str, at_least: Sequence[float], at_most: Sequence[float], truth: str = "y_true", guess: str = "y_pred") -> DataFrame:
+    """For each pair (i, j) of thresholds: confusion counts of the rows with `good` >= at_least[i] and `bad` <= at_most[j], and of all others.
+
+    Rows are counted once by the number of thresholds that each of their scores passes; the pairs only add up these counts.
+    """
+    passed = [F.transform(F.array(*[F.lit(float(v)) for v in at_least]), lambda v: F.coalesce(F.col(good) >= v, F.lit(False))),
+              F.transform(F.array(*[F.lit(float(v)) for v in at_most]), lambda v: F.coalesce(F.col(bad) <= v, F.lit(False)))]
+    counts = pred.groupBy(*keys, truth, guess, passed[0].alias("_a"), passed[1].alias("_b")).agg(F.count(F.lit(1)).alias(COUNT))
+    spread = counts.select("*", F.posexplode("_a").alias("i", "_ga")).select("*", F.posexplode("_b").alias("j", "_gb"))
+    return spread.groupBy(*keys, "i", "j", truth, guess, (F.col("_ga") & F.col("_gb")).alias("_accepted")).agg(F.sum(COUNT).alias(COUNT))
+
+
+def fitted_combination(
+    validation: DataFrame, test: DataFrame, labels: Sequence[str], good: str, bad: str, targets: Sequence[float], target: float,
+    truth: str = "y_true", guess: str = "y_pred",
+) -> DataFrame:
+    """Threshold pairs fitted and ranked on validation rows, and what each does to the test rows.
+
+    One row per partition and pair with the selective metrics, the thresholds, the pair's `position` on validation (coverage
+    closest to `target`, then macro-F1, accuracy and the order of `targets`) and whether it is the `chosen` one.  Only the
+    thresholds, one number per target and score, reach the driver.
+    """
+    names = {f"q{i}": t for i, t in enumerate(targets)}
+    lo = quantiles(validation, [], good, {n: 1.0 - t for n, t in names.items()}, "lower").first()
+    hi = quantiles(validation, [], bad, dict(names), "higher").first()
+    low, high = [lo[n] for n in names], [hi[n] for n in names]
+    both = validation.select(F.lit("validation").alias("partition"), truth, guess, good, bad).unionByName(test.select(F.lit("test").alias("partition"), truth, guess, good, bad))
+    out = selective_from_counts(cumulative_counts(both, ["partition"], good, bad, low, high, truth, guess), ["partition", "i", "j"], labels, truth, guess)
+    w = Window.partitionBy("partition").orderBy(  # one row per pair
+        F.round(F.abs(F.col("coverage") - target), 12), F.round("selective_macro_f1", 12).desc_nulls_last(), F.round("selective_accuracy", 12).desc_nulls_last(), "i", "j")
+    place = out.withColumn("position", F.row_number().over(w).cast("long")).where("partition = 'validation'").select("i", "j", "position")
+    at = lambda values, k: F.get(F.array(*[F.lit(float(v)) for v in values]), F.col(k))
+    out = attach(out, place, ["i", "j"])
+    return out.select(
+        "partition", at(targets, "i").alias("good_target"), at(targets, "j").alias("bad_target"), at(low, "i").alias("good_threshold"), at(high, "j").alias("bad_threshold"),
+        *[c for c in out.columns if c not in ("partition", "i", "j", "position")], "position", (F.col("position") == 1).alias("chosen"))
+
+
+def select_setting(per: DataFrame, keys: Sequence[str], settings: Sequence[str], scores: Sequence[str] = ("macro_f1_fixed", "accuracy")) -> DataFrame:
+    """The best setting of each key on its validation row, and what it reached on test.
+
+    `per` has one row for each key, setting and partition.  Scores are compared to nine digits, then settings in their order.  A chosen
+    setting without exactly one test row fails the job.
+    """
+    order = [*[F.round(s, 9).desc_nulls_last() for s in scores], *settings]
+    candidates = per.where("partition = 'validation'")
+    best = best_per_group(candidates, keys, order)
+    n = candidates.groupBy(*keys).agg(F.count(F.lit(1)).alias("candidates"))
+    test = held_out_row(best, per.where("partition = 'test'"), [*keys, *settings])
+    pick = lambda df, p: df.select(*keys, *settings, *[F.col(s).alias(f"{p}_{s}") for s in scores])
+    return pick(best, "validation").join(pick(test, "test"), [*keys, *settings]).join(n, list(keys))
+
+
 def reliability(
     pred: DataFrame, keys: Sequence[str], probs: str, labels: Sequence[str], bins: int = 10, truth: str = "y_true", guess: str = "y_pred", eps: float = 1e-15
 ) -> DataFrame:

@@ -269,6 +269,58 @@ def exp_06(spark, d):
     return rounded(explain.stability(raw_contributions(spark, d), raw_contributions(spark, d, 0.05), [ID]))
 
 
+FACTORS = [0.001, 0.3]
+_MOVED = ", ".join(f"CASE WHEN t > 0.5 THEN {f} + factor*(SELECT stddev_pop({f}) FROM traj WHERE sample_id % 5 <> 0) ELSE {f} END AS {f}" for f in b.FEATURES)
+define_cte("moved", ["traj"], f"""
+  SELECT factor, sample_id, t, {_MOVED} FROM traj CROSS JOIN (VALUES (0.0), {", ".join(f"({x})" for x in FACTORS)}) v(factor)""")
+define_cte("movedfeat", ["moved"], """
+  SELECT factor, sample_id, feature || '__mean' AS f, avg(x) AS v FROM (SELECT * FROM moved UNPIVOT (x FOR feature IN (f_click, f_view, f_purchase, f_signup, f_error))) z WHERE t > 0.5 AND t <= 12.5 GROUP BY 1, 2, 3
+  UNION ALL SELECT factor, sample_id, feature || '__last', max_by(x, t) FROM (SELECT * FROM moved UNPIVOT (x FOR feature IN (f_click, f_view, f_purchase, f_signup, f_error))) z WHERE t > 0.5 AND t <= 12.5 GROUP BY 1, 2, 3""")
+define_cte("movedz", ["movedfeat", "cls"], """
+  SELECT factor, sample_id, f, (v - m)/s AS z FROM movedfeat JOIN (SELECT f, avg(v) AS m, CASE WHEN stddev_pop(v) >= 1e-9 THEN stddev_pop(v) ELSE 1 END AS s FROM movedfeat WHERE factor = 0 AND sample_id % 5 <> 0 GROUP BY 1) p USING (f)""")
+define_cte("movedparts", ["movedz"], """
+  WITH k AS (SELECT class, f, avg(z) AS c FROM movedz JOIN cls USING (sample_id) WHERE factor = 0 AND sample_id % 5 <> 0 GROUP BY 1, 2),
+  g AS (SELECT factor, sample_id, class AS guess, d FROM (SELECT factor, sample_id, class, avg((z - c)**2) AS d FROM movedz JOIN k USING (f) GROUP BY 1, 2, 3) x QUALIFY ROW_NUMBER() OVER (PARTITION BY factor, sample_id ORDER BY d, class) = 1)
+  SELECT z.factor, z.sample_id, z.f, guess, d, round((z.z - k.c)**2, 9) AS part, CASE WHEN d <= 1 THEN 'accepted ' || guess ELSE 'requires_review' END AS status FROM movedz z JOIN g ON g.factor = z.factor AND g.sample_id = z.sample_id JOIN k ON k.f = z.f AND k.class = g.guess""")
+
+
+def _nearest_class(spark, d):
+    """A decision that follows from the raw series: window features, the nearest class centre, and each feature's part of the distance."""
+    names = [f"{f}__{s}" for s in ("mean", "last") for f in b.FEATURES]
+
+    def features(raw):
+        return win.window_summary(raw, b.FEATURES, [12], b.INJECTION).select(ID, F.array(*names).alias("x"))
+
+    model = learn.fit_centroids(features(b.traj(spark, d)).join(b.cls(spark, d), ID).where(TRAIN), "class")
+
+    def run(raw):
+        out = model.predict(features(raw))
+        mid = F.element_at(F.create_map(*[v for c, m in model.centers.items() for v in (F.lit(c), F.array(*[F.lit(float(y)) for y in m]))]), F.col("y_pred"))
+        lit = lambda vs: F.array(*[F.lit(float(v)) for v in vs])
+        z = F.zip_with(F.zip_with("x", lit(model.mean), lambda a, m: a - m), lit(model.spread), lambda a, s: a / s)
+        cells = out.select(ID, F.posexplode(F.zip_with(z, mid, lambda a, m: F.round((a - m) * (a - m), 9))).alias("j", "contribution"))
+        status = F.when(F.col("distance") <= 1, F.concat(F.lit("accepted "), "y_pred")).otherwise("requires_review")
+        return out.select(ID, status.alias("status"), F.col("distance").alias("score")), cells.select(ID, F.get(F.array(*[F.lit(n) for n in names]), F.col("j")).alias("feature"), "contribution")
+
+    return run
+
+
+@query("exp_06_perturbation_stability", sql("movedparts", f"""
+  WITH r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY factor, sample_id ORDER BY part DESC, f) AS r FROM movedparts),
+  a AS (SELECT q.factor, sample_id, f, r FROM r CROSS JOIN (VALUES {", ".join(f"({x})" for x in FACTORS)}) q(factor) WHERE r.factor = 0 AND r <= 5), c AS (SELECT factor, sample_id, f, r FROM r WHERE factor > 0 AND r <= 5),
+  x AS (SELECT COALESCE(a.factor, c.factor) AS factor, COALESCE(a.sample_id, c.sample_id) AS sample_id, a.r AS ra, c.r AS rb FROM a FULL JOIN c ON a.factor = c.factor AND a.sample_id = c.sample_id AND a.f = c.f),
+  s AS (SELECT factor, sample_id, count(*) FILTER (ra IS NOT NULL AND rb IS NOT NULL) AS common, count(*) AS every, corr(CASE WHEN rb IS NOT NULL THEN ra END, CASE WHEN ra IS NOT NULL THEN rb END) AS rho FROM x GROUP BY 1, 2),
+  st AS (SELECT DISTINCT factor, sample_id, status, d FROM movedparts)
+  SELECT p.sample_id, p.factor::DOUBLE AS factor, o.status, p.status AS perturbed_status, o.status <> p.status AS status_changed, {q6('p.d - o.d')} AS score_change, common, {q6('common/every')} AS jaccard, CASE WHEN common >= 2 THEN {q6('rho')} END AS rank_correlation
+  FROM st p JOIN st o ON o.factor = 0 AND o.sample_id = p.sample_id JOIN s ON s.factor = p.factor AND s.sample_id = p.sample_id WHERE p.factor > 0"""))
+def exp_06b(spark, d):
+    t = b.traj(spark, d)
+    scales = t.where(TRAIN).agg(*[F.stddev_pop(f).alias(f"{f}_scale") for f in b.FEATURES])
+    run = _nearest_class(spark, d)
+    parts = [explain.perturbation_stability(t, scales, b.FEATURES, b.INJECTION, run, [ID], x).withColumn("factor", F.lit(x)) for x in FACTORS]
+    return rounded(parts[0].unionByName(parts[1]))
+
+
 @query("exp_07_uncertainty", sql("scored", f"""
   SELECT grp, y_pred AS top1, CASE y_pred WHEN 'A' THEN CASE WHEN p_n >= p_r THEN 'N' ELSE 'R' END WHEN 'N' THEN CASE WHEN p_a >= p_r THEN 'A' ELSE 'R' END ELSE CASE WHEN p_a >= p_n THEN 'A' ELSE 'N' END END AS top2,
          {q6('avg(conf - list_sort([p_a, p_n, p_r])[2])')} AS margin, {q6('avg(1 - conf)')} AS nonconformity, count(*) AS n FROM scored GROUP BY 1, 2, 3"""))

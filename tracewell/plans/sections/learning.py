@@ -185,6 +185,57 @@ def ml_13(spark, d):
     return rounded(metrics.classification(p, ["split_id", "partition", "model"], [0, 1, 2, 3, 4], "family"))
 
 
+GRID_WINDOWS, GRID_SEEDS = [6, 12], SEEDS[:2]
+GRID_GROUPS = {"A": b.FEATURES, "B": b.FEATURES[:2]}
+define_cte("gridcells", ["long", "cls"], f"""
+  SELECT s.split_id, s.partition, w.window_s, g.input_group, w.sample_id, s.class, w.feature, w.v FROM (
+    SELECT sample_id, class, 'seed_' || seed AS split_id, CASE WHEN k < nt THEN 'test' WHEN k < 2*nt THEN 'validation' ELSE 'train' END AS partition FROM (
+      SELECT *, ROW_NUMBER() OVER (PARTITION BY seed, class ORDER BY sha256(seed || '|' || sample_id), sample_id) - 1 AS k, greatest(1, CAST(round_even(0.2*count(*) OVER (PARTITION BY seed, class), 0) AS BIGINT)) AS nt
+      FROM cls CROSS JOIN (VALUES {", ".join(f"({s})" for s in GRID_SEEDS)}) v(seed)) z) s
+  JOIN (SELECT sample_id, window_s, feature, avg(x) AS v FROM long CROSS JOIN (VALUES (6), (12)) q(window_s) WHERE t > 0.5 AND t <= window_s + 0.5 GROUP BY 1, 2, 3) w USING (sample_id)
+  JOIN (VALUES {", ".join(f"('{g}', '{f}')" for g, fs in GRID_GROUPS.items() for f in fs)}) g(input_group, feature) ON g.feature = w.feature""")
+define_cte("gridpred", ["gridcells"], """
+  WITH z AS (SELECT c.*, (v - m)/s AS z FROM gridcells c JOIN (SELECT split_id, window_s, input_group, feature, avg(v) AS m, CASE WHEN stddev_pop(v) >= 1e-9 THEN stddev_pop(v) ELSE 1 END AS s FROM gridcells WHERE partition = 'train' GROUP BY 1, 2, 3, 4) p USING (split_id, window_s, input_group, feature)),
+  k AS (SELECT split_id, window_s, input_group, feature, class AS guess, avg(z) AS z FROM z WHERE partition = 'train' GROUP BY 1, 2, 3, 4, 5),
+  n AS (SELECT split_id, window_s, input_group, partition, sample_id, class, guess AS y_pred FROM (
+    SELECT z.split_id, z.window_s, z.input_group, z.partition, z.sample_id, z.class, k.guess, avg((z.z - k.z)**2) AS d FROM z JOIN k USING (split_id, window_s, input_group, feature) WHERE partition <> 'train' GROUP BY 1, 2, 3, 4, 5, 6, 7) y
+    QUALIFY ROW_NUMBER() OVER (PARTITION BY split_id, window_s, input_group, sample_id ORDER BY d, guess) = 1),
+  t AS (SELECT DISTINCT split_id, sample_id, class FROM gridcells WHERE partition = 'train'),
+  h AS (SELECT split_id, class AS top FROM t GROUP BY 1, 2 QUALIFY ROW_NUMBER() OVER (PARTITION BY split_id ORDER BY count(*) DESC, class) = 1),
+  e AS (SELECT split_id, min(class) AS top FROM t GROUP BY 1)
+  SELECT mode, 'centroid' AS model, n.* FROM n CROSS JOIN (VALUES ('unweighted'), ('class_balanced')) v(mode)
+  UNION ALL SELECT 'unweighted', 'heaviest_class', n.* REPLACE (top AS y_pred) FROM n JOIN h USING (split_id)
+  UNION ALL SELECT 'class_balanced', 'heaviest_class', n.* REPLACE (top AS y_pred) FROM n JOIN e USING (split_id)""")
+define_cte("gridmetrics", ["gridpred"], f"""
+  SELECT split_id, window_s, input_group, mode, model, partition, sum(tp)/max(n) AS accuracy, avg(CASE WHEN support + predicted > 0 THEN 2*tp/(support + predicted) ELSE 0 END) AS macro_f1_fixed FROM (
+    SELECT split_id, window_s, input_group, mode, model, partition, label, count(*) AS n, count(*) FILTER (class = label) AS support, count(*) FILTER (y_pred = label) AS predicted, count(*) FILTER (class = label AND y_pred = label) AS tp
+    FROM gridpred CROSS JOIN (VALUES {", ".join(f"('{c}')" for c in b.CLASSES)}) l(label) GROUP BY ALL) z GROUP BY ALL""")
+
+
+def _cells(spark, d):
+    from tracewell.operators import windows as win
+
+    feats = win.window_summary(b.traj(spark, d), b.FEATURES, GRID_WINDOWS, b.INJECTION)
+    groups = F.explode(F.array(*[F.struct(F.lit(g).alias("input_group"), F.array(*[f"{f}__mean" for f in fs]).alias("x")) for g, fs in GRID_GROUPS.items()]))
+    cells = feats.select(ID, F.col("window_s").cast("int").alias("window_s"), groups.alias("_g")).select(ID, "window_s", "_g.*")
+    return cells.join(b.cls(spark, d), ID)
+
+
+@query("ml_13_grid_selection", sql("gridmetrics", f"""
+  SELECT split_id, window_s, input_group, mode, model, candidates, {", ".join(f"{q6(f'{p}.{m}')} AS {n}_{m}" for p, n in (("v", "validation"), ("t", "test")) for m in ("macro_f1_fixed", "accuracy"))} FROM (
+    SELECT *, count(*) OVER (PARTITION BY split_id, window_s) AS candidates FROM gridmetrics WHERE partition = 'validation'
+    QUALIFY ROW_NUMBER() OVER (PARTITION BY split_id, window_s ORDER BY round(macro_f1_fixed, 9) DESC, round(accuracy, 9) DESC, input_group, mode, model) = 1) v
+  JOIN (SELECT * FROM gridmetrics WHERE partition = 'test') t USING (split_id, window_s, input_group, mode, model)"""))
+def ml_13b(spark, d):
+    rows = _cells(spark, d)
+    assigned = splits.repeated_stratified(b.cls(spark, d), "class", ID, GRID_SEEDS)
+    models = {"centroid": lambda t: learn.fit_centroids(t, "class"), "heaviest_class": lambda t: learn.fit_heaviest_class(t, "class")}
+    pred = learn.evaluation_grid(rows, assigned, models, "class")
+    axes = ["input_group", "mode", "model"]
+    per = metrics.classification(pred, ["split_id", "window_s", *axes, "partition"], b.CLASSES, "class")
+    return rounded(metrics.select_setting(per, ["split_id", "window_s"], axes))
+
+
 @query("ml_14_two_stage")
 def ml_14(spark, d):
     f = b.feat(spark, d)

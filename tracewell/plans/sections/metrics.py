@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tracewell.functions import scalars as sc
-from tracewell.operators import align, metrics, ranking, splits
+from tracewell.operators import align, directional, metrics, ranking, splits
 from tracewell.operators import aggregates as agg
 from tracewell.plans import bindings as b
 from tracewell.plans.bindings import define_cte, sql
@@ -127,6 +127,25 @@ def met_08(spark, d):
     return rounded(out.drop("position"))
 
 
+define_cte("combfit", ["scored"], f"""
+  SELECT CASE WHEN row_id % 5 = 1 THEN 'validation' ELSE 'test' END AS partition, s.y_true, s.y_pred, a.i AS gi, c.i AS bi, a.t AS good_target, c.t AS bad_target, a.th AS good_threshold, c.th AS bad_threshold, s.conf >= a.th AND s.p_r <= c.th AS acc FROM scored s
+  CROSS JOIN (SELECT i, t, max(v) AS th FROM (SELECT conf AS v, ROW_NUMBER() OVER (ORDER BY conf) - 1 AS k, count(*) OVER () AS n FROM scored WHERE row_id % 5 = 1) z JOIN (VALUES {_T}) x(i, t) ON k = floor(round((1 - t)*(n - 1), 9)) GROUP BY 1, 2) a
+  CROSS JOIN (SELECT i, t, max(v) AS th FROM (SELECT p_r AS v, ROW_NUMBER() OVER (ORDER BY p_r) - 1 AS k, count(*) OVER () AS n FROM scored WHERE row_id % 5 = 1) z JOIN (VALUES {_T}) x(i, t) ON k = ceil(round(t*(n - 1), 9)) GROUP BY 1, 2) c""")
+metric_cte("combfit", ["partition", "gi", "bi"], "lab_combfit", "acc")
+
+
+@query("met_08_fitted_combination", sql("combfit lab_combfit", f"""
+  WITH m AS ({selective_sql("combfit", "lab_combfit", ["partition", "gi", "bi"])}),
+  p AS (SELECT gi, bi, ROW_NUMBER() OVER (ORDER BY round(abs(coverage - 0.7), 12), selective_macro_f1 DESC NULLS LAST, selective_accuracy DESC NULLS LAST, gi, bi) AS position FROM m WHERE partition = 'validation'),
+  t AS (SELECT gi, bi, max(good_target) AS good_target, max(bad_target) AS bad_target, {q6('max(good_threshold)')} AS good_threshold, {q6('max(bad_threshold)')} AS bad_threshold FROM combfit GROUP BY 1, 2)
+  SELECT partition, good_target, bad_target, good_threshold, bad_threshold, n_total, n_accepted, n_rejected, coverage, selective_accuracy, selective_macro_f1, selective_balanced_accuracy, risk, reject_rate, position, position = 1 AS chosen
+  FROM m JOIN p USING (gi, bi) JOIN t USING (gi, bi)"""))
+def met_08b(spark, d):
+    s = scored_pred(spark, d)
+    out = metrics.fitted_combination(s.where("row_id % 5 = 1"), s.where("row_id % 5 <> 1"), LABELS, "conf", "p_r", TARGETS, 0.7)
+    return rounded(out)
+
+
 @query("met_09_reliability", sql("scored", f"""
   WITH r AS (SELECT grp, least(floor(conf*10), 9)::INT AS bin, conf, CASE WHEN y_true = y_pred THEN 1.0 ELSE 0.0 END AS ok,
       (p_a - (y_true='A')::INT)**2 + (p_n - (y_true='N')::INT)**2 + (p_r - (y_true='R')::INT)**2 AS br, -ln(CASE y_true WHEN 'A' THEN p_a WHEN 'N' THEN p_n ELSE p_r END) AS ll FROM scored),
@@ -227,19 +246,6 @@ define_cte("dirpred", ["ext"], "SELECT *, class AS y_true, CASE sample_id % 5 WH
 SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
 
-def directional_errors(assigned, labels, severity="severity", label="class", guess="y_pred", split="split_id"):
-    """Per direction and class: precision, recall, F1, main confusion target, nearest-train gap and severity ranges."""
-    test = assigned.where("partition = 'test'").withColumn("y_true", F.col(label))
-    per = metrics.per_class(test, [split], labels, "y_true", guess)
-    wrong = agg.most_frequent(test.where(F.col("y_true") != F.col(guess)), [split, "y_true"], guess, "main_confusion_target").drop("votes")
-    gaps = align.nearest_in_train(assigned, severity, [split, label]).groupBy(split, label).agg(F.avg("gap").alias("nearest_gap_mean"))
-    rng = assigned.groupBy(split, label).agg(*[
-        f(F.when(F.col("partition") == p, F.col(severity))).alias(f"{p}_{severity}_{n}") for p in ("train", "test") for n, f in (("min", F.min), ("max", F.max))])
-    out = per.join(wrong.withColumnRenamed("y_true", "label"), [split, "label"], "left")
-    out = out.join(gaps.withColumnRenamed(label, "label"), [split, "label"], "left")
-    return out.join(rng.withColumnRenamed(label, "label"), [split, "label"], "left")
-
-
 @query("met_14_directional_errors", sql("dirpred ext", f"""
   WITH l AS (SELECT DISTINCT split_id, label FROM dirpred CROSS JOIN (VALUES {", ".join(f"('{x}')" for x in SEGMENTS)}) v(label)),
   c AS (SELECT l.*, count(*) FILTER (y_true = label) AS support, count(*) FILTER (y_pred = label) AS predicted, count(*) FILTER (y_true = label AND y_pred = label) AS tp FROM l JOIN dirpred p USING (split_id) GROUP BY 1, 2),
@@ -252,7 +258,60 @@ def directional_errors(assigned, labels, severity="severity", label="class", gue
 def met_14(spark, d):
     e = splits.extrapolation(b.sev(spark, d), "class", "severity", ID)
     guess = F.when(F.col(ID) % 5 == 0, "BUILDING").when(F.col(ID) % 5 == 1, "MACHINERY").otherwise(F.col("class"))
-    return rounded(directional_errors(e.withColumn("y_pred", guess), SEGMENTS))
+    return rounded(directional.directional_errors(e.withColumn("y_pred", guess), SEGMENTS))
+
+
+# each direction over five parts of the customers, as five splits
+define_cte("ext5", ["sev"], """
+  SELECT direction, part, sample_id, class, severity, CASE WHEN k < tc THEN 'test' WHEN k = tc THEN 'gap_excluded' WHEN k <= tc + vc THEN 'validation' ELSE 'train' END AS partition,
+         CASE sample_id % 7 WHEN 0 THEN 'BUILDING' WHEN 1 THEN 'MACHINERY' ELSE class END AS y_pred FROM (
+    SELECT *, greatest(1, CAST(round_even(0.2*(n - tc - 1), 0) AS BIGINT)) AS vc FROM (
+      SELECT *, CASE direction WHEN 'low_train_to_high_test' THEN n - 1 - r ELSE r END AS k, greatest(1, (n + 4)//5) AS tc FROM (
+        SELECT v.direction, sample_id % 5 AS part, sev.*, ROW_NUMBER() OVER w - 1 AS r, count(*) OVER (PARTITION BY v.direction, class, sample_id % 5) AS n
+        FROM sev CROSS JOIN (VALUES ('low_train_to_high_test'), ('high_train_to_low_test')) v(direction) WINDOW w AS (PARTITION BY v.direction, class, sample_id % 5 ORDER BY severity, sample_id)) a) b0) c
+  WHERE n >= 6 AND n - tc - 1 - vc >= 1""")
+EDGES = [0, 2, 5, 10, 20, 50, 100]
+
+
+def _five_parts(spark, d):
+    s = b.sev(spark, d).withColumn("part", F.col(ID) % 5).withColumn("cell", F.concat_ws("/", "class", "part"))
+    e = splits.extrapolation(s, "cell", "severity", ID).withColumnRenamed("split_id", "direction")
+    guess = F.when(F.col(ID) % 7 == 0, "BUILDING").when(F.col(ID) % 7 == 1, "MACHINERY").otherwise(F.col("class"))
+    return e.drop("cell", "split_type").withColumn("y_pred", guess)
+
+
+define_cte("dirsplit", ["ext5"], f"""
+  SELECT c.direction, c.part, label, support, CASE WHEN support > 0 THEN CASE WHEN predicted > 0 THEN tp/predicted ELSE 0 END END AS precision, {_REC} AS recall, CASE WHEN support > 0 THEN {_F1} END AS f1, w.y_pred AS target, gap, a, b, c0, d0 FROM (
+    SELECT l.*, count(*) FILTER (class = label) AS support, count(*) FILTER (y_pred = label) AS predicted, count(*) FILTER (class = label AND y_pred = label) AS tp FROM (SELECT DISTINCT direction, part, label FROM ext5 CROSS JOIN (VALUES {", ".join(f"('{x}')" for x in SEGMENTS)}) v(label)) l
+    JOIN ext5 p USING (direction, part) WHERE partition = 'test' GROUP BY 1, 2, 3) c
+  LEFT JOIN (SELECT direction, part, class, y_pred FROM ext5 WHERE partition = 'test' AND class <> y_pred GROUP BY 1, 2, 3, 4 QUALIFY ROW_NUMBER() OVER (PARTITION BY direction, part, class ORDER BY count(*) DESC, y_pred) = 1) w ON w.direction = c.direction AND w.part = c.part AND w.class = label
+  LEFT JOIN (SELECT direction, part, class, avg(gap) AS gap FROM (SELECT te.direction, te.part, te.class, te.sample_id, min(abs(tr.severity - te.severity)) AS gap FROM ext5 te JOIN ext5 tr ON tr.direction = te.direction AND tr.part = te.part AND tr.class = te.class AND tr.partition = 'train' WHERE te.partition = 'test' GROUP BY 1, 2, 3, 4) z GROUP BY 1, 2, 3) g ON g.direction = c.direction AND g.part = c.part AND g.class = label
+  LEFT JOIN (SELECT direction, part, class, min(severity) FILTER (partition='train') AS a, max(severity) FILTER (partition='train') AS b, min(severity) FILTER (partition='test') AS c0, max(severity) FILTER (partition='test') AS d0 FROM ext5 GROUP BY 1, 2, 3) r ON r.direction = c.direction AND r.part = c.part AND r.class = label""")
+_SD = "CASE WHEN count({0}) > 1 THEN stddev_samp({0}) WHEN count({0}) = 1 THEN 0 END"
+
+
+@query("met_14_direction_summary", sql("dirsplit", f"""
+  SELECT s.direction, s.label, COALESCE(n_splits, 0) AS n_splits, support_mean, support_min, precision_mean, precision_std, recall_mean, recall_std, f1_mean, f1_std, nearest_gap_mean, nearest_gap_std, train_severity_min, train_severity_max, test_severity_min, test_severity_max, target AS main_confusion_target
+  FROM (SELECT DISTINCT direction, label FROM dirsplit) s LEFT JOIN (
+    SELECT direction, label, count(*) AS n_splits, {q6('avg(support)')} AS support_mean, min(support) AS support_min, {", ".join(f"{q6(f'avg({m})')} AS {m}_mean, {q6(_SD.format(m))} AS {m}_std" for m in ("precision", "recall", "f1"))},
+           {q6('avg(gap)')} AS nearest_gap_mean, {q6(_SD.format('gap'))} AS nearest_gap_std, {q6('avg(a)')} AS train_severity_min, {q6('avg(b)')} AS train_severity_max, {q6('avg(c0)')} AS test_severity_min, {q6('avg(d0)')} AS test_severity_max FROM dirsplit WHERE support > 0 GROUP BY 1, 2) p USING (direction, label)
+  LEFT JOIN (SELECT direction, label, target FROM dirsplit WHERE support > 0 AND target IS NOT NULL GROUP BY 1, 2, 3 QUALIFY ROW_NUMBER() OVER (PARTITION BY direction, label ORDER BY count(*) DESC, target) = 1) m USING (direction, label)"""))
+def met_14b(spark, d):
+    errors = directional.directional_errors(_five_parts(spark, d), SEGMENTS, ["direction", "part"])
+    return rounded(directional.direction_summary(errors))
+
+
+_BIN = f"len(list_filter({EDGES}, lambda x: x <= gap)) - 1"
+
+
+@query("met_14_recall_by_gap", sql("ext5", f"""
+  WITH g AS (SELECT te.direction, te.class, te.y_pred, te.sample_id, te.part, min(abs(tr.severity - te.severity)) AS gap FROM ext5 te LEFT JOIN ext5 tr ON tr.direction = te.direction AND tr.part = te.part AND tr.class = te.class AND tr.partition = 'train' WHERE te.partition = 'test' GROUP BY 1, 2, 3, 4, 5)
+  SELECT v.direction, v.part, v.bin::INT AS bin, {EDGES}[v.bin + 1]::DOUBLE AS gap_from, {EDGES}[v.bin + 2]::DOUBLE AS gap_to, COALESCE(n, 0) AS n, COALESCE(hits, 0) AS hits, {q6('hits/n')} AS recall, {q6('gm')} AS gap_mean
+  FROM (SELECT DISTINCT direction, part, bin FROM ext5 CROSS JOIN range(-1, {len(EDGES)}) r(bin)) v LEFT JOIN (
+    SELECT direction, part, CASE WHEN gap IS NULL THEN -1 ELSE {_BIN} END AS bin, count(*) AS n, count(*) FILTER (class = y_pred) AS hits, avg(gap) AS gm FROM g GROUP BY 1, 2, 3) z ON z.direction = v.direction AND z.part = v.part AND z.bin = v.bin"""))
+def met_14c(spark, d):
+    out = directional.recall_by_gap(_five_parts(spark, d), EDGES, ["direction", "part"])
+    return rounded(out)
 
 
 define_cte("mapped", ["scored"], "SELECT 'fine' AS scope, y_true, y_pred FROM scored UNION ALL SELECT 'mapped', CASE y_true WHEN 'R' THEN 'Z' ELSE 'A' END, CASE y_pred WHEN 'R' THEN 'Z' ELSE 'A' END FROM scored")
