@@ -104,6 +104,25 @@ def evaluate_detectors(
     return cases, summary.join(own, "method", "left")
 
 
+def detector_cases(
+    long: DataFrame, events: DataFrame, starts: DataFrame, k: int, width: float, event: str = "first_protection_s", start: str = "injection_s",
+    id: str = "sample_id", t: str = "t",
+) -> DataFrame:
+    """Case rows per (trajectory, method) from scores with their limits (id, t, method, score, limit), each judged after its own start.
+
+    first_alarm_s is the first of k consecutive rows over the limit among the rows after the trajectory's `start`, delay_s counts from there;
+    points_above counts all rows over the limit after the start.  A trajectory without a start is judged from time 0 on.
+    """
+    begun = long.join(starts.select(id, F.col(start).alias("_start")), id, "left").withColumn("_start", F.coalesce("_start", F.lit(0.0))).where(F.col(t) > F.col("_start"))
+    groups = [id, "method"]
+    points = begun.groupBy(*groups).agg(F.max("_start").alias("start_s"), F.count(F.lit(1)).alias("points"), F.count_if(F.col("score") > F.col("limit")).alias("points_above"))
+    alarms = win.persistent_alarm(begun.drop("_start"), "score", F.col("limit"), k, width, groups, t)
+    a, e = F.col("first_alarm_s"), F.col(event)
+    return points.join(alarms, groups).join(events.select(id, event), id, "left").select(
+        *groups, "start_s", "points", "points_above", "first_alarm_s", event, a.isNotNull().alias("detected"),
+        F.coalesce(a < e, F.lit(False)).alias("detected_before_event"), (e - a).alias("lead_time_s"), (a - F.col("start_s")).alias("delay_s"))
+
+
 def deviation_gate(
     df: DataFrame, reference: DataFrame, features: Sequence[str], scales: Mapping[str, float | None], threshold: float, k: int,
     bucket: float, width: float, keys: Sequence[str] = (), id: str = "sample_id", t: str = "t", semantics: str = "legacy_off_by_one",

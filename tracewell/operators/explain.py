@@ -49,13 +49,53 @@ def permutation_importance(df: DataFrame, model: Classifier, label: str, feature
     parts = None
     for r in range(repeats):
         rows = shuffled_partner(df.select(id, label, "x"), id, seed, r)
-        variants = rows.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(len(features) - 1)))).withColumn(
-            "x", _replace("x", F.col("j"), F.get("_other", F.col("j")))).drop("_other")
+        # one cell of the partner goes with each variant, not its whole vector
+        variants = rows.select(id, label, "x", F.posexplode("_other").alias("j", "_cell")).withColumn("x", _replace("x", F.col("j"), F.col("_cell"))).drop("_cell")
         one = model.predict(variants).groupBy("j").agg(F.avg(loss).alias("m")).withColumn("repeat", F.lit(r))
         parts = one if parts is None else parts.unionByName(one)
     names = F.array(*[F.lit(f) for f in features])
+    delta = F.col("m") - base
     return parts.groupBy(F.get(names, F.col("j")).alias("feature")).agg(
-        F.avg(F.col("m") - base).alias("delta_log_loss"), F.avg(F.abs(F.col("m") - base)).alias("importance"))
+        F.avg(delta).alias("delta_log_loss"), F.stddev_pop(delta).alias("delta_std"), F.avg(F.abs(delta)).alias("importance"), F.count(F.lit(1)).alias("repeats"))
+
+
+def importance_variables(importance: DataFrame, feature: str = "feature") -> DataFrame:
+    """`permutation_importance` summed over the engineered features of each base variable."""
+    return importance.groupBy(base_variable(F.col(feature)).alias("variable")).agg(
+        F.sum("importance").alias("importance"), F.sum("delta_log_loss").alias("delta_log_loss"), F.count(F.lit(1)).alias("features"))
+
+
+def value_drivers(df: DataFrame, predict: Callable[[Column], Column], center: Sequence[float], names: Sequence[str], keep: Sequence[str], x: str = "x") -> DataFrame:
+    """Change of an estimate when one feature is set to its training centre, one row per feature.
+
+    `predict` turns a column of feature arrays into the estimate.
+    """
+    c = F.array(*[F.lit(float(v)) for v in center])
+    cells = df.select(*keep, x, predict(F.col(x)).alias("estimate"), F.explode(F.sequence(F.lit(0), F.lit(len(names) - 1))).alias("_j"))
+    moved = cells.withColumn("_x", _replace(x, F.col("_j"), F.get(c, F.col("_j"))))
+    return moved.select(*keep, F.get(F.array(*[F.lit(n) for n in names]), F.col("_j")).alias("feature"), "estimate", (F.col("estimate") - predict(F.col("_x"))).alias("contribution"))
+
+
+def value_faithfulness(
+    df: DataFrame, predict: Callable[[Column], Column], center: Sequence[float], k: int = 5, draws: int = 5, seed: int = 7, id: str = "sample_id", x: str = "x"
+) -> DataFrame:
+    """Change of an estimate when its k strongest features are set to their centres, against the mean and spread over random sets of k."""
+    size = len(center)
+    c = F.array(*[F.lit(float(v)) for v in center])
+    order = lambda key: F.transform(F.slice(F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda j: F.struct(key(j).alias("k"), j.alias("j")))), 1, k), lambda s: s["j"])
+    alone = lambda j: predict(_replace(x, j, F.get(c, j)))
+    effects = F.array(*[F.abs(F.col("_e") - alone(F.lit(j))) for j in range(size)])
+    without = lambda chosen: F.col("_e") - predict(F.transform(x, lambda v, i: F.when(F.array_contains(chosen, i), F.get(c, i)).otherwise(v)))
+    rows = df.select(id, x).withColumn("_e", predict(F.col(x))).withColumn("_abs", effects)
+    rows = rows.withColumn("_top", order(lambda j: -F.get("_abs", j)))
+    for i in range(draws):
+        rows = rows.withColumn(f"_r{i}", order(lambda j, i=i: F.xxhash64(F.lit(seed + i), F.col(id), j)))
+    random = [without(F.col(f"_r{i}")) for i in range(draws)]
+    mean = sum(random[1:], random[0]) / draws
+    out = rows.select(id, F.col("_e").alias("estimate"), F.array_sort("_top").alias("top_features"), without(F.col("_top")).alias("top_k_effect"), F.array(*random).alias("_random"), mean.alias("random_k_effect"))
+    spread = F.sqrt(F.aggregate("_random", F.lit(0.0), lambda acc, v: acc + (v - F.col("random_k_effect")) * (v - F.col("random_k_effect"))) / draws)
+    gain = F.col("top_k_effect") - F.col("random_k_effect")
+    return out.select(id, "estimate", "top_features", "top_k_effect", "random_k_effect", spread.alias("random_k_std"), gain.alias("difference"), (gain > 0).alias("top_exceeds_random"))
 
 
 def leave_one_out(df: DataFrame, model: Classifier, center: Sequence[float], features: Sequence[str], keep: Sequence[str]) -> DataFrame:
@@ -129,7 +169,8 @@ def faithfulness(df: DataFrame, model: Classifier, center: Sequence[float], feat
         "x", F.transform("x", lambda v, i: F.when(F.array_contains(F.col("_v.s"), i), F.get(c, i)).otherwise(v))).withColumn("kind", F.col("_v.kind")).drop("_v", "_set")
     drop = F.col("_p") - _own("probs", F.col("_guess"), model.labels)
     scored = model.predict(variants).groupBy(id).agg(
-        F.avg(F.when(F.col("kind") == "top", drop)).alias("top_k_effect"), F.avg(F.when(F.col("kind") == "random", drop)).alias("random_k_effect"))
+        F.avg(F.when(F.col("kind") == "top", drop)).alias("top_k_effect"), F.avg(F.when(F.col("kind") == "random", drop)).alias("random_k_effect"),
+        F.stddev_pop(F.when(F.col("kind") == "random", drop)).alias("random_k_std"))
     return scored.withColumn("difference", F.col("top_k_effect") - F.col("random_k_effect"))
 
 

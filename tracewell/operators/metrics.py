@@ -342,6 +342,21 @@ def capability_tiers(support: DataFrame, matched: str = "matched", low: str = "l
     return support.withColumn("tier", tier).withColumn("status", status)
 
 
+def family_tiers(classes: DataFrame, family: str = "family", label: str = "class", expected: str = "expected") -> DataFrame:
+    """Capability of each family from its members' support (label, family, matched, low_support, high_support), with the members named.
+
+    Only members with a matched case lend their support.  `expected` marks the members that a family must have: one of them without a matched
+    case keeps it from tier A.
+    """
+    active = F.col("matched") > 0
+    listed = lambda c: F.array_join(F.array_sort(F.collect_list(F.when(c, F.col(label)))), ";")  # a few members
+    out = classes.groupBy(family).agg(
+        listed(F.lit(True)).alias("members"), listed(F.col(expected)).alias("expected_members"), listed(active).alias("active_members"),
+        listed(F.col(expected) & ~active).alias("missing_members"),
+        *[F.coalesce(F.sum(F.when(active, F.col(c))), F.lit(0)).cast("long").alias(c) for c in ("matched", "low_support", "high_support")])
+    return capability_tiers(out, missing=F.col("missing_members") != "")
+
+
 def long_metrics(row: DataFrame, group: str, metrics: Sequence[str], key: str | None = None) -> DataFrame:
     """(metric_group, metric, key, value) rows from a wide metric table."""
     k = F.col(key).cast("string") if key else F.lit("")

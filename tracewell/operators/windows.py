@@ -123,6 +123,17 @@ def normalised_deviation(df: DataFrame, scales: Mapping[str, float | None], suff
     )
 
 
+def deviation_from_start(df: DataFrame, reference: DataFrame, features: Sequence[str], t: str = "t", least: float = 1e-6, suffix: str = "_ref") -> DataFrame:
+    """|x - ref| relative to the size of the reference's first row; a size under `least` counts as 1.
+
+    `df` carries the reference's values as `<feature><suffix>` (see `align.join_reference`).
+    """
+    start = reference.agg(*[F.abs(F.min_by(f, t)).alias(f"_start_{f}") for f in features])
+    joined = ordered.attach_row(df, start)
+    size = lambda f: F.when(F.col(f"_start_{f}") >= least, F.col(f"_start_{f}")).otherwise(F.lit(1.0))
+    return joined.select(*df.columns, *[(F.abs(F.col(f) - F.col(f"{f}{suffix}")) / size(f)).alias(f"{f}__score") for f in features])
+
+
 def persistent_alarm(
     df: DataFrame, score: str, threshold: float | Column, k: int, width: float, keys: Sequence[str] = ("sample_id",),
     t: str = "t", semantics: str = "strict", start_after: float | None = None, out: str = "first_alarm_s",

@@ -126,6 +126,27 @@ def ano_06b(spark, d):
     return rounded(anomaly.evaluate_detectors(b.bigtraj(spark, d), model, big_events(spark, d), ids, 2, WIDTH, b.INJECTION)[1])
 
 
+define_cte("robcases", ["robz", "bigtraj"], """
+  SELECT z.*, limit_, CAST(z.sample_id % 12 AS DOUBLE) AS start_s, robust_z > limit_ AS above FROM robz z CROSS JOIN (SELECT quantile_cont(robust_z, 0.95) AS limit_ FROM robz WHERE sample_id = (SELECT min(sample_id) FROM robz)) q WHERE t > z.sample_id % 12""")
+
+
+@query("ano_06_cases_after_start", sql("robcases bigtraj", f"""
+  WITH r AS (SELECT *, ROW_NUMBER() OVER (PARTITION BY sample_id, island ORDER BY t) AS run FROM (SELECT *, sum(CASE WHEN above THEN 0 ELSE 1 END) OVER (PARTITION BY sample_id ORDER BY t) AS island FROM robcases) z WHERE above),
+  a AS (SELECT sample_id, min(t) AS first_alarm_s FROM r WHERE run = 2 GROUP BY 1),
+  p AS (SELECT sample_id, max(start_s) AS start_s, count(*) AS points, count(*) FILTER (above) AS points_above FROM robcases GROUP BY 1),
+  e AS (SELECT sample_id, min(CASE WHEN f_qty > 250 THEN t END) AS first_protection_s FROM bigtraj GROUP BY 1)
+  SELECT sample_id, 'robust_z' AS method, start_s, points, points_above, first_alarm_s, first_protection_s, first_alarm_s IS NOT NULL AS detected, COALESCE(first_alarm_s < first_protection_s, false) AS detected_before_event,
+         first_protection_s - first_alarm_s AS lead_time_s, first_alarm_s - start_s AS delay_s FROM p LEFT JOIN a USING (sample_id) LEFT JOIN e USING (sample_id)"""))
+def ano_06c(spark, d):
+    ref = reference(spark, d)
+    center, scale, _ = anomaly.fit_robust(ref, BIG)
+    score = anomaly.robust_z(center, scale)
+    limit = quantiles(ref.select(score.alias("s")), [], "s", {"q": 0.95}).first()["q"]
+    long = b.bigtraj(spark, d).select(ID, "t", F.lit("robust_z").alias("method"), score.alias("score"), F.lit(limit).alias("limit"))
+    starts = b.bigtraj(spark, d).select(ID, (F.col(ID) % 12).cast("double").alias("injection_s")).distinct()
+    return anomaly.detector_cases(long, big_events(spark, d), starts, 2, WIDTH)
+
+
 define_cte("gatescale", ["refbig"], """
   SELECT feature, CASE WHEN greatest(stddev_samp(x), 0.01*median(abs(x))) >= 1e-6 THEN greatest(stddev_samp(x), 0.01*median(abs(x))) END AS scale
   FROM refbig UNPIVOT (x FOR feature IN (f_qty, f_price)) GROUP BY 1""")

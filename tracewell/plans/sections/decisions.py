@@ -183,6 +183,26 @@ def exp_01(spark, d):
     return rounded(explain.permutation_importance(held, m, "family", NAMES))
 
 
+@query("exp_01_importance_variables")
+def exp_01b(spark, d):
+    m, _, held = _model(spark, d)
+    return rounded(explain.importance_variables(explain.permutation_importance(held, m, "family", NAMES)))
+
+
+def _price_model(spark, d):
+    """The ridge estimate of ML-05 and the centre of its train rows."""
+    big = b.bigtraj(spark, d).select(ID, "t", F.array("f_qty").alias("x"), "f_price")
+    return big, learn.fit_ridge(big, "x", "f_price", 10.0)
+
+
+@query("exp_02_value_drivers", sql("bigtraj", f"""
+  WITH s AS (SELECT avg(f_qty) AS mx, stddev_pop(f_qty) AS sx, avg(f_price) AS my, median(f_qty) AS mid FROM bigtraj), w AS (SELECT mx, sx, my, mid, sum((f_qty - mx)/sx*(f_price - my))/(sum(((f_qty - mx)/sx)**2) + 10) AS w FROM bigtraj, s GROUP BY ALL)
+  SELECT sample_id, t, 'f_qty' AS feature, {q6('my + (f_qty - mx)/sx*w', 4)} AS estimate, {q6('(f_qty - mid)/sx*w', 4)} AS contribution FROM bigtraj, w"""))
+def exp_02b(spark, d):
+    big, ridge = _price_model(spark, d)
+    return rounded(explain.value_drivers(big, ridge.predict, learn.fit_medians(big), ["f_qty"], [ID, "t"]), 4)
+
+
 @query("exp_02_leave_one_feature_out")
 def exp_02(spark, d):
     m, center, held = _model(spark, d)
@@ -271,6 +291,17 @@ def exp_06(spark, d):
 
 FACTORS = [0.001, 0.3]
 _MOVED = ", ".join(f"CASE WHEN t > 0.5 THEN {f} + factor*(SELECT stddev_pop({f}) FROM traj WHERE sample_id % 5 <> 0) ELSE {f} END AS {f}" for f in b.FEATURES)
+@query("exp_05_value_faithfulness", sql("traj cls", "SELECT sample_id, 5::BIGINT AS removed, true AS spread_known, true AS exceeds_follows_effects FROM cls"))
+def exp_05b(spark, d):
+    rows = _feature_rows(spark, d)
+    train = rows.where("partition = 'train'")
+    ridge = learn.fit_ridge(train, "x", "size")
+    out = explain.value_faithfulness(rows, ridge.predict, learn.fit_medians(train))
+    return out.select(
+        ID, F.size("top_features").cast("long").alias("removed"), (F.col("random_k_std") >= 0).alias("spread_known"),
+        (F.col("top_exceeds_random") == (F.col("top_k_effect") > F.col("random_k_effect"))).alias("exceeds_follows_effects"))
+
+
 define_cte("moved", ["traj"], f"""
   SELECT factor, sample_id, t, {_MOVED} FROM traj CROSS JOIN (VALUES (0.0), {", ".join(f"({x})" for x in FACTORS)}) v(factor)""")
 define_cte("movedfeat", ["moved"], """

@@ -346,19 +346,40 @@ def met_17(spark, d):
 
 
 @query("met_18_capability_tiers", sql("ext sev", """
-  WITH s AS (SELECT class, count(*) AS matched FROM sev WHERE class <> 'MACHINERY' OR sample_id % 50 = 0 GROUP BY 1),
+  WITH s AS (SELECT class, count(*) AS matched FROM sev GROUP BY 1),
   t AS (SELECT class, count(*) FILTER (split_id = 'low_train_to_high_test') AS low_support, count(*) FILTER (split_id = 'high_train_to_low_test') AS high_support FROM ext WHERE partition = 'test' GROUP BY 1),
   c AS (SELECT v.class, COALESCE(matched, 0) AS matched, COALESCE(low_support, 0) AS low_support, COALESCE(high_support, 0) AS high_support FROM (VALUES ('AUTOMOBILE'),('BUILDING'),('FURNITURE'),('HOUSEHOLD'),('MACHINERY'),('NONE')) v(class) LEFT JOIN s USING (class) LEFT JOIN t USING (class))
   SELECT *, CASE WHEN matched >= 20 AND low_support >= 5 AND high_support >= 5 THEN 'Tier A' WHEN matched > 0 THEN 'Tier B' ELSE 'Tier C' END AS tier,
          CASE WHEN matched >= 20 AND low_support >= 5 AND high_support >= 5 THEN 'supported' WHEN matched > 0 THEN 'exploratory' ELSE 'not-supported' END AS status FROM c"""))
 def met_18(spark, d):
+    return metrics.capability_tiers(class_support(spark, d).select("class", "matched", "low_support", "high_support"))
+
+
+FAMILIES = {"AUTOMOBILE": "moving", "MACHINERY": "moving", "BUILDING": "home", "HOUSEHOLD": "home", "FURNITURE": "fitting", "NONE": "fitting", "OTHER": "rest"}
+
+
+def class_support(spark, d):
     s = b.sev(spark, d)
     test = splits.extrapolation(s, "class", "severity", ID).where("partition = 'test'")
     sup = test.groupBy("class").agg(F.count_if(F.col("split_id") == "low_train_to_high_test").alias("low_support"), F.count_if(F.col("split_id") == "high_train_to_low_test").alias("high_support"))
-    mat = s.where((F.col("class") != "MACHINERY") | (F.col(ID) % 50 == 0)).groupBy("class").agg(F.count(F.lit(1)).alias("matched"))
+    mat = s.groupBy("class").agg(F.count(F.lit(1)).alias("matched"))
     dim = spark.createDataFrame([(c,) for c in [*SEGMENTS, "NONE"]], "class string")
-    full = dim.join(mat, "class", "left").join(sup, "class", "left").na.fill(0)
-    return metrics.capability_tiers(full.select("class", "matched", "low_support", "high_support"))
+    return dim.join(mat, "class", "left").join(sup, "class", "left").na.fill(0)
+
+
+_FAM = ", ".join(f"('{c}', '{f}', {str(c != 'OTHER').lower()})" for c, f in FAMILIES.items())
+
+
+@query("met_18_family_tiers", sql("ext sev", f"""
+  WITH c AS (SELECT v.*, COALESCE(matched, 0) AS matched, COALESCE(low, 0) AS low, COALESCE(high, 0) AS high FROM (VALUES {_FAM}) v(class, family, expected) LEFT JOIN (SELECT class, count(*) AS matched FROM sev GROUP BY 1) s USING (class)
+    LEFT JOIN (SELECT class, count(*) FILTER (split_id = 'low_train_to_high_test') AS low, count(*) FILTER (split_id = 'high_train_to_low_test') AS high FROM ext WHERE partition = 'test' GROUP BY 1) t USING (class)),
+  f AS (SELECT family, string_agg(class, ';' ORDER BY class) AS members, COALESCE(string_agg(class, ';' ORDER BY class) FILTER (expected), '') AS expected_members, COALESCE(string_agg(class, ';' ORDER BY class) FILTER (matched > 0), '') AS active_members,
+    COALESCE(string_agg(class, ';' ORDER BY class) FILTER (expected AND matched = 0), '') AS missing_members, CAST(sum(matched) AS BIGINT) AS matched, CAST(sum(low) AS BIGINT) AS low_support, CAST(sum(high) AS BIGINT) AS high_support FROM c GROUP BY 1)
+  SELECT *, CASE WHEN full_ THEN 'Tier A' WHEN matched > 0 THEN 'Tier B' ELSE 'Tier C' END AS tier, CASE WHEN full_ THEN 'supported' WHEN matched > 0 THEN 'exploratory' ELSE 'not-supported' END AS status FROM (
+    SELECT *, matched >= 20 AND low_support >= 5 AND high_support >= 5 AND missing_members = '' AS full_ FROM f) z""").replace("SELECT *, CASE WHEN full_", "SELECT * EXCLUDE (full_), CASE WHEN full_"))
+def met_18b(spark, d):
+    fam = spark.createDataFrame([(c, f, c != "OTHER") for c, f in FAMILIES.items()], "class string, family string, expected boolean")
+    return metrics.family_tiers(fam.join(class_support(spark, d), "class", "left").na.fill(0))
 
 
 @query("met_19_parity", sql("traj cls", f"""

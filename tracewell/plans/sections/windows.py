@@ -164,6 +164,16 @@ def win_09(spark, d):
     return rounded(score_long(spark, d))
 
 
+@query("win_09_deviation_from_start", sql("long", f"""
+  SELECT l.sample_id, l.t, l.feature, {q6('abs(l.x - r.x)/CASE WHEN abs(s.x) >= 1e-6 THEN abs(s.x) ELSE 1 END')} AS score
+  FROM long l JOIN long r ON r.sample_id = 0 AND r.t = l.t AND r.feature = l.feature JOIN long s ON s.sample_id = 0 AND s.t = 0 AND s.feature = l.feature"""))
+def win_09b(spark, d):
+    ref = reference(spark, d)
+    out = win.deviation_from_start(align.join_reference(b.traj(spark, d), ref, b.FEATURES), ref, b.FEATURES)
+    long = out.unpivot([ID, "t"], [f"{f}__score" for f in b.FEATURES], "feature", "score")
+    return rounded(long.withColumn("feature", F.regexp_replace("feature", "__score$", "")))
+
+
 def score_long(spark, d):
     long = scored(spark, d).unpivot([ID, "t"], [f"{f}__score" for f in b.FEATURES], "feature", "score")
     return long.withColumn("feature", F.regexp_replace("feature", "__score$", ""))
