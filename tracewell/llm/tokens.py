@@ -31,7 +31,6 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
-        self.tok.encode_special_tokens = True
         n = self.tok.get_vocab_size()
         self.dtype = np.dtype("<u2" if n <= 1 << 16 else "<u4")
         self.width = np.array([len(self.tok.id_to_token(i) or "") for i in range(n)], np.int64)
