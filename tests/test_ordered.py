@@ -128,3 +128,31 @@ def test_large_keys_are_cut_beyond_the_sketch(spark, monkeypatch):
     placed = ordered.quantile_bucket(df, ["k"], "v", rows_per_bucket=5, side=2).where("k = 'k'")
     spans = placed.groupBy("_bucket").agg(F.min("v").alias("lo"), F.max("v").alias("hi")).orderBy("_bucket").collect()
     assert len(spans) > 4 and all(a["hi"] < b["lo"] for a, b in zip(spans[:-1], spans[1:], strict=True))
+
+
+@pytest.mark.parametrize("what", ["medians", "quantile_bucket", "row_numbers"])
+def test_one_key_with_most_rows_is_split(spark, what):
+    """With nothing small enough to broadcast, the rows of a key that has nearly all of them still spread over tasks."""
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "20k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "20k"}
+    before = {k: spark.conf.get(k, None) for k in conf}
+    for k, v in conf.items():
+        spark.conf.set(k, v)
+    try:
+        df = spark.range(40_000).selectExpr("IF(id % 10 = 0, concat('k', id % 70), 'hot') AS k", "id AS sample_id", "cast((id * 7919) % 40009 AS double) AS v").repartition(8)
+        if what == "medians":
+            out = medians(df, ["k"], "v", "m")
+        else:
+            out = ordered.quantile_bucket(df, ["k"], "v", 1000)
+            out = ordered.row_numbers(out, ["k"], ["v"]) if what == "row_numbers" else out.groupBy("k", ordered.BUCKET).count()
+        rows = out.collect()
+        plan = out._jdf.queryExecution().executedPlan().toString()
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
+    assert "SortMergeJoin(skew=true)" in plan
+    if what == "medians":
+        assert np.isclose({r["k"]: r["m"] for r in rows}["hot"], np.median([(i * 7919) % 40009 for i in range(40_000) if i % 10]))
+    elif what == "row_numbers":
+        assert sorted(r["rn"] for r in rows if r["k"] == "hot") == list(range(1, 36_001))
