@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from tracewell.operators.ordered import attach, quantile_bucket, running_sum
 from tracewell.operators.quantiles import order_statistics, quantiles
 from tracewell.operators.aggregates import conformal_rank
-from tracewell.operators.ranking import best_per_group, held_out_row
+from tracewell.operators.ranking import best_per_group, held_out_row, union_all
 
 COUNT = "_count"
 
@@ -357,6 +357,32 @@ def family_tiers(classes: DataFrame, family: str = "family", label: str = "class
     return capability_tiers(out, missing=F.col("missing_members") != "")
 
 
+def release_benchmark(
+    pred: DataFrame, labels: Sequence[str], accepted: Column, sets: str, ood: str, status: str, tier: str, truth: str = "y_true", guess: str = "y_pred"
+) -> DataFrame:
+    """Everything that is reported for a locked cohort, as (metric_group, metric, key, value) rows.
+
+    forced: all rows decided; selective: accepted rows only; conformal: prediction sets; ood: warnings and the
+    accuracy with and without one; per_class: recall and support; status_by_tier: rows of each status and tier.
+    Every group reduces the rows to counts before it goes on.
+    """
+    one = pred.withColumn("_every", F.lit(""))
+    warned = F.coalesce(F.col(ood), F.lit(False))
+    hit = (F.col(truth) == F.col(guess)).cast("double")
+    warnings = one.agg(
+        F.avg(warned.cast("double")).alias("warning_rate"), F.avg(F.when(warned, hit)).alias("accuracy_with_warning"), F.avg(F.when(~warned, hit)).alias("accuracy_without_warning"))
+    cells = pred.groupBy(F.concat_ws("|", status, tier).alias("_cell")).agg(F.count(F.lit(1)).alias("count"))
+    sizes = ["empirical_set_coverage", "average_prediction_set_size", "single_label_rate", "ambiguous_multi_label_rate", "empty_unknown_rate"]
+    return union_all([
+        long_metrics(classification(one, ["_every"], labels, truth, guess), "forced", ["accuracy", "balanced_accuracy", "macro_f1_fixed"]),
+        long_metrics(selective(one, ["_every"], labels, accepted, truth, guess), "selective", ["coverage", "selective_accuracy", "selective_macro_f1", "risk"]),
+        long_metrics(conformal_metrics(one, ["_every"], sets, labels, truth, guess), "conformal", sizes),
+        long_metrics(warnings, "ood", ["warning_rate", "accuracy_with_warning", "accuracy_without_warning"]),
+        long_metrics(per_class(pred, [], labels, truth, guess), "per_class", ["recall", "support"], "label"),
+        long_metrics(cells, "status_by_tier", ["count"], "_cell"),
+    ])
+
+
 def long_metrics(row: DataFrame, group: str, metrics: Sequence[str], key: str | None = None) -> DataFrame:
     """(metric_group, metric, key, value) rows from a wide metric table."""
     k = F.col(key).cast("string") if key else F.lit("")

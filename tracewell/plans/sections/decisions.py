@@ -16,6 +16,8 @@ from tracewell.plans.sections.anomaly import BIG, ano_07, reference
 from tracewell.plans.sections.audits import _BAD, _FILE_CODES
 from tracewell.plans.sections.learning import TRAIN
 from tracewell.plans.sections.joins import scored_pred
+from tracewell.plans.sections.metrics import _F1, _REC, metric_cte
+from tracewell.plans.sections.metrics import LABELS as MET_LABELS
 from tracewell.plans.sections.windows import ID
 from tracewell.session import shared_dir
 from tracewell.streaming import online
@@ -166,6 +168,28 @@ def dec_08(spark, d):
     return rounded(_legacy_rows(spark, d).groupBy("predicted", "decision").agg(F.count(F.lit(1)).alias("n"), F.count("first_alarm_s").alias("n_alarm"), F.avg("peak_score").alias("mean_peak")))
 
 
+define_cte("bench", ["decided"], """
+  SELECT '' AS e, *, y_true = y_pred AS hit, status = 'accepted' AS acc, list_contains(members, y_true) AS covered FROM decided""")
+metric_cte("bench", ["e"], "lab_bench")
+metric_cte("bench", ["e"], "lab_bench_acc", "acc")
+_ROWS = {
+    "forced": ("lab_bench", {"accuracy": "sum(tp)/max(n)", "balanced_accuracy": f"avg({_REC})", "macro_f1_fixed": f"avg({_F1})"}),
+    "selective": ("lab_bench_acc", {"selective_accuracy": "sum(tp)/max(n)", "selective_macro_f1": f"avg({_F1})", "risk": "1 - sum(tp)/max(n)"}),
+    "conformal": ("bench", {"empirical_set_coverage": "avg(covered::INT)", "average_prediction_set_size": "avg(len(members))", "single_label_rate": "avg((len(members) = 1)::INT)",
+                            "ambiguous_multi_label_rate": "avg((len(members) > 1)::INT)", "empty_unknown_rate": "avg((len(members) = 0)::INT)"}),
+    "ood": ("bench", {"warning_rate": "avg(ood::INT)", "accuracy_with_warning": "avg(hit::INT) FILTER (ood)", "accuracy_without_warning": "avg(hit::INT) FILTER (NOT ood)"}),
+}
+_LINES = [f"SELECT '{g}' AS metric_group, '{m}' AS metric, '' AS key, {q6(x)} AS value FROM {src}" for g, (src, ms) in _ROWS.items() for m, x in ms.items()]
+
+
+@query("met_20_locked_cohort", sql("bench lab_bench lab_bench_acc", " UNION ALL ".join([
+    *_LINES, f"SELECT 'selective', 'coverage', '', {q6('avg(acc::INT)')} FROM bench", f"SELECT 'per_class', 'support', label, {q6('support')} FROM lab_bench", f"SELECT 'per_class', 'recall', label, {q6(_REC)} FROM lab_bench",
+    "SELECT 'status_by_tier', 'count', status || '|' || tier, count(*) + 0.0 FROM bench GROUP BY 3"])))
+def met_20b(spark, d):
+    rows = decided(spark, d)
+    return rounded(metrics.release_benchmark(rows, MET_LABELS, F.col("status") == "accepted", "members", "ood", "status", "tier"))
+
+
 # ---------------------------------------------------------------- attribution
 
 NAMES = [f"v{j // 8}__s{j % 8}" for j in range(64)]
