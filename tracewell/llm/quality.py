@@ -12,6 +12,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tracewell.llm.shared import labelled
+
 BLANK = r"[\x20\x09-\x0D]"
 BUCKETS = 1 << 15
 #: Added to every bucket's count, times the share of the corpus in a bucket of average size.
@@ -51,6 +53,12 @@ def counts(docs: DataFrame) -> DataFrame:
     return grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("good"))
 
 
+def with_trust(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """Texts of `docs` with `trusted`: the labelled documents of good quality, as many as `shared.labelled` takes."""
+    good = labelled(labels.where("quality = 1").select("doc_id", F.lit(True).alias("trusted")), "trusted")
+    return docs.select("doc_id", "text").join(good, "doc_id", "left")
+
+
 def fit(corpus: DataFrame) -> np.ndarray:
     """Log ratios by bucket in thousandths from rows (text, trusted): `BUCKETS` numbers, whatever the corpus.
 
@@ -86,10 +94,10 @@ def judge(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
     """
     made = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "ratio", "kept"]
     docs = docs.drop(*made)
-    own = docs.columns
+    row = docs.select(F.struct(*docs.columns).alias("row"), "text")  # so that no column meets one made here
     text = F.coalesce("text", F.lit(""))
     lines = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(" \t\n\x0b\x0c\r")) != "")
-    d = _hashed(docs)
+    d = _hashed(row)
     runs, order, n_repeat = _repeated("h")
     table = F.lit(ratios)
     grams = F.flatten(F.transform(_places(F.col("n_words")), lambda i: F.array(*_grams(F.col("w"), F.col("h"), i))))
@@ -103,4 +111,4 @@ def judge(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
     d = d.withColumn("order", order).drop("runs").withColumn("n_repeat_words", n_repeat).drop("order")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
     d = d.withColumn("base_failed", failed).withColumn("kept", ~failed & (F.col("ratio") >= THRESHOLD))
-    return d.select(*own, *made)
+    return d.select("row.*", *made)

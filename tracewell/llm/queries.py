@@ -11,6 +11,7 @@ from tracewell.llm import (
     collocations, decontaminate, exact_dedup, jaccard_join, language_id, line_dedup, packing, periodic_runs, quality, sharding,
     suffix_dedup, token_files, toxicity,
 )
+from tracewell.llm.shared import labelled, stage
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -62,10 +63,9 @@ def op7_sharding(spark: SparkSession, d: str) -> DataFrame:
 
 def op8_toxicity(spark: SparkSession, d: str) -> DataFrame:
     docs = _table(spark, d, "documents").select("doc_id", "text")
-    labels = _table(spark, d, "labels").where(_remainder(3) != 1).select("doc_id", "toxic").where("toxic is not null")
-    learned = docs.where(_remainder(3) != 1).join(labels, "doc_id")
-    insults = toxicity.learn_insults(learned)
-    weighed = toxicity.clause_weights(docs, insults)
+    labels = labelled(_table(spark, d, "labels").where(_remainder(3) != 1).select("doc_id", "toxic"), "toxic")
+    insults = toxicity.learn_insults(docs.join(labels, "doc_id"))
+    weighed = stage(toxicity.clause_weights(docs, insults).select("doc_id", "clause_weight"), "weighed")
     rates = toxicity.calibrate(weighed.join(labels, "doc_id"))
     score = toxicity.probability(F.col("clause_weight"), rates)
     out = weighed.select("doc_id", (_remainder(3) == 1).alias("held_out"), score.alias("score"))
@@ -74,8 +74,7 @@ def op8_toxicity(spark: SparkSession, d: str) -> DataFrame:
 
 def op9_quality_rules(spark: SparkSession, d: str) -> DataFrame:
     docs = _table(spark, d, "documents").select("doc_id", "text")
-    good = _table(spark, d, "labels").where("quality = 1").select("doc_id", F.lit(True).alias("trusted")).distinct()
-    return quality.judge(docs, quality.fit(docs.join(good, "doc_id", "left"))).drop("text")
+    return quality.judge(docs, quality.fit(quality.with_trust(docs, _table(spark, d, "labels")))).drop("text")
 
 
 def op10_line_dedup(spark: SparkSession, d: str) -> DataFrame:

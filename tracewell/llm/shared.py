@@ -20,6 +20,16 @@ def stage(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Labelled documents that a model is fitted on at most: the ids with the smallest hashes.  They are broadcast, 16 bytes each.
+LABELLED = 1 << 17
+
+
+def labelled(labels: DataFrame, value: str, most: int = LABELLED) -> DataFrame:
+    """(doc_id, value) of at most `most` labelled documents, to be broadcast; the largest value counts where a document has several."""
+    rows = labels.where(F.col("doc_id").isNotNull() & F.col(value).isNotNull()).groupBy("doc_id").agg(F.max(value).alias(value))
+    return F.broadcast(stage(rows.orderBy(F.xxhash64("doc_id"), "doc_id").limit(most), "labelled"))
+
+
 def key_ranges(spark: SparkSession) -> int:
     """Number of hash ranges of an exchange: a few for each shuffle partition, so that tasks even out."""
     return 4 * int(spark.conf.get("spark.sql.shuffle.partitions"))
