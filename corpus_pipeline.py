@@ -20,11 +20,10 @@ SALTS = 16
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the likelihood ratio to the trusted ones (labels.quality = 1)."""
-    good = spark.read.parquet(f"{sf_dir}/labels.parquet").where("quality = 1").select("doc_id", F.lit(True).alias("trusted")).distinct()
-    ratios = quality.fit(docs.select("doc_id", "text").join(good, "doc_id", "left"))
+    ratios = quality.fit(quality.with_trust(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
     # Staged: a filter moved below the verdict's columns would work out a text's words again for each of them.
-    judged = stage(quality.judge(docs, ratios).select(*docs.columns, F.col("kept").alias("_kept")), "judged")
-    return judged.where("_kept").select(*docs.columns)
+    judged = stage(quality.judge(docs.select(F.struct(*docs.columns).alias("doc"), "text"), ratios).select("doc", "kept"), "judged")
+    return judged.where("kept").select("doc.*")
 
 
 def drop_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
