@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tracewell.operators import ordered
+from tracewell.operators import align, ordered
 from tracewell.operators.ordered import BUCKET
 from tracewell.operators.quantiles import average_ranks, medians, order_statistics, quantiles
 
@@ -156,3 +156,23 @@ def test_one_key_with_most_rows_is_split(spark, what):
         assert np.isclose({r["k"]: r["m"] for r in rows}["hot"], np.median([(i * 7919) % 40009 for i in range(40_000) if i % 10]))
     elif what == "row_numbers":
         assert sorted(r["rn"] for r in rows if r["k"] == "hot") == list(range(1, 36_001))
+
+
+@pytest.mark.parametrize("per", [3, 20, 10_000])
+def test_ties_are_split_by_id(spark, per):
+    rng = random.Random(4)
+    rows = [(rng.choice("ab"), i, rng.choice([1.0, 2.0, 2.0, 2.0, 2.0, 2.0, 2.0, 3.5, None]), rng.choice(["train", "test"])) for i in range(400)]
+    df = spark.createDataFrame(rows, "class string, sample_id long, severity double, partition string").repartition(5)
+    placed = ordered.split_ties(ordered.quantile_bucket(df, ["class"], "severity", per), ["class"], "severity", "sample_id", per)
+    if per < 100:
+        assert placed.groupBy("class", BUCKET).count().agg(F.max("count")).first()[0] <= 4 * per
+    got = {r["sample_id"]: (r["rn"], r["n"]) for r in ordered.row_numbers(placed, ["class"], ["severity", "sample_id"], "rn", "n").collect()}
+    for c in "ab":
+        mine = sorted([r for r in rows if r[0] == c], key=lambda r: (r[2] is not None, r[2] or 0, r[1]))
+        assert [got[r[1]] for r in mine] == [(i + 1, len(mine)) for i in range(len(mine))]
+    known = [r for r in rows if r[2] is not None]
+    near = align.nearest_in_train(df.where("severity is not null").withColumn("split_id", F.lit("s")), rows_per_bucket=per).collect()
+    assert len(near) == sum(r[3] == "test" for r in known)
+    for r in near:
+        train = [x[2] for x in known if x[0] == r["class"] and x[3] == "train"]
+        assert r["gap"] == min(abs(v - r["test_value"]) for v in train) and abs(r["nearest_train"] - r["test_value"]) == r["gap"]

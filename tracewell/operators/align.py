@@ -6,9 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewell.operators import ordered
 from tracewell.operators.ordered import BUCKET, attach
+from tracewell.session import cut_lineage
 
 
 SALTS = 16
@@ -98,7 +100,14 @@ def nearest_in_train(
     both = assigned.where(F.col("partition").isin(partition, train)).withColumn(
         "_train", F.when(F.col("partition") == train, F.col(value).cast("double"))
     )
+    both = cut_lineage(both.select(*g, id, "partition", value, "_train"))  # read for bounds, ties, summaries and fills
     placed = ordered.quantile_bucket(both, g, value, rows_per_bucket)
+    if isinstance(both.schema[id].dataType, T.NumericType):
+        # rows that share one value go train rows last, as in the order below, and then by id
+        code = F.col("partition") == train if train > partition else F.col("partition") != train
+        span = both.agg(F.min(id).alias("_i0"), (F.max(id) - F.min(id) + 1).alias("_i1"))
+        placed = ordered.attach_row(placed, span).withColumn("_tie", code.cast("double") * F.col("_i1") + (F.col(id) - F.col("_i0")))
+        placed = ordered.split_ties(placed.drop("_i0", "_i1"), g, value, "_tie", rows_per_bucket).drop("_tie")
     order = [value, "partition", id]
     both_ways = ordered.fill_both(placed, g, order, "_train", "_lo", "_hi")
     v = F.col(value).cast("double")

@@ -110,6 +110,22 @@ def quantile_bucket(
     )
 
 
+def split_ties(df: DataFrame, keys: Sequence[str], value: str, tie: str, rows_per_bucket: int = 10_000) -> DataFrame:
+    """Finer buckets where many rows of a key share one value; the rows' order by (value, tie) stays that of the buckets.
+
+    Needs a BUCKET column that is monotone in `value`.  A value with more than `rows_per_bucket` rows is cut into equal steps of the
+    numeric column `tie`, and its bucket into one part for each of its values; all other buckets stay whole.
+    """
+    groups = [*keys, BUCKET, value]
+    t = F.col(tie).cast("double")
+    hot = df.groupBy(*groups).agg(F.count(F.lit(1)).alias("_n"), F.min(t).alias("_t0"), F.max(t).alias("_t1")).where(F.col("_n") > rows_per_bucket)
+    mixed = hot.select(*keys, BUCKET).distinct().withColumn("_mixed", F.lit(True))
+    placed = attach(attach(df, hot, groups, "left"), mixed, [*keys, BUCKET], "left")
+    slot = F.when(F.col("_n").isNotNull(), value_slot(t, F.col("_t0"), F.col("_t1"), F.ceil(F.col("_n") / F.lit(rows_per_bucket)))).otherwise(F.lit(0).cast("long"))
+    part = F.struct(F.col(BUCKET).alias("bucket"), F.when(F.col("_mixed"), F.col(value).cast("double")).alias("value"), slot.alias("slot"))
+    return placed.withColumn(BUCKET, part).drop("_n", "_t0", "_t1", "_mixed")
+
+
 def hash_bucket(df: DataFrame, hex_digest: str, digits: int = 4, out: str = BUCKET) -> DataFrame:
     """Leading hex digits of a digest: uniform and monotone in the digest's order; each digit more makes 16 times the buckets."""
     return df.withColumn(out, F.conv(F.substring(hex_digest, 1, digits), 16, 10).cast("long"))

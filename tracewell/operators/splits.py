@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracewell.operators import ordered
 from tracewell.operators.ordered import BUCKET, attach
@@ -14,8 +15,10 @@ PARTITIONS = ("train", "validation", "test")
 
 
 def _ranked(df: DataFrame, keys: Sequence[str], order: Sequence[str], size: str | None = "_n", rows_per_bucket: int = 10_000) -> DataFrame:
-    """Zero-based rank by numeric `order[0]` (then the rest) plus the class size."""
+    """Zero-based rank by numeric `order[0]` (then the rest) plus the class size; a numeric `order[1]` also splits large ties."""
     placed = ordered.quantile_bucket(df, keys, order[0], rows_per_bucket)
+    if len(order) > 1 and isinstance(df.schema[order[1]].dataType, T.NumericType):
+        placed = ordered.split_ties(placed, keys, order[0], order[1], rows_per_bucket)
     ranked = ordered.row_numbers(placed, keys, list(order), "_rank", size)
     return ranked.withColumn("_rank", F.col("_rank") - 1).drop(BUCKET)
 
