@@ -30,26 +30,26 @@ def words(text: Column) -> Column:
     return F.when(inner == "", F.array().cast("array<string>")).otherwise(F.split(inner, BLANK + "+"))
 
 
-def _grams(w: Column, h: Column, i: Column) -> list[Column]:
-    """Buckets of the n-grams that end at word i."""
-    before = F.when(i > 0, F.get(h, i - 1)).otherwise(F.lit(0))
-    return [F.pmod(x, F.lit(BUCKETS)).cast("int") for x in (F.get(h, i), F.xxhash64(before, F.get(h, i)), F.xxhash64(F.substring(F.get(w, i), -3, 3), F.lit(3)))]
+def _bucket(x: Column) -> Column:
+    return F.pmod(x, F.lit(BUCKETS)).cast("int")
 
 
-def _hashed(docs: DataFrame) -> DataFrame:
-    """`docs` with words w, their hashes h, and n_words."""
-    d = docs.withColumn("w", words(F.col("text")))
-    return d.withColumn("h", F.transform("w", lambda x: F.xxhash64(x))).withColumn("n_words", F.size("w").cast("long"))
+def _ending(word: Column) -> Column:
+    return F.xxhash64(F.substring(word, -3, 3), F.lit(3))
 
 
-def _places(n: Column) -> Column:
-    return F.when(n > 0, F.sequence(F.lit(0), (n - 1).cast("int"))).otherwise(F.array().cast("array<int>"))
+def _hashed(docs: DataFrame) -> DataFrame:
+    """`docs` with words w, their hashes h, the hashes p of each word and the one before it, and n_words."""
+    d = docs.withColumn("w", words(F.col("text")))
+    d = d.withColumn("h", F.transform("w", lambda x: F.xxhash64(x))).withColumn("n_words", F.size("w").cast("long"))
+    before = F.concat(F.array(F.lit(0).cast("long")), F.slice("h", 1, F.greatest(F.size("h") - 1, F.lit(0))))
+    return d.withColumn("p", F.when(F.col("n_words") > 0, F.zip_with(before, "h", lambda a, b: F.xxhash64(a, b))).otherwise(F.array().cast("array<bigint>")))
 
 
 def counts(docs: DataFrame) -> DataFrame:
     """(bucket, raw, good) over all texts of `docs` (text, trusted): n-grams, and those of trusted texts."""
-    g = F.transform(_places(F.col("n_words")), lambda i: F.array(*_grams(F.col("w"), F.col("h"), i)))
-    grams = _hashed(docs.select("text", F.coalesce("trusted", F.lit(False)).cast("int").alias("good"))).select("good", F.explode(F.flatten(g)).alias("bucket"))
+    buckets = F.concat(F.transform("h", _bucket), F.transform("p", _bucket), F.transform("w", lambda x: _bucket(_ending(x))))
+    grams = _hashed(docs.select("text", F.coalesce("trusted", F.lit(False)).cast("int").alias("good"))).select("good", F.explode(buckets).alias("bucket"))
     return grams.groupBy("bucket").agg(F.count(F.lit(1)).alias("raw"), F.sum("good").alias("good"))
 
 
@@ -74,9 +74,9 @@ def fit(corpus: DataFrame) -> np.ndarray:
 
 
 def _repeated(h: str) -> tuple[Column, Column, Column]:
-    """Windows' hashes; their order by hash where some repeat; words covered by repeated windows."""
+    """Hashes of the windows, from the pairs in them; their order by hash where some repeat; words covered by repeated windows."""
     last = F.size(h) - WINDOW
-    runs = F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(*[F.get(F.col(h), i + k) for k in range(WINDOW)]))).otherwise(F.array().cast("array<bigint>"))
+    runs = F.when(last >= 0, F.transform(F.sequence(F.lit(0), last), lambda i: F.xxhash64(F.get("p", i + 1), F.get("p", i + 3), F.get(F.col(h), i + 4)))).otherwise(F.array().cast("array<bigint>"))
     order = F.when(F.size(F.array_distinct("runs")) < F.size("runs"), F.sort_array(F.transform("runs", lambda x, i: F.struct(x.alias("x"), i.alias("i")))))
     same = F.filter("order", lambda e, k: (e["x"] == F.get("order", k + 1)["x"]) | (F.when(k > 0, F.get("order", k - 1)["x"]) == e["x"]))
     at = F.sort_array(F.transform(same, lambda e: e["i"]))
@@ -100,13 +100,13 @@ def judge(docs: DataFrame, ratios: np.ndarray) -> DataFrame:
     d = _hashed(row)
     runs, order, n_repeat = _repeated("h")
     table = F.lit(ratios)
-    grams = F.flatten(F.transform(_places(F.col("n_words")), lambda i: F.array(*_grams(F.col("w"), F.col("h"), i))))
-    g = F.aggregate(grams, F.lit(0).cast("long"), lambda a, b: a + F.get(table, b)) / 1000.0
+    added = lambda c, of: F.aggregate(c, F.lit(0).cast("long"), lambda a, x: a + F.get(table, _bucket(of(x))))
+    g = (added("h", lambda x: x) + added("p", lambda x: x) + added("w", _ending)) / 1000.0
     d = d.withColumns({
         "runs": runs, "ratio": F.when(F.col("n_words") > 0, g / (3 * F.col("n_words"))).otherwise(F.lit(0.0)),
         "word_chars": F.length(F.translate(text, " \t\n\x0b\x0c\r", "")).cast("long"),
         "n_symbols": (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long"), "_lines": lines,
-    }).drop("w", "h")
+    }).drop("w", "h", "p")
     d = d.withColumn("n_dup_lines", (F.size("_lines") - F.size(F.array_distinct("_lines"))).cast("long")).drop("_lines")
     d = d.withColumn("order", order).drop("runs").withColumn("n_repeat_words", n_repeat).drop("order")
     failed = (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEATED * F.col("n_words"))
