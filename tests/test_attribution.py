@@ -82,3 +82,22 @@ def test_importance_has_a_spread_and_rolls_up(linear):
     rolled = {r.variable: r for r in explain.importance_variables(explain.permutation_importance(rows, model, "c", names, repeats=3)).collect()}
     assert {v: r.features for v, r in rolled.items()} == {"p": 2, "q": 4}
     assert np.isclose(rolled["p"].importance, got["p__mean"].importance + got["p__last"].importance)
+
+
+@pytest.mark.parametrize("per", [2, 10_000])
+def test_ordered_text(spark, per):
+    from tracewell.operators import aggregates as agg
+
+    rng = np.random.default_rng(1)
+    rows = [("ab"[i % 5 == 0], float(rng.integers(0, 9)), None if i % 11 == 0 else "xyz"[int(rng.integers(0, 3))]) for i in range(60)] + [("c", 1.0, None), (None, 2.0, "q")]
+    df = spark.createDataFrame(rows, "k string, o double, v string").repartition(4)
+    got = {r.k: (r.text, r.n) for r in agg.ordered_text(df, ["k"], "v", "o", ";", rows_per_bucket=per).collect()}
+    sets = {r.k: r.text for r in agg.ordered_text(df, ["k"], "v", "o", distinct=True, rows_per_bucket=per).collect()}
+    assert set(got) == {"a", "b", None}
+    for k in got:
+        mine = sorted((o, v) for g, o, v in rows if g == k and v is not None)
+        assert got[k] == (";".join(v for _, v in mine), len(mine))
+        first = {}
+        for o, v in mine:
+            first.setdefault(v, o)
+        assert sets[k] == ",".join(v for v, _ in sorted(first.items(), key=lambda x: (x[1], x[0])))

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tracewell.operators import ordered
-from tracewell.operators.ordered import attach, quantile_bucket
+from tracewell.operators.ordered import BUCKET, attach, quantile_bucket
 from tracewell.operators.quantiles import average_ranks, medians, order_statistics
 
 MAD_TO_SIGMA = 1.4826
@@ -235,6 +235,22 @@ def prune_redundant(correlations: DataFrame, features: Sequence[str], limit: flo
     return kept
 
 
+def ordered_text(df: DataFrame, keys: Sequence[str], value: str, order: str, separator: str = ",", distinct: bool = False, out: str = "text", rows_per_bucket: int = 10_000) -> DataFrame:
+    """The values of each key as one text, in the order of a numeric column and then of the value; NULL values are left out.
+
+    `distinct` keeps the first occurrence of each value.  Rows are sorted bucket by bucket, and only the buckets' texts meet for a key,
+    so no task sorts the rows of a large key; its text is one row of the result all the same.
+    """
+    rows = df.select(*keys, F.col(order).cast("double").alias("_o"), F.col(value).cast("string").alias("_v")).where("_v is not null and _o is not null")
+    if distinct:
+        rows = rows.groupBy(*keys, "_v").agg(F.min("_o").alias("_o"))
+    placed = quantile_bucket(rows, keys, "_o", rows_per_bucket)
+    parts = placed.groupBy(*keys, BUCKET).agg(
+        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("_o", "_v"))), lambda s: s["_v"]), separator).alias("_part"), F.count(F.lit(1)).alias("_n"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(BUCKET, "_part"))), lambda s: s["_part"]), separator)
+    return parts.groupBy(*keys).agg(whole.alias(out), F.sum("_n").alias("n"))
+
+
 def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
     """N / (K n_c) for each row's class."""
     per = df.groupBy(label).agg(F.count(F.lit(1)).alias("_n"))

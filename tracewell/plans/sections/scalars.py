@@ -5,6 +5,7 @@ import uuid
 from pyspark.sql import functions as F
 
 from tracewell.functions import scalars as sc
+from tracewell.operators import aggregates as agg
 from tracewell.operators import align, ranking
 from tracewell.operators import windows as win
 from tracewell.plans import bindings as b
@@ -206,6 +207,20 @@ def prj_13(spark, d):
     return b.table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.array_join(F.array_sort(F.collect_set(F.col("l_linenumber").cast("string"))), ",").alias("line_numbers"))
 
 
+@query("prj_13_ordered_points", sql("traj", """
+  SELECT sample_id, string_agg(CAST(CAST(t AS BIGINT) AS VARCHAR), ',' ORDER BY t) AS text, count(*) AS n FROM traj WHERE f_error > 0 GROUP BY 1"""))
+def prj_13b(spark, d):
+    days = b.traj(spark, d).where("f_error > 0").select(ID, "t", F.col("t").cast("long").alias("day"))
+    return agg.ordered_text(days, [ID], "day", "t")
+
+
+@query("prj_13_ordered_set", sql("", """
+  SELECT user_id AS sample_id, string_agg(event_type, ' | ' ORDER BY first, event_type) AS text, count(*) AS n FROM (SELECT user_id, event_type, min(event_id) AS first FROM events GROUP BY 1, 2) z GROUP BY 1"""))
+def prj_13c(spark, d):
+    ev = b.table(spark, d, "events").select(F.col("user_id").alias(ID), "event_id", "event_type")
+    return agg.ordered_text(ev, [ID], "event_type", "event_id", " | ", distinct=True)
+
+
 @query("prj_14_id_set_digest", """
   SELECT c_mktsegment, CAST(sum(n) AS BIGINT) AS ids, sha256(string_agg(dg, ',' ORDER BY slot)) AS sha256 FROM (
     SELECT c_mktsegment, substr(sha256(CAST(c_custkey AS VARCHAR)), 1, 4) AS slot, count(*) AS n, sha256(string_agg(CAST(c_custkey AS VARCHAR), ',' ORDER BY CAST(c_custkey AS VARCHAR))) AS dg FROM customer GROUP BY 1, 2) z GROUP BY 1""")
