@@ -79,3 +79,14 @@ def test_op8_and_op9_queries(spark, tmp_path):
     kept = {r.doc_id: r.kept for r in out.collect()}
     assert out.columns == ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "ratio", "kept"]
     assert all(kept[i] for i in range(240)) and not any(kept[i] for i in (240, 241, 242))
+
+
+def test_smallest_id_and_no_id_come_back(spark):
+    from tracewell.llm import token_files
+
+    ids = [None, -(1 << 63), None, 0, (1 << 63) - 1, -1]
+    docs = spark.createDataFrame([(i, f"text {k}") for k, i in enumerate(ids)], "doc_id long, text string").repartition(3)
+    folder = token_files.new_folder(spark)
+    token_files.write(docs, folder, end_id=2)
+    got = [r.doc_id for r in token_files.read(spark, folder).orderBy("start").collect()]
+    assert got == [None, None, -(1 << 63), -1, 0, (1 << 63) - 1]
