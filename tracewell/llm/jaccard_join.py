@@ -5,7 +5,9 @@ ones by document frequency.  Two sets of n and m tokens that link share at least
 of them, so their prefixes of n - t + l and m - t + l tokens share at least l, for every l.  Each document indexes
 its prefix of n - ceil(n * num / den) + l tokens for the l of lowest estimated cost (postings to read plus candidates
 to verify, from the document frequencies of its own prefix tokens), up to `MAX_MATCHES`.  A pair of documents uses
-the largest l that both prefixes allow and is verified only if it shares that many prefix tokens.
+the smaller l of the two, with the prefixes of n - t + l and m - t + l tokens that its sizes ask for, and is verified only
+if they share that many tokens.  (The largest l that both whole prefixes allow asks for more matches, but then
+each pair of a group of loose copies meets in all its common tokens.)
 
 Posting lists of more than `SHORT_LIST` documents (groups of copies, common passages) are never turned
 into all pairs.  First every document is compared with the list's smallest document of like size; the
@@ -24,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracewell.llm.shared import components, key_ranges, pack_plain, pack_sorted, range_slices, stage, unpack_plain, unpack_sorted
+from tracewell.llm.shared import components, key_ranges, pack_plain, pack_sorted, range_slices, scratch, stage, unpack_plain, unpack_sorted
 from tracewell.llm.text import shingle_sets
 
 #: From this many documents on a token's frequency is looked up; lower ones order by hash alone.
@@ -160,7 +162,8 @@ def _list_reduce(table: pa.Table, sim: Similarity) -> pa.Table:
     two = np.concatenate(two)
     x, y = two[:, 0], two[:, 1]
     over = sim.overlap(s[x], s[y])
-    need = np.minimum(pre[x] - s[x], pre[y] - s[y]) + over
+    ell = pre - s + sim.least(s)
+    need = np.minimum(ell[x], ell[y])
     ok = (d[x] != d[y]) & (at[x] < s[x] - over + need) & (at[y] < s[y] - over + need) & _fits(s[x], s[y], sim)
     pairs = pd.DataFrame({"a": d[x[ok]], "b": d[y[ok]], "d": need[ok]}).groupby(["a", "b"], as_index=False).agg(c=("d", "size"), d=("d", "min"))
     entry = np.repeat(size > SHORT_LIST, size)
@@ -222,26 +225,38 @@ def near_duplicates(docs: DataFrame, sim: Similarity = Similarity()) -> DataFram
     ranges = key_ranges(spark)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     whole = docs.where("doc_id is not null")
-    counted = whole.mapInArrow(lambda it: _count_map(it, ranges, sim.words), _COUNT)
-    counted = stage(counted.groupBy("r").applyInArrow(_count_reduce, "kind int, a long, b long"), "shingle-counts")
-    hot = _frequent(counted.where("kind = 0"))
-    lists = whole.mapInArrow(lambda it: _list_map(it, ranges, sim, hot), "r long, t binary, d binary, s binary, v binary, p binary")
-    lists = stage(lists.groupBy("r").applyInArrow(lambda t: _list_reduce(t, sim), _LIST), "shingle-lists")
-    pairs, stars, entries = (lists.where(F.col("kind") == k) for k in range(3))
-    stars = stars.select("a", "b").distinct()
-    some = stage(entries.select(F.col("b").alias("doc_id")).union(pairs.select("a")).union(pairs.select("b")).distinct(), "candidates")
-    texts = stage(whole.join(some, "doc_id", "left_semi"), "candidate-texts")
-    first = stage(_linked(stars, texts, sim), "links")
-    classes = stage(components(first), "classes")
-    second = _linked(_across(pairs, entries, classes, sim), texts, sim)
-    final = components(first.union(second))
-    size = counted.where("kind = 1").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
-    out = size.join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left")
-    out = out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    with scratch(spark) as keep:
+        counted = whole.mapInArrow(lambda it: _count_map(it, ranges, sim.words), _COUNT)
+        counted = stage(counted.groupBy("r").applyInArrow(_count_reduce, "kind int, a long, b long"), "shingle-counts")
+        hot = _frequent(counted.where("kind = 0"))
+        lists = whole.mapInArrow(lambda it: _list_map(it, ranges, sim, hot), "r long, t binary, d binary, s binary, v binary, p binary")
+        lists = stage(lists.groupBy("r").applyInArrow(lambda t: _list_reduce(t, sim), _LIST), "shingle-lists")
+        pairs, stars, entries = (lists.where(F.col("kind") == k) for k in range(3))
+        stars = stars.select("a", "b").distinct()
+        some = stage(entries.select(F.col("b").alias("doc_id")).union(pairs.select("a")).union(pairs.select("b")).distinct(), "candidates")
+        texts = stage(whole.join(some, "doc_id", "left_semi"), "candidate-texts")
+        first = stage(_linked(stars, texts, sim), "links")
+        classes = components(first)
+        second = _linked(_across(pairs, entries, classes, sim), texts, sim)
+        # A class counts as its star from here on.
+        final = components(classes.select(F.col("component").alias("a"), F.col("id").alias("b")).union(second))
+        size = counted.where("kind = 1").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
+        out = size.join(final.withColumnRenamed("id", "doc_id"), "doc_id", "left")
+        out = keep(out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")), "near-duplicates")
     nameless = docs.where("doc_id is null").mapInArrow(lambda it: _sizes(it, sim.words), "doc_id long, n_shingles long, component_id long")
     return out.union(nameless)
 
 
+def _outside(entries: DataFrame, classes: DataFrame) -> DataFrame:
+    """Entries of the lists that hold several classes: t, doc, n, at, pre, k (class), main (largest class of the list)."""
+    of = classes.withColumnRenamed("component", "k")
+    e = entries.select(F.col("a").alias("t"), F.col("b").alias("doc"), F.col("c").alias("n"), F.col("d").alias("at"), F.col("e").alias("pre"))
+    e = e.join(of, e.doc == of.id, "left").select("t", "doc", "n", "at", "pre", F.coalesce("k", "doc").alias("k"))
+    per = e.groupBy("t", "k").agg(F.count(F.lit(1)).alias("m"))
+    main = per.groupBy("t").agg(F.max_by("k", F.struct("m", "k")).alias("main"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
+    return e.join(main.select("t", "main"), "t")
+
+
 def _sizes(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         n = np.array([len(s) for s in shingle_sets(batch.column(1), width)], np.int64)
@@ -264,15 +279,12 @@ def _frequent(counts: DataFrame):
 def _across(pairs: DataFrame, entries: DataFrame, classes: DataFrame, sim: Similarity) -> DataFrame:
     """Candidate pairs of documents in different classes that share enough prefix tokens."""
     of = classes.withColumnRenamed("component", "k")
-    e = entries.select(F.col("a").alias("t"), F.col("b").alias("doc"), F.col("c").alias("n"), F.col("d").alias("at"), F.col("e").alias("pre"))
-    e = e.join(of, e.doc == of.id, "left").select("t", "doc", "n", "at", "pre", F.coalesce("k", "doc").alias("k"))
-    per = e.groupBy("t", "k").agg(F.count(F.lit(1)).alias("m"))
-    main = per.groupBy("t").agg(F.max_by("k", F.struct("m", "k")).alias("main"), F.count(F.lit(1)).alias("classes")).where("classes > 1")
-    e = e.join(main.select("t", "main"), "t")
+    e = _outside(entries, classes)
     x = e.where("k <> main").select("t", *[F.col(c).alias(f"x_{c}") for c in ("doc", "n", "at", "pre", "k")])
     y = e.select("t", (F.col("k") == F.col("main")).alias("lead"), *[F.col(c).alias(f"y_{c}") for c in ("doc", "n", "at", "pre", "k")])
     over = F.ceil((F.col("x_n") + F.col("y_n")) * F.lit(sim.num) / F.lit(sim.num + sim.den))
-    need = (F.least(F.col("x_pre") - F.col("x_n"), F.col("y_pre") - F.col("y_n")) + over).cast("int")
+    ell = [F.col(f"{c}_pre") - F.col(f"{c}_n") + F.ceil(F.col(f"{c}_n") * F.lit(sim.num) / F.lit(sim.den)) for c in "xy"]
+    need = F.least(*ell).cast("int")
     both = x.join(y, "t").where(
         (F.col("x_k") != F.col("y_k")) & (F.col("lead") | (F.col("x_doc") < F.col("y_doc"))) 
         & (F.col("x_at") < F.col("x_n") - over + need) & (F.col("y_at") < F.col("y_n") - over + need)

@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
 
 import numpy as np
 import pyarrow as pa
@@ -12,14 +15,40 @@ from pyspark.sql import functions as F
 from tracewell.session import shared_dir
 
 
-def stage(df: DataFrame, name: str) -> DataFrame:
-    """Write `df` once to the shared folder and go on from the files; survives lost executors."""
+#: Paths staged in the open scratch blocks, the innermost last.
+_OPEN: ContextVar[tuple[list[str], ...]] = ContextVar("open_scratch", default=())
+
+
+def stage(df: DataFrame, name: str, outer: int = 0) -> DataFrame:
+    """Write `df` once to the shared folder and go on from the files; survives lost executors.
+
+    Inside `scratch` the files leave with the block, or with the one `outer` blocks further out.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark).rstrip('/')}/llm-{name}-{uuid.uuid4().hex}"
+    if len(_OPEN.get()) > outer:
+        _OPEN.get()[-1 - outer].append(path)
     df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame, str], DataFrame]]:
+    """What is staged inside the block leaves the shared folder when it ends, also by an error.
+
+    Gives a function that stages a result which outlives the block; it must not read the block's files any more.
+    """
+    paths: list[str] = []
+    token = _OPEN.set((*_OPEN.get(), paths))
+    try:
+        yield lambda df, name: stage(df, name, outer=1)
+    finally:
+        _OPEN.reset(token)
+        for path in paths:
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+
+
 #: Labelled documents that a model is fitted on at most: the ids with the smallest hashes.  They are broadcast, 16 bytes each.
 LABELLED = 1 << 17
 
@@ -76,21 +105,23 @@ def components(edges: DataFrame) -> DataFrame:
     """Connected components of undirected edges (a, b): one row (id, component) for each vertex, the smallest id naming it.
 
     Alternates the large-star and small-star steps until the edges stand still; the number of
-    rounds grows with the logarithm of the longest chain.  Each round is staged.
+    rounds grows with the logarithm of the longest chain.  Each round is staged, only the result stays.
     """
-    e = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
-    seen = None
-    while True:
-        mark = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if mark == seen:
-            break
-        seen = mark
-        both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
-        large = large.where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
-        down = large.join(low, "a")
-        small = down.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
-        e = stage(small.where("a <> b").distinct(), "edges")
-    return e.select(F.col("a").alias("id"), F.col("b").alias("component")).union(e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+    with scratch(edges.sparkSession) as keep:
+        e = stage(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
+        seen = None
+        while True:
+            mark = e.agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
+            if mark == seen:
+                break
+            seen = mark
+            both = e.union(e.select(F.col("b").alias("a"), F.col("a").alias("b")))
+            low = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
+            large = both.join(low, "a").where("b > a").select(F.col("b").alias("a"), F.col("m").alias("b"))
+            large = large.where("a <> b").distinct()
+            low = large.groupBy("a").agg(F.min("b").alias("m"))
+            down = large.join(low, "a")
+            small = down.select(F.col("b").alias("a"), F.col("m").alias("b")).union(low.select("a", F.col("m").alias("b")))
+            e = stage(small.where("a <> b").distinct(), "edges")
+        out = e.select(F.col("a").alias("id"), F.col("b").alias("component")).union(e.select(F.col("b").alias("id"), F.col("b").alias("component")).distinct())
+        return keep(out, "components")
