@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from tracewell.operators.ordered import BUCKET, attach, even_shares, quantile_bucket, running_sum, value_slot
 
 CELLS = 1024  # grid of the sketch; its rank error is a tenth of one cell
+WOBBLE = 1e-12  # by this share of the largest magnitude a value may differ between the two passes
 ROWS_PER_STEP = 1 << 22  # rows of a key for each step that a bracket is cut into
 
 
@@ -23,7 +24,8 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str, ranks: Mapp
 
     Rank expressions may use the column `n` (non-null, non-NaN values of the key).  The
     bracket is one grid cell wider than needed on both sides, ten times the rank error that the sketch
-    guarantees at any size; the check at the end fails the job instead of returning a wrong value.
+    guarantees at any size; the check at the end fails the job instead of returning a wrong value.  It is also wider by `WOBBLE` of
+    the largest magnitude: sums of doubles that are computed anew for the second pass, in another order, differ in their last digits.
     A large key's bracket is cut into steps of the value, so that no task sorts it alone.
     """
     keyed = df if keys else df.withColumn("_every", F.lit(1))
@@ -36,6 +38,8 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str, ranks: Mapp
         F.min(v).alias("_min"), F.max(v).alias("_max"),
     )
     at = lambda i: F.get("_g", i.cast("int") - 1)
+    span = F.greatest(F.abs("_min"), F.abs("_max")) * WOBBLE
+    pad = F.when(span < float("inf"), span).otherwise(0.0)
     cols = []
     for j, name in enumerate(names):
         k = F.least(F.greatest(ranks[name].cast("long"), F.lit(0)), F.col("n") - 1)
@@ -43,8 +47,8 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str, ranks: Mapp
         low, high = F.floor(place) - 1, F.ceil(place) + 1
         cols += [
             k.alias(f"_k{j}"),
-            F.when(low >= 1, at(low)).otherwise(F.col("_min")).alias(f"_lo{j}"),
-            F.when(high <= cells - 1, at(high)).otherwise(F.col("_max")).alias(f"_hi{j}"),
+            (F.when(low >= 1, at(low)).otherwise(F.col("_min")) - pad).alias(f"_lo{j}"),
+            (F.when(high <= cells - 1, at(high)).otherwise(F.col("_max")) + pad).alias(f"_hi{j}"),
         ]
     brackets = grid.select(*keys, "n", *cols)
     inside = [(v >= F.col(f"_lo{j}")) & (v <= F.col(f"_hi{j}")) for j in range(len(names))]
