@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tracewell.operators.ordered import BUCKET, attach, even_shares, quantile_bucket, running_sum, value_slot
+from tracewell.session import cut_lineage
 
 CELLS = 1024  # grid of the sketch; its rank error is a tenth of one cell
 WOBBLE = 1e-12  # by this share of the largest magnitude a value may differ between the two passes
@@ -50,7 +51,7 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str, ranks: Mapp
             (F.when(low >= 1, at(low)).otherwise(F.col("_min")) - pad).alias(f"_lo{j}"),
             (F.when(high <= cells - 1, at(high)).otherwise(F.col("_max")) + pad).alias(f"_hi{j}"),
         ]
-    brackets = grid.select(*keys, "n", *cols)
+    brackets, few = _staged(grid.select(*keys, "n", *cols))
     inside = [(v >= F.col(f"_lo{j}")) & (v <= F.col(f"_hi{j}")) for j in range(len(names))]
     some = inside[0]
     for c in inside[1:]:
@@ -60,10 +61,10 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str, ranks: Mapp
     slot = value_slot(v, F.col("_lo0"), F.col("_hi0"), steps)
     for j in range(1, len(names)):
         slot = slot + value_slot(v, F.col(f"_lo{j}"), F.col(f"_hi{j}"), steps)
-    placed = attach(clean, brackets, keys, small=keys == ["_every"])
-    counts = placed.groupBy(*keys, F.when(some, v).alias("_w"), F.when(some, slot).otherwise(F.lit(-1)).alias(BUCKET)).agg(
-        F.max("n").alias("n"),
-        *[F.max(f"_k{j}").alias(f"_k{j}") for j in range(len(names))],
+    placed = attach(clean, brackets, keys, small=few or keys == ["_every"])
+    # n and the ranks belong to the key.  Grouped by, they stay in the exchange, so that both readers of the counts share one.
+    fixed = ["n", *[f"_k{j}" for j in range(len(names))]]
+    counts = placed.groupBy(*keys, *fixed, F.when(some, v).alias("_w"), F.when(some, slot).otherwise(F.lit(-1)).alias(BUCKET)).agg(
         *[F.count_if(inside[j]).alias(f"_in{j}") for j in range(len(names))],
         *[F.count_if(v < F.col(f"_lo{j}")).alias(f"_below{j}") for j in range(len(names))],
     )
@@ -77,6 +78,20 @@ def order_statistics(df: DataFrame, keys: Sequence[str], value: str, ranks: Mapp
     return ends.groupBy(*keys).agg(F.max("n").alias("n"), *found).drop("_every")
 
 
+def _staged(brackets: DataFrame) -> tuple[DataFrame, bool]:
+    """The brackets, one short row for each key, written once, and whether they are below the session's limit for broadcasts.
+
+    The planner does not broadcast a side of few keys, since most of its partitions are empty; all rows of a key would then be sorted in one task.
+    """
+    spark = brackets.sparkSession
+    brackets = cut_lineage(brackets)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    if limit.startswith("-"):
+        return brackets, False
+    most = spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(limit)
+    return brackets, brackets.count() * 32 * len(brackets.columns) <= most
+
+
 def quantiles(
     df: DataFrame,
     keys: Sequence[str],
