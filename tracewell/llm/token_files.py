@@ -8,9 +8,9 @@ File format: a folder of Parquet files written by Spark, one row for each shard
 - little-endian numbers in bytes from here on.  `left`, `right`: 32 bits each, rule k says vocab + k -> left[k] right[k];  `span`: expansion length of each rule;
 - `body`: 32 bits each, the compressed sequence;  `doc_ids`, `doc_tokens`: 64 bits each, the documents in order.
 
-Re-Pair replaces the most frequent pair, then the next one.  Here each round counts all adjacent pairs of the
-shard, gives nonterminals to the `RULES` most frequent of them, and replaces their occurrences; of occurrences
-that overlap, every second one from the left.  Pairs never cross a document's end.
+Re-Pair replaces the most frequent pair, then the next one, until no pair is frequent.  Here each round counts all adjacent
+pairs of the shard and replaces all that are frequent at once; of occurrences that overlap, the more frequent pair, and
+along equal counts every second one from the left.  Rounds go on until no pair is frequent.  Pairs never cross a document's end.
 """
 
 from __future__ import annotations
@@ -32,15 +32,40 @@ from tracewell.session import shared_dir
 SHARD_TOKENS = 1 << 21
 #: A pair that is replaced has at least so many occurrences in its shard.
 MIN_PAIR = 64
-#: Replacement rounds; each nests nonterminals one level deeper.
-ROUNDS = 3
-#: Nonterminals made in a round: the most frequent pairs.
-RULES = 1 << 13
+#: Bits of the slots that pairs are counted by first; the result does not depend on it.
 _HASH = 20
 
 _SHARD = "part int, piece int, vocab int, no_id int, left binary, right binary, span binary, body binary, doc_ids binary, doc_tokens binary"
 
 
+def frequent(code: np.ndarray, open_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rule number of the pair at each place (-1: not frequent, or not `open_`), each rule's code, and its exact count.
+
+    Pairs are counted by hash slot first: one below MIN_PAIR holds no frequent pair.  A slot of one pair has its exact count, the
+    pairs that share a slot are sorted and counted one by one, so none of them is lost.
+    """
+    slot = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _HASH)).astype(np.int32)
+    slot[~open_] = 1 << _HASH
+    count = np.bincount(slot, minlength=(1 << _HASH) + 1)
+    count[-1] = 0
+    at = np.flatnonzero((count >= MIN_PAIR)[slot])
+    held, mine = slot[at], code[at]
+    one = np.zeros((1 << _HASH) + 1, np.uint64)
+    one[held] = mine
+    mixed = np.zeros((1 << _HASH) + 1, bool)
+    mixed[held[one[held] != mine]] = True
+    pure = np.flatnonzero((count >= MIN_PAIR) & ~mixed)
+    rule = np.full((1 << _HASH) + 1, -1, np.int32)
+    rule[pure] = np.arange(len(pure), dtype=np.int32)
+    out = np.full(len(code), -1, np.int32)
+    out[at] = rule[held]
+    rest = at[mixed[held]]
+    pairs, which, n = np.unique(code[rest], return_inverse=True, return_counts=True)
+    often = n >= MIN_PAIR
+    out[rest] = np.where(often, len(pure) + np.cumsum(often) - 1, -1)[which]
+    return out, np.r_[one[pure], pairs[often]], np.r_[count[pure], n[often]]
+
+
 def compress(ids: np.ndarray, ends: np.ndarray, vocab: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair: rules (left, right, expansion length) and the compressed sequence. `ends`: positions behind documents."""
     body = ids.astype(np.int32)
@@ -48,30 +73,20 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocab: int) -> tuple[np.ndarray,
     last[ends] = True
     last = last[1:]
     left, right = np.empty(0, np.int32), np.empty(0, np.int32)
-    for _ in range(ROUNDS):
-        if len(body) < 2:
-            break
+    while len(body) > 1:
         base = vocab + len(left)
         code = body[:-1].astype(np.uint64) * np.uint64(base) + body[1:].astype(np.uint64)
-        slot = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _HASH)).astype(np.int32)
-        slot[last[:-1]] = 1 << _HASH
-        count = np.bincount(slot, minlength=(1 << _HASH) + 1)[:-1]
-        top = np.flatnonzero(count >= max(MIN_PAIR, int(np.partition(count, -RULES)[-RULES])))
-        if not len(top):
+        mine, pair, count = frequent(code, ~last[:-1])
+        if not len(pair):
             break
-        rule = np.full((1 << _HASH) + 1, -1, np.int32)
-        rule[top] = np.arange(len(top), dtype=np.int32)
-        mine = rule[slot]
-        at = np.flatnonzero(mine >= 0)
+        n = np.where(mine >= 0, count[mine], 0)
+        # Of pairs that overlap the most frequent goes first; along equal counts every second one from the left.
+        place = np.arange(len(n), dtype=np.int32)
+        head = np.maximum.accumulate(np.where(np.diff(n, prepend=-1) != 0, place, 0))
+        weight = np.r_[0, 2 * n + ((place - head) % 2 == 0), 0]
+        at = np.flatnonzero((n > 0) & (weight[1:-1] > weight[:-2]) & (weight[1:-1] > weight[2:]))
         mine = mine[at]
-        pair = np.empty(len(top), np.uint64)
-        pair[mine] = code[at]
-        same = pair[mine] == code[at]  # pairs that meet in one slot: one of them gets the rule
-        at, mine = at[same], mine[same]
-        head = np.maximum.accumulate(np.where(np.diff(at, prepend=-2) > 1, np.arange(len(at)), 0))
-        take = (np.arange(len(at)) - head) % 2 == 0
-        at, mine = at[take], mine[take]
-        used = np.bincount(mine, minlength=len(top)) > 0
+        used = np.bincount(mine, minlength=len(pair)) > 0
         left = np.r_[left, (pair[used] // np.uint64(base)).astype(np.int32)]
         right = np.r_[right, (pair[used] % np.uint64(base)).astype(np.int32)]
         body[at] = base + (np.cumsum(used) - 1)[mine]
@@ -85,9 +100,12 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocab: int) -> tuple[np.ndarray,
 def spans(left: np.ndarray, right: np.ndarray, vocab: int) -> np.ndarray:
     """Tokens that each rule stands for."""
     span = np.ones(len(left), np.int64)
-    for _ in range(ROUNDS):
+    while len(left):
         size = np.r_[np.ones(vocab, np.int64), span]
-        span = size[left] + size[right] if len(left) else span
+        longer = size[left] + size[right]
+        if np.array_equal(longer, span):
+            break
+        span = longer
     return span
 
 
