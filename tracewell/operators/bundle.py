@@ -34,7 +34,7 @@ def save(spark: SparkSession, bundle: Bundle, path: str) -> None:
         if isinstance(model, Prior):
             kind = {"prior": list(model.shares)}
         else:
-            kind = {"models": len(model.models)}
+            kind = {"models": len(model.models), "votes": list(model.votes)}
             for k, m in enumerate(model.models):
                 m.write().overwrite().save(f"{path}/artifacts/model_{i}_{k}")
         members.append(kind | ({"slope": list(platt.slope), "offset": list(platt.offset)} if platt else {}))
@@ -74,7 +74,7 @@ def load(spark: SparkSession, path: str) -> Bundle:
     labels = tuple(policy["labels"])
     members = []
     for i, m in enumerate(c["members"]):
-        model = Prior(labels, tuple(m["prior"])) if "prior" in m else learn.Classifier(labels, tuple(PipelineModel.load(f"{path}/artifacts/model_{i}_{k}") for k in range(m["models"])))
+        model = Prior(labels, tuple(m["prior"])) if "prior" in m else learn.Classifier(labels, tuple(PipelineModel.load(f"{path}/artifacts/model_{i}_{k}") for k in range(m["models"])), tuple(m.get("votes", ())))
         members.append((model, learn.Platt(labels, tuple(m["slope"]), tuple(m["offset"])) if "slope" in m else None))
     array = lambda pairs: {k: np.array(v) for k, v in pairs}
     distance = ClassDistance(np.array(d["mean"]), np.array(d["scale"]), array(d["centers"]), array(d["precisions"]))

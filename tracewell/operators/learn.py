@@ -37,19 +37,29 @@ def indexed(df: DataFrame, label: str, labels: Sequence, x: str = "x") -> DataFr
 
 @dataclass(frozen=True)
 class Classifier:
-    """One fitted MLlib model, or one binary model per label, giving `probs` in label order."""
+    """One fitted MLlib model, or one binary model per label, giving `probs` in label order.
+
+    With `votes`, the models are parts of one forest that hold so many trees each; their probabilities are averaged by these.
+    """
 
     labels: tuple
     models: tuple[PipelineModel, ...]
+    votes: tuple[int, ...] = ()
 
     def predict(self, df: DataFrame, x: str = "x", probs: str = "probs", guess: str = "y_pred") -> DataFrame:
         keep = df.columns
         cur = df.withColumn(FEATURES, array_to_vector(F.col(x)))
-        if len(self.models) == 1:
-            p = vector_to_array("probability")
-            if self.models[0].stages[-1].numClasses < len(self.labels):  # the last labels had no train row
-                p = F.transform(F.sequence(F.lit(0), F.lit(len(self.labels) - 1)), lambda k: F.coalesce(F.get(vector_to_array("probability"), k), F.lit(0.0)))
-            out = self.models[0].transform(cur).withColumn(probs, p).select(*keep, probs)
+        if self.votes or len(self.models) == 1:
+            names = [f"_p{i}" for i in range(len(self.models))]
+            for i, m in enumerate(self.models):
+                p = vector_to_array("probability")
+                if m.stages[-1].numClasses < len(self.labels):  # the last labels had no train row
+                    p = F.transform(F.sequence(F.lit(0), F.lit(len(self.labels) - 1)), lambda k: F.coalesce(F.get(vector_to_array("probability"), k), F.lit(0.0)))
+                cur = m.transform(cur).withColumn(names[i], p).select(*keep, FEATURES, *names[: i + 1])
+            votes = self.votes or (1,)
+            share = lambda k: lambda v: v * F.lit(k / sum(votes))
+            parts = [F.transform(n, share(k)) for n, k in zip(names, votes, strict=True)] if len(names) > 1 else [F.col(names[0])]
+            out = cur.withColumn(probs, reduce(lambda a, c: F.zip_with(a, c, lambda v, w: v + w), parts)).select(*keep, probs)
         else:
             names = []
             for i, m in enumerate(self.models):
@@ -82,12 +92,40 @@ def fit_logistic(train: DataFrame, label: str, labels: Sequence, c: float = 1.0,
     return Classifier(tuple(labels), (model,))
 
 
-def fit_forest(train: DataFrame, label: str, labels: Sequence, trees: int = 200, weight: str | None = None, seed: int = 7, depth: int = MAX_DEPTH) -> Classifier:
-    rf = RandomForestClassifier(
-        featuresCol=FEATURES, labelCol=LABEL_INDEX, numTrees=trees, minInstancesPerNode=2, featureSubsetStrategy="sqrt", seed=seed, maxDepth=depth)
-    if weight:
-        rf = rf.setWeightCol(weight)
-    return Classifier(tuple(labels), (Pipeline(stages=[rf]).fit(indexed(train, label, labels)),))
+#: Numbers that one partition of a forest's train rows holds.  Each partition has statistics of all nodes of a level, so that few
+#: partitions, and trees grown in parallel, cost less than many partitions.
+CELLS_PER_PARTITION = 1 << 22
+
+
+def _packed(rows: DataFrame, x: str = FEATURES) -> DataFrame:
+    """`rows` in partitions of at most CELLS_PER_PARTITION numbers, kept in memory or on disk."""
+    size = rows.agg(F.sum(F.size(vector_to_array(x)))).first()[0] or 0
+    return rows.repartition(max(1, -(-size // CELLS_PER_PARTITION))).persist()
+
+
+def _batches(trees: int, batch: int) -> list[int]:
+    return [min(batch, trees - at) for at in range(0, trees, batch)]
+
+
+def fit_forest(
+    train: DataFrame, label: str, labels: Sequence, trees: int = 200, weight: str | None = None, seed: int = 7, depth: int = MAX_DEPTH, batch: int = 25, workers: int = 8
+) -> Classifier:
+    """`trees` trees, grown `batch` at a time in parallel jobs; the node of every row is kept beside it, so that no level sends the trees to all tasks."""
+    rows = _packed(indexed(train, label, labels).select(FEATURES, LABEL_INDEX, *([weight] if weight else [])))
+    sizes = _batches(trees, batch)
+
+    def grow(i: int) -> PipelineModel:
+        rf = RandomForestClassifier(
+            featuresCol=FEATURES, labelCol=LABEL_INDEX, numTrees=sizes[i], minInstancesPerNode=2, featureSubsetStrategy="sqrt", seed=seed + i, maxDepth=depth,
+            cacheNodeIds=True, maxMemoryInMB=512)
+        if weight:
+            rf = rf.setWeightCol(weight)
+        return Pipeline(stages=[rf]).fit(rows)
+
+    with ThreadPoolExecutor(workers) as pool:
+        models = tuple(pool.map(grow, range(len(sizes))))
+    rows.unpersist()
+    return Classifier(tuple(labels), models, tuple(sizes))
 
 
 def fit_boosted(train: DataFrame, label: str, labels: Sequence, iterations: int = 180, step: float = 0.05, depth: int = 4, seed: int = 7) -> Classifier:
@@ -325,7 +363,8 @@ def evaluate_grid(rows: DataFrame, splits: Sequence[str], models: Mapping[str, F
         part = rows.where(F.col("split_id") == s)
         fitted = models[m](part.where("partition = 'train'"))
         held = part.where(F.col("partition").isin("validation", "test"))
-        return fitted.predict(held).withColumn("model", F.lit(m)).select("split_id", "partition", "model", *keep, "y_pred", "probs")
+        out = fitted.predict(held).withColumn("model", F.lit(m)).select("split_id", "partition", "model", *keep, "y_pred", "probs")
+        return cut_lineage(out)  # a plan of all cells would carry all their models to every task
 
     with ThreadPoolExecutor(workers) as pool:
         return reduce(lambda a, c: a.unionByName(c), list(pool.map(run, cells)))
@@ -416,9 +455,11 @@ def gated_label(probs: Column, labels: Sequence, threshold: float = 0.6, unknown
 
 def importance_table(spark, model: Classifier | PipelineModel, names: Sequence[str], top: int = 20) -> DataFrame:
     """Impurity importance or mean |coefficient| per feature, largest first."""
-    last = (model.models[0] if isinstance(model, Classifier) else model).stages[-1]
+    parts = [m.stages[-1] for m in (model.models if isinstance(model, Classifier) and model.votes else model.models[:1] if isinstance(model, Classifier) else [model])]
+    last = parts[0]
     if hasattr(last, "featureImportances"):
-        values = last.featureImportances.toArray()
+        votes = getattr(model, "votes", ()) or (1,)
+        values = sum(p.featureImportances.toArray() * v for p, v in zip(parts, votes, strict=True)) / sum(votes)
     else:
         values = np.abs(last.coefficientMatrix.toArray()).mean(axis=0)
     order = sorted(range(len(names)), key=lambda i: (-values[i], names[i]))[:top]
@@ -432,5 +473,5 @@ def save_bundle(model: Classifier, params: DataFrame, path: str) -> None:
     params.coalesce(1).write.mode("overwrite").json(f"{path}/params")  # a few parameter rows
 
 
-def load_bundle(path: str, labels: Sequence, count: int = 1) -> Classifier:
-    return Classifier(tuple(labels), tuple(PipelineModel.load(f"{path}/model_{i}") for i in range(count)))
+def load_bundle(path: str, labels: Sequence, count: int = 1, votes: Sequence[int] = ()) -> Classifier:
+    return Classifier(tuple(labels), tuple(PipelineModel.load(f"{path}/model_{i}") for i in range(count)), tuple(votes))
