@@ -122,8 +122,11 @@ def scan_checked(spark: SparkSession, root: str, columns: Sequence[str], glob: s
     read = lines.groupBy(_plain_path(F.col("file")).alias("file")).agg(F.count(F.lit(1)).alias("_n"))
     none = files.join(read, "file", "left").where("coalesce(_n, 0) < 2")
     none = none.select("file", F.lit(None).cast("long").alias("line"), F.when((F.col("length") > 0) & F.col("_n").isNull(), "unreadable").otherwise("empty").alias("error"), F.lit(None).cast("string").alias("detail"))
-    packed = listed.where(F.col("path").rlike(r"\.(gz|bz2|xz)$")).select("path", "content").mapInArrow(_damage, "file string, detail string")
+    # A scan of contents reads every file that its glob lets through, whatever is filtered later, so it has a glob of its own.
+    whole = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.{gz,bz2,xz}").load(root)
+    packed = whole.select("path", "content").mapInArrow(_damage, "file string, detail string")
     packed = packed.select(_plain_path(F.col("file")).alias("file"), F.lit(None).cast("long").alias("line"), F.lit("unreadable").alias("error"), "detail")
+    packed = packed.join(every, "file", "left_semi")
     none = none.join(packed.select("file"), "file", "left_anti")
     faults = [x.withColumn("file", _plain_path(F.col("file"))).withColumn("line", F.col("line").cast("long")) for x in (short, bad, lacking, twice)] + [none, packed]
     return rows.withColumn("file", _plain_path(F.col("file"))), reduce(DataFrame.unionByName, faults)
