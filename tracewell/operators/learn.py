@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from tracewell.functions.scalars import argmax_label, is_finite
 from tracewell.operators import aggregates as agg
-from tracewell.operators import gram
+from tracewell.operators import binned, gram
 from tracewell.operators.ordered import attach
 from tracewell.operators.quantiles import medians
 from tracewell.session import cut_lineage
@@ -188,12 +188,16 @@ class Forest:
 
 def fit_forest_regressor(
     train: DataFrame, y: str, x: str = "x", trees: int = 300, seed: int = 7, depth: int = MAX_DEPTH, leaf: int = 2, batch: int = 75, workers: int = 4
-) -> Forest:
-    """`trees` trees, grown `batch` at a time in parallel jobs.
+) -> Forest | binned.BinnedForest:
+    """`trees` trees over 32 bins of each feature.
 
-    The node of every row is kept beside it: without that, each level would send all trees grown so far to all tasks.  A level's statistics
-    are added up in groups of nodes that fit a fixed memory, so they do not grow with the number of trees.
+    With few features, each tree grows in a task of its own from sums for each cell of bins (`binned`).  With more, MLlib grows `batch` at a time
+    in parallel jobs: the node of every row is kept beside it, without that each level would send all trees grown so far to all tasks.  A level's
+    statistics are added up in groups of nodes that fit a fixed memory, so they do not grow with the number of trees.
     """
+    bins = binned.fit_bins(train, x)
+    if bins:
+        return binned.fit_forest(train, bins, x, y, trees, seed, depth, leaf, 0.7)
     rows = train.select(array_to_vector(F.col(x)).alias(FEATURES), F.col(y).cast("double").alias(y)).persist()
     sizes = [min(batch, trees - at) for at in range(0, trees, batch)]
 
@@ -208,14 +212,27 @@ def fit_forest_regressor(
     return Forest(models)
 
 
-def fit_boosted_regressor(train: DataFrame, y: str, x: str = "x", iterations: int = 200, seed: int = 7) -> PipelineModel:
-    """Squared loss; MLlib has no Huber loss for trees."""
-    rows = train.withColumn(FEATURES, array_to_vector(F.col(x)))
-    gbt = GBTRegressor(featuresCol=FEATURES, labelCol=y, maxIter=iterations, stepSize=0.03, maxDepth=2, minInstancesPerNode=3, lossType="squared", seed=seed, cacheNodeIds=True)
-    return Pipeline(stages=[gbt]).fit(rows)
+def fit_boosted_regressor(train: DataFrame, y: str, x: str = "x", iterations: int = 200, seed: int = 7) -> PipelineModel | binned.BinnedModel:
+    """Squared loss; MLlib has no Huber loss for trees.
+
+    With few features, every cell of bins enters with its mean, weighted by its rows.  Splits and leaves are those of the rows, since no tree parts
+    a cell and its inner spread is the same on both sides of any split.
+    """
+    gbt = GBTRegressor(featuresCol=FEATURES, labelCol=y, maxIter=iterations, stepSize=0.03, maxDepth=2, lossType="squared", seed=seed, cacheNodeIds=True)
+    least = 3  # rows of a leaf
+    bins = binned.fit_bins(train, x)
+    if not bins:
+        return Pipeline(stages=[gbt.setMinInstancesPerNode(least)]).fit(train.withColumn(FEATURES, array_to_vector(F.col(x))))
+    cells = cut_lineage(binned.cell_means(train, bins, x, y))
+    count = cells.agg(F.sum("n")).first()[0]
+    rows = _packed(cells.select(array_to_vector("_bins").alias(FEATURES), "n", y))
+    share = min((least - 0.5) / count, 0.499)
+    model = Pipeline(stages=[gbt.setWeightCol("n").setMinInstancesPerNode(1).setMinWeightFractionPerNode(share)]).fit(rows)
+    rows.unpersist()
+    return binned.BinnedModel(bins, model)
 
 
-def regress(model: PipelineModel | Forest, df: DataFrame, x: str = "x", out: str = "estimate") -> DataFrame:
+def regress(model: PipelineModel | Forest | binned.BinnedForest | binned.BinnedModel, df: DataFrame, x: str = "x", out: str = "estimate") -> DataFrame:
     keep = df.columns
     return model.transform(df.withColumn(FEATURES, array_to_vector(F.col(x)))).select(*keep, F.col("prediction").alias(out))
 
