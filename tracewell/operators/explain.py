@@ -22,7 +22,7 @@ def _own(probs: str, label: Column, labels: Sequence) -> Column:
     return F.element_at(probs, F.array_position(F.array(*[F.lit(c) for c in labels]), label).cast("int"))
 
 
-def _replace(x: str, j: Column, value: Column) -> Column:
+def _replace(x: str | Column, j: Column, value: Column) -> Column:
     """Array with element j (zero based) replaced."""
     return F.transform(x, lambda v, i: F.when(i == j, value).otherwise(v))
 
@@ -82,17 +82,20 @@ def value_faithfulness(
     """Change of an estimate when its k strongest features are set to their centres, against the mean and spread over random sets of k."""
     size = len(center)
     c = F.array(*[F.lit(float(v)) for v in center])
-    order = lambda key: F.transform(F.slice(F.array_sort(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda j: F.struct(key(j).alias("k"), j.alias("j")))), 1, k), lambda s: s["j"])
+    # What a lambda names is computed anew for each of its elements, so the arrays that rows have once are arguments of functions.
+    first = lambda pairs: F.transform(F.slice(F.array_sort(pairs), 1, k), lambda s: s["j"])
     alone = lambda j: predict(_replace(x, j, F.get(c, j)))
     effects = F.array(*[F.abs(F.col("_e") - alone(F.lit(j))) for j in range(size)])
-    without = lambda chosen: F.col("_e") - predict(F.transform(x, lambda v, i: F.when(F.array_contains(chosen, i), F.get(c, i)).otherwise(v)))
-    rows = df.select(id, x).withColumn("_e", predict(F.col(x))).withColumn("_abs", effects)
-    rows = rows.withColumn("_top", order(lambda j: -F.get("_abs", j)))
-    for i in range(draws):
-        rows = rows.withColumn(f"_r{i}", order(lambda j, i=i: F.xxhash64(F.lit(seed + i), F.col(id), j)))
-    random = [without(F.col(f"_r{i}")) for i in range(draws)]
-    mean = sum(random[1:], random[0]) / draws
-    out = rows.select(id, F.col("_e").alias("estimate"), F.array_sort("_top").alias("top_features"), without(F.col("_top")).alias("top_k_effect"), F.array(*random).alias("_random"), mean.alias("random_k_effect"))
+    without = lambda chosen: F.col("_e") - predict(F.aggregate(chosen, F.col(x), lambda v, j: _replace(v, j, F.get(c, j))))
+    drawn = lambda i: first(F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda j: F.struct(F.xxhash64(F.lit(seed + i), F.col(id), j).alias("k"), j.alias("j"))))
+    # A few bytes for each row, but much work: all tasks get their share of the rows.
+    dealt = df.select(id, x).repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), id)
+    rows = dealt.withColumn("_e", predict(F.col(x))).withColumn("_abs", effects)
+    rows = rows.withColumn("_top", first(F.transform("_abs", lambda a, j: F.struct((-a).alias("k"), j.alias("j")))))
+    out = rows.select(
+        id, F.col("_e").alias("estimate"), F.array_sort("_top").alias("top_features"), without(F.col("_top")).alias("top_k_effect"),
+        F.array(*[without(drawn(i)) for i in range(draws)]).alias("_random"))
+    out = out.withColumn("random_k_effect", sum((F.get("_random", F.lit(i)) for i in range(1, draws)), F.get("_random", F.lit(0))) / draws)
     spread = F.sqrt(F.aggregate("_random", F.lit(0.0), lambda acc, v: acc + (v - F.col("random_k_effect")) * (v - F.col("random_k_effect"))) / draws)
     gain = F.col("top_k_effect") - F.col("random_k_effect")
     return out.select(id, "estimate", "top_features", "top_k_effect", "random_k_effect", spread.alias("random_k_std"), gain.alias("difference"), (gain > 0).alias("top_exceeds_random"))
