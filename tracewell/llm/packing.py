@@ -33,18 +33,20 @@ _PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long,
 
 def _encode(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     enc = encoder(path)
-    tail = np.array([end_id], enc.dtype).tobytes()
-    step = enc.dtype.itemsize
     for batch in batches:
-        for i in range(0, batch.num_rows, 1024):
-            part = batch.slice(i, 1024)
-            rows = []
-            for d, raw in zip(part.column(0).to_pylist(), enc([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                raw += tail
-                n = len(raw) // step
-                rows += [(d, a, n, raw[a * step : (a + UNIT) * step]) for a in range(0, n, UNIT)]
-            d, a, n, raw = zip(*rows, strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(d, pa.int64()), pa.array(a, pa.int64()), pa.array(n, pa.int64()), pa.array(raw, pa.binary())], names=["doc_id", "start", "doc_tokens", "ids"])
+        for i, j, ids, ends in enc.column(batch.column(1)):
+            ids = np.insert(ids, ends, enc.dtype.type(end_id))
+            ends = ends + np.arange(1, j - i + 1)
+            n = np.diff(ends, prepend=0)
+            units = -(-n // UNIT)
+            row = np.repeat(np.arange(j - i), units)
+            start = (np.arange(len(row)) - (np.cumsum(units) - units)[row]) * UNIT
+            off = np.r_[(ends - n)[row] + start, ends[-1]] * enc.dtype.itemsize
+            raw = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(row), [None, pa.py_buffer(off), pa.py_buffer(ids)])
+            doc = batch.column(0).slice(i, j - i).take(pa.array(row))
+            for k in range(0, len(row), 1024):
+                part = slice(k, k + 1024)
+                yield pa.RecordBatch.from_arrays([doc[part], pa.array(start[part]), pa.array(n[row[part]]), raw[part].cast(pa.binary())], names=["doc_id", "start", "doc_tokens", "ids"])
 
 
 def _terms(batches: Iterator[pa.RecordBatch], dtype: str, vocab: int) -> Iterator[pa.RecordBatch]:

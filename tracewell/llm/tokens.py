@@ -1,21 +1,35 @@
-"""Token ids of whole texts from a public byte-level BPE file, remembering the ids of words seen before.
+"""Token ids of whole texts from a public byte-level BPE file, remembering the ids of pieces seen before.
 
-A byte-level BPE pre-tokenizer never joins a blank to the character before it, so a text without two
-white-space characters in a row can be cut in front of every blank and encoded piece by piece.  Other
-texts are encoded whole.  Either way the ids are those of the tokenizers library.
+The byte-level pre-tokenizer never joins a blank or a line feed to the character before it, nor a full stop or comma to
+a letter or digit.  A text without two white-space characters in a row, and with none at its ends, is therefore cut there
+and put together from the ids of its pieces; Arrow cuts the texts, looks the pieces up and joins their ids.  Other
+texts, and all texts of files that pre-tokenize otherwise, are encoded whole.  Either way the ids are those of the tokenizers library.
 """
 
 from __future__ import annotations
 
-import re
+import json
 import sys
+from collections.abc import Iterator
 from types import ModuleType
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
-#: Words remembered by a worker before it starts anew (bounds its memory).
-REMEMBERED = 1_200_000
-_RUN = 1 << 10
+from tracewell.llm.text import pieces, text_buffer
+
+#: Pieces remembered by a worker before it goes on with the more frequent half of them (bounds its memory).
+REMEMBERED = 600_000
+#: Bytes of text that are cut at once.
+_PART = 1 << 24
+#: Pieces encoded as one text, and such texts encoded at once.
+_RUN, _RUNS = 1 << 10, 16
+
+_SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\p{Z}]"
+_ODD = rf"^$|^{_SPACE}|{_SPACE}$|{_SPACE}{{2}}"
+#: Letters and digits of any version of Unicode, and the marks that are cut off behind them.
+_MARKED = r"([0-9A-Za-zÀ-ÖØ-öø-ɏ])([.,])"
 
 
 def default_path() -> str:
@@ -24,8 +38,21 @@ def default_path() -> str:
     return public_tokenizers.path("byte_bpe_50k.json")
 
 
+def _cuttable(tok) -> bool:
+    """Whether pieces can be encoded by themselves: the plain byte-level pre-tokenizer, no special token with a place to cut."""
+    spec = json.loads(tok.to_str())
+    pre = spec["pre_tokenizer"] or {}
+    byte_level = pre.get("type") == "ByteLevel" and pre.get("use_regex", True) and not pre.get("add_prefix_space")
+    loose = any(t["lstrip"] or t["rstrip"] or t["single_word"] or set(t["content"]) & set(" .,\n\t") for t in spec["added_tokens"])
+    return byte_level and not loose and not spec["normalizer"]
+
+
 class Encoder:
-    """Ids as little-endian bytes of `dtype`: 16 bits where the vocabulary allows it."""
+    """Ids as little-endian numbers of `dtype`: 16 bits where the vocabulary allows it.
+
+    A piece is a word behind a blank, written without it, or what begins with a line feed; what stands for itself is marked by a tab.
+    No text that is cut has a blank in front of a line feed or tab, so these are not mistaken for each other.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -34,38 +61,81 @@ class Encoder:
         n = self.tok.get_vocab_size()
         self.dtype = np.dtype("<u2" if n <= 1 << 16 else "<u4")
         self.width = np.array([len(self.tok.id_to_token(i) or "") for i in range(n)], np.int64)
-        self.seen: dict[str, bytes] = {}
-        self.split = re.compile(r"\s\s")
+        for i, t in self.tok.get_added_tokens_decoder().items():
+            self.width[i] = len(t.content.encode())
+        self.cuttable = _cuttable(self.tok)
+        self.seen, self.ids_of, self.times = pa.array([], pa.large_string()), pa.array([], pa.large_binary()), np.empty(0, np.int64)
 
     def whole(self, text: str) -> bytes:
         return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
 
-    def learn(self, words: list[str]) -> None:
-        """Remember the ids of " word": many are encoded as one text and cut where their bytes end."""
-        plain = [w for w in words if w and not w[-1].isspace()]
-        self.seen.update((w, self.whole(" " + w)) for w in words if not w or w[-1].isspace())
-        runs = [plain[i : i + _RUN] for i in range(0, len(plain), _RUN)]
-        for part, got in zip(runs, self.tok.encode_batch_fast([" " + " ".join(r) for r in runs], add_special_tokens=False), strict=True):
-            ids = np.array(got.ids, self.dtype)
-            ends = np.cumsum(self.width[ids])
-            cut = np.searchsorted(ends, np.cumsum([len(w.encode()) + 1 for w in part]), side="right")
-            raw, step, at = ids.tobytes(), self.dtype.itemsize, 0
-            for w, c in zip(part, cut.tolist(), strict=True):
-                self.seen[w] = raw[at * step : c * step]
-                at = c
+    def _ids(self, texts: list[str]) -> list[np.ndarray]:
+        """Ids of each text by itself; few at once, since the library keeps more than the ids until they are read."""
+        return [np.array(x.ids, self.dtype) for i in range(0, len(texts), _RUNS) for x in self.tok.encode_batch_fast(texts[i : i + _RUNS], add_special_tokens=False)]
+
+    def learn(self, new: pa.Array) -> None:
+        """Remember the ids of pieces: many are encoded as one text and cut where their bytes end."""
+        if not len(new):
+            return
+        data, off = text_buffer(new)
+        first = data[off[:-1]]
+        data, off = text_buffer(pc.binary_join_element_wise(pc.if_else(pa.array((first == 9) | (first == 10)), "", " ").cast(pa.large_string()), new, pa.scalar("", pa.large_string())))
+        data, alone = data.copy(), first == 9
+        data[off[:-1][alone]] = 10  # a line feed keeps it apart from what is before it and is an id of its own
+        edge = np.r_[off[:-1:_RUN], off[-1]]
+        ids = np.concatenate(self._ids([data[a:b].tobytes().decode() for a, b in zip(edge[:-1], edge[1:], strict=True)]))
+        cut = np.searchsorted(np.cumsum(self.width[ids]), off - off[0], side="right")
+        keep = np.ones(len(ids), bool)
+        keep[cut[:-1][alone]] = False
+        ends = np.cumsum(np.r_[0, np.diff(cut) - alone]) * self.dtype.itemsize
+        found = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(new), [None, pa.py_buffer(ends), pa.py_buffer(ids[keep])])
+        self.seen, self.ids_of = pa.concat_arrays([self.seen, new]), pa.concat_arrays([self.ids_of, found])
+
+    def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of texts that can be cut, one after another, and where each ends."""
+        marked = pc.replace_substring_regex(pc.replace_substring(texts, "\n", " \n"), _MARKED, r"\1 " "\t" r"\2")
+        parts = pc.split_pattern(pc.binary_join_element_wise(pa.scalar("\t", pa.large_string()), marked, pa.scalar("", pa.large_string())), " ")
+        last = parts.offsets.to_numpy()[1:] - parts.offsets[0].as_py()
+        known = len(self.seen)
+        coded = pa.concat_arrays([self.seen, parts.flatten()])
+        del marked, parts
+        coded = coded.dictionary_encode()
+        self.learn(coded.dictionary[known:])
+        at = coded.indices[known:]
+        del coded
+        joined = self.ids_of.take(at)
+        self.times = np.bincount(at, minlength=len(self.seen)) + np.pad(self.times, (0, len(self.seen) - known))
+        if len(self.seen) > REMEMBERED:
+            kept = np.sort(np.argsort(-self.times, kind="stable")[: REMEMBERED // 2])
+            self.seen, self.ids_of, self.times = self.seen.take(pa.array(kept)), self.ids_of.take(pa.array(kept)), self.times[kept] // 2
+        _, off, raw = joined.buffers()
+        off = np.frombuffer(off, np.int64)[joined.offset : joined.offset + len(joined) + 1] // self.dtype.itemsize
+        return np.frombuffer(raw, self.dtype)[off[0] : off[-1]], off[last] - off[0]
+
+    def part(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        odd = pc.match_substring_regex(texts, _ODD).to_numpy(zero_copy_only=False) if self.cuttable else np.ones(len(texts), bool)
+        if not odd.any():
+            return self._cut(texts)
+        out: list = [None] * len(texts)
+        at = np.flatnonzero(odd)
+        for i, ids in zip(at, self._ids(texts.take(pa.array(at)).to_pylist()), strict=True):
+            out[i] = ids
+        at = np.flatnonzero(~odd)
+        if len(at):
+            ids, ends = self._cut(texts.take(pa.array(at)))
+            for i, a, b in zip(at, np.r_[0, ends[:-1]], ends, strict=True):
+                out[i] = ids[a:b]
+        return np.concatenate(out), np.cumsum([len(x) for x in out])
+
+    def column(self, texts: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+        """Runs of texts of an Arrow string column (a null is an empty text): first row, last row, their ids one after another, and where each ends."""
+        texts = texts.cast(pa.large_string()).fill_null("")
+        data, off = text_buffer(texts)
+        for i, j, _, _ in pieces(data, off, _PART):
+            yield i, j, *self.part(texts[i:j])
 
     def __call__(self, texts: list[str]) -> list[bytes]:
-        if len(self.seen) > REMEMBERED:
-            self.seen.clear()
-        out: list[bytes] = []
-        for i in range(0, len(texts), 256):
-            part = texts[i : i + 256]
-            cut = [None if self.split.search(t) else t.split(" ") for t in part]
-            self.learn(list(set().union(*(c[1:] for c in cut if c)).difference(self.seen)))
-            seen = self.seen
-            for t, c in zip(part, cut, strict=True):
-                out.append(self.whole(t) if c is None else (self.whole(c[0]) if c[0] else b"") + b"".join([seen[w] for w in c[1:]]))
-        return out
+        return [ids[a:b].tobytes() for _, _, ids, ends in self.column(pa.array(texts, pa.string())) for a, b in zip(np.r_[0, ends[:-1]], ends, strict=True)]
 
 
 def encoder(path: str) -> Encoder:
