@@ -38,24 +38,25 @@ _HASH = 20
 _SHARD = "part int, piece int, vocab int, no_id int, left binary, right binary, span binary, body binary, doc_ids binary, doc_tokens binary"
 
 
-def frequent(code: np.ndarray, open_: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Rule number of the pair at each place (-1: not frequent, or not `open_`), each rule's code, and its exact count.
+def frequent(code: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rule number of the pair at each place (-1: not frequent), each rule's code, and its exact count.
 
     Pairs are counted by hash slot first: one below MIN_PAIR holds no frequent pair.  A slot of one pair has its exact count, the
     pairs that share a slot are sorted and counted one by one, so none of them is lost.
     """
-    slot = ((code * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - _HASH)).astype(np.int32)
-    slot[~open_] = 1 << _HASH
-    count = np.bincount(slot, minlength=(1 << _HASH) + 1)
-    count[-1] = 0
+    bits = min(_HASH, max(len(code).bit_length(), 1))
+    slot = code * np.uint64(0x9E3779B97F4A7C15)
+    slot >>= np.uint64(64 - bits)
+    slot = slot.view(np.int64)
+    count = np.bincount(slot, minlength=1 << bits)
     at = np.flatnonzero((count >= MIN_PAIR)[slot])
     held, mine = slot[at], code[at]
-    one = np.zeros((1 << _HASH) + 1, np.uint64)
+    one = np.zeros(1 << bits, np.uint64)
     one[held] = mine
-    mixed = np.zeros((1 << _HASH) + 1, bool)
+    mixed = np.zeros(1 << bits, bool)
     mixed[held[one[held] != mine]] = True
     pure = np.flatnonzero((count >= MIN_PAIR) & ~mixed)
-    rule = np.full((1 << _HASH) + 1, -1, np.int32)
+    rule = np.full(1 << bits, -1, np.int32)
     rule[pure] = np.arange(len(pure), dtype=np.int32)
     out = np.full(len(code), -1, np.int32)
     out[at] = rule[held]
@@ -67,25 +68,38 @@ def frequent(code: np.ndarray, open_: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def compress(ids: np.ndarray, ends: np.ndarray, vocab: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Re-Pair: rules (left, right, expansion length) and the compressed sequence. `ends`: positions behind documents."""
+    """Re-Pair: rules (left, right, expansion length) and the compressed sequence. `ends`: positions behind documents.
+
+    A round never adds occurrences of a pair of old symbols.  So after the first one only pairs that were frequent or
+    hold a new symbol are counted; no other pair can be frequent.
+    """
     body = ids.astype(np.int32)
     last = np.zeros(len(body) + 1, bool)
     last[ends] = True
     last = last[1:]
+    last[-1:] = True
     left, right = np.empty(0, np.int32), np.empty(0, np.int32)
-    while len(body) > 1:
+    look = np.flatnonzero(~last)
+    while len(look):
         base = vocab + len(left)
-        code = body[:-1].astype(np.uint64) * np.uint64(base) + body[1:].astype(np.uint64)
-        mine, pair, count = frequent(code, ~last[:-1])
+        code = body[look].astype(np.uint64)
+        code *= np.uint64(base)
+        code += body[look + 1].view(np.uint32)
+        mine, pair, count = frequent(code)
+        del code
         if not len(pair):
             break
-        n = np.where(mine >= 0, count[mine], 0)
+        look, mine = look[mine >= 0], mine[mine >= 0]
+        n = count[mine]
         # Of pairs that overlap the most frequent goes first; along equal counts every second one from the left.
-        place = np.arange(len(n), dtype=np.int32)
-        head = np.maximum.accumulate(np.where(np.diff(n, prepend=-1) != 0, place, 0))
-        weight = np.r_[0, 2 * n + ((place - head) % 2 == 0), 0]
-        at = np.flatnonzero((n > 0) & (weight[1:-1] > weight[:-2]) & (weight[1:-1] > weight[2:]))
-        mine = mine[at]
+        near = np.r_[False, np.diff(look) == 1]
+        place = np.arange(len(look))
+        head = np.maximum.accumulate(np.where(near & (np.diff(n, prepend=-1) == 0), 0, place))
+        weight = 2 * n + ((place - head) % 2 == 0)
+        wins = np.ones(len(look), bool)
+        wins[1:] &= ~near[1:] | (weight[1:] > weight[:-1])
+        wins[:-1] &= ~near[1:] | (weight[:-1] > weight[1:])
+        at, mine = look[wins], mine[wins]
         used = np.bincount(mine, minlength=len(pair)) > 0
         left = np.r_[left, (pair[used] // np.uint64(base)).astype(np.int32)]
         right = np.r_[right, (pair[used] % np.uint64(base)).astype(np.int32)]
@@ -93,7 +107,11 @@ def compress(ids: np.ndarray, ends: np.ndarray, vocab: int) -> tuple[np.ndarray,
         last[at] = last[at + 1]
         keep = np.ones(len(body), bool)
         keep[at + 1] = False
+        open_ = np.zeros(len(body), bool)
+        open_[look] = True
+        open_[np.maximum(at - 1, 0)] = True
         body, last = body[keep], last[keep]
+        look = np.flatnonzero(open_[keep] & ~last)
     return left, right, spans(left, right, vocab), body
 
 
@@ -111,6 +129,17 @@ def spans(left: np.ndarray, right: np.ndarray, vocab: int) -> np.ndarray:
 
 def expand(body: np.ndarray, left: np.ndarray, right: np.ndarray, vocab: int) -> np.ndarray:
     """The ids that a (part of a) compressed sequence stands for."""
+    span = spans(left, right, vocab)
+    if span.sum() > max(len(body), 1 << 16):
+        return _unfold(body, left, right, vocab)
+    # Each rule is unfolded once, then every symbol is looked up.
+    source = np.r_[np.arange(vocab, dtype=np.int32), _unfold(np.arange(vocab, vocab + len(left), dtype=np.int32), left, right, vocab)]
+    n = np.r_[np.ones(vocab, np.int64), span][body]
+    first = np.r_[np.arange(vocab), vocab + np.cumsum(span) - span][body]
+    return source[np.repeat(first - np.cumsum(n) + n, n) + np.arange(n.sum())]
+
+
+def _unfold(body: np.ndarray, left: np.ndarray, right: np.ndarray, vocab: int) -> np.ndarray:
     while True:
         big = body >= vocab
         if not big.any():
@@ -134,33 +163,40 @@ def document(shard, k: int) -> np.ndarray:
     return expand(body[i:j], left, right, shard["vocab"])[skip : skip + int(n[k])]
 
 
-def _shard(part: int, piece: int, vocab: int, ids: list[np.ndarray], docs: list[int | None]) -> tuple:
-    n = np.array([len(x) for x in ids], np.int64)
+def _shard(part: int, piece: int, vocab: int, ids: list[np.ndarray], sizes: list[np.ndarray], docs: list[pa.Array]) -> tuple:
+    n, docs = np.concatenate(sizes), pa.concat_arrays(docs)
     left, right, span, body = compress(np.concatenate(ids), np.cumsum(n), vocab)
-    no_id = sum(d is None for d in docs)  # they come first
-    return (part, piece, vocab, no_id, *(x.astype(t).tobytes() for x, t in ((left, "<i4"), (right, "<i4"), (span, "<i8"), (body, "<i4"))), np.array([0 if d is None else d for d in docs], "<i8").tobytes(), n.astype("<i8").tobytes())
+    # Documents without an id come first.
+    return (part, piece, vocab, docs.null_count, *(x.astype(t).tobytes() for x, t in ((left, "<i4"), (right, "<i4"), (span, "<i8"), (body, "<i4"))), docs.fill_null(0).to_numpy().astype("<i8").tobytes(), n.astype("<i8").tobytes())
 
 
 def _write_shards(batches: Iterator[pa.RecordBatch], path: str, end_id: int) -> Iterator[pa.RecordBatch]:
     from pyspark import TaskContext
 
     enc, names = encoder(path), [c.split()[0] for c in _SHARD.split(", ")]
-    part, piece, ids, docs, held = TaskContext.get().partitionId(), 0, [], [], 0
+    part, piece, ids, docs, sizes, held = TaskContext.get().partitionId(), 0, [], [], [], 0
     vocab = max(len(enc.width), end_id + 1)
 
     def row():
-        return pa.RecordBatch.from_arrays([pa.array([x], pa.int32() if isinstance(x, int) else pa.binary()) for x in _shard(part, piece, vocab, ids, docs)], names=names)
+        return pa.RecordBatch.from_arrays([pa.array([x], pa.int32() if isinstance(x, int) else pa.binary()) for x in _shard(part, piece, vocab, ids, sizes, docs)], names=names)
 
     for batch in batches:
-        keys = batch.column(0).to_pylist()
-        for i in range(0, len(keys), 512):
-            for k, raw in zip(keys[i : i + 512], enc([t or "" for t in batch.column(1).slice(i, 512).to_pylist()]), strict=True):
-                ids.append(np.r_[np.frombuffer(raw, enc.dtype), np.array([end_id], enc.dtype)])
-                docs.append(k)
-                held += len(ids[-1])
+        keys = batch.column(0)
+        for i, j, got, ends in enc.column(batch.column(1)):
+            got = np.insert(got, ends, enc.dtype.type(end_id))
+            ends = np.r_[0, ends + np.arange(1, j - i + 1)]
+            a = 0
+            while a < j - i:
+                # The document that fills the shard is its last one.
+                b = min(int(np.searchsorted(ends, ends[a] + SHARD_TOKENS - held)), j - i)
+                ids.append(got[ends[a] : ends[b]])
+                sizes.append(np.diff(ends[a : b + 1]))
+                docs.append(keys.slice(i + a, b - a))
+                held += int(ends[b] - ends[a])
+                a = b
                 if held >= SHARD_TOKENS:
                     yield row()
-                    piece, ids, docs, held = piece + 1, [], [], 0
+                    piece, ids, docs, sizes, held = piece + 1, [], [], [], 0
     if ids:
         yield row()
 
