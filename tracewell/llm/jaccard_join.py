@@ -12,7 +12,8 @@ each pair of a group of loose copies meets in all its common tokens.)
 Posting lists of more than `SHORT_LIST` documents (groups of copies, common passages) are never turned
 into all pairs.  First every document is compared with the list's smallest document of like size; the
 links found merge documents into classes.  Then only documents of different classes are
-paired, which finds every link that could still merge two classes.  Nothing is capped.
+paired, by the tokens that could be the first of the l they share; the others are counted for these pairs.  This
+finds every link that could still merge two classes.  Nothing is capped.
 """
 
 from __future__ import annotations
@@ -39,6 +40,8 @@ MAX_MATCHES = 4
 VERIFY_COST = 8.0
 #: Longest posting list that is paired at once.
 SHORT_LIST = 8
+#: Words of 64 bits in the filter of documents whose texts are moved; beyond, it only lets more texts through.
+FILTER_WORDS = 1 << 19
 #: Members that one copy of a pivot's text serves when candidates are verified.
 PIVOT_FANOUT = 128
 
@@ -200,15 +203,25 @@ def _verify(batches: Iterator[pa.RecordBatch], sim: Similarity) -> Iterator[pa.R
         yield pa.RecordBatch.from_arrays([pa.array(a[hit], pa.int64()), pa.array(b[hit], pa.int64())], names=["a", "b"])
 
 
-def _linked(pairs: DataFrame, texts: DataFrame, sim: Similarity) -> DataFrame:
-    """Those pairs (a, b) whose texts link; a pivot of many pairs is copied once for `PIVOT_FANOUT` of them."""
+def _holding(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """Rows of `docs` whose doc_id is among `ids` (doc_id), and a few others: a broadcast bit for each hash, so that most other texts stay where they are."""
+    bits = lambda df: df.withColumn("h", F.pmod(F.xxhash64("doc_id"), F.lit(FILTER_WORDS * 64))).withColumns(
+        {"word": F.shiftright("h", 6), "bit": F.expr("shiftleft(1L, cast(h & 63 as int))")}
+    )
+    words = bits(ids).groupBy("word").agg(F.bit_or("bit").alias("held"))
+    return bits(docs).join(F.broadcast(words), "word").where(F.col("held").bitwiseAND(F.col("bit")) != 0).select(docs.columns)
+
+
+def _linked(pairs: DataFrame, docs: DataFrame, sim: Similarity) -> DataFrame:
+    """Those of the staged pairs (a, b) whose texts link; a pivot of many pairs is copied once for `PIVOT_FANOUT` of them."""
+    texts = _holding(docs, pairs.select(F.explode(F.array("a", "b")).alias("doc_id")))
     fan = pairs.groupBy("a").agg(F.ceil(F.count(F.lit(1)) / F.lit(PIVOT_FANOUT)).alias("parts"))
     dealt = pairs.join(fan, "a").select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).alias("part"))
     t = texts.select(F.col("doc_id").alias("b"), "text")
     members = dealt.join(t, "b").select("a", "part", F.lit(1).alias("role"), "b", "text")
     leads = fan.select("a", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("a").alias("b"))
     rows = members.union(leads.join(t, "b").select("a", "part", "role", "b", "text"))
-    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = rows.repartition(parts, "a", "part").sortWithinPartitions("a", "part", "role")
     return rows.mapInArrow(lambda it: _verify(it, sim), "a long, b long")
 
@@ -232,12 +245,10 @@ def near_duplicates(docs: DataFrame, sim: Similarity = Similarity()) -> DataFram
         lists = whole.mapInArrow(lambda it: _list_map(it, ranges, sim, hot), "r long, t binary, d binary, s binary, v binary, p binary")
         lists = stage(lists.groupBy("r").applyInArrow(lambda t: _list_reduce(t, sim), _LIST), "shingle-lists")
         pairs, stars, entries = (lists.where(F.col("kind") == k) for k in range(3))
-        stars = stars.select("a", "b").distinct()
-        some = stage(entries.select(F.col("b").alias("doc_id")).union(pairs.select("a")).union(pairs.select("b")).distinct(), "candidates")
-        texts = stage(whole.join(some, "doc_id", "left_semi"), "candidate-texts")
-        first = stage(_linked(stars, texts, sim), "links")
+        stars = stage(stars.select("a", "b").distinct(), "stars")
+        first = stage(_linked(stars, whole, sim), "links")
         classes = components(first)
-        second = _linked(_across(pairs, entries, classes, sim), texts, sim)
+        second = _linked(stage(_across(pairs, entries, classes, sim), "candidates"), whole, sim)
         # A class counts as its star from here on.
         final = components(classes.select(F.col("component").alias("a"), F.col("id").alias("b")).union(second))
         size = counted.where("kind = 1").select(F.col("a").alias("doc_id"), F.col("b").alias("n_shingles"))
@@ -277,22 +288,30 @@ def _frequent(counts: DataFrame):
 
 
 def _across(pairs: DataFrame, entries: DataFrame, classes: DataFrame, sim: Similarity) -> DataFrame:
-    """Candidate pairs of documents in different classes that share enough prefix tokens."""
+    """Candidate pairs of documents in different classes that share enough prefix tokens.
+
+    The first of l tokens that two documents share in their prefixes of n - t + l and m - t + l tokens lies within the first
+    n - t + 1 and m - t + 1.  So the lists pair documents by these rarer tokens only; the other tokens are counted for such pairs alone.
+    """
     of = classes.withColumnRenamed("component", "k")
-    e = _outside(entries, classes)
+    e = stage(_outside(entries, classes), "outside")
     x = e.where("k <> main").select("t", *[F.col(c).alias(f"x_{c}") for c in ("doc", "n", "at", "pre", "k")])
     y = e.select("t", (F.col("k") == F.col("main")).alias("lead"), *[F.col(c).alias(f"y_{c}") for c in ("doc", "n", "at", "pre", "k")])
     over = F.ceil((F.col("x_n") + F.col("y_n")) * F.lit(sim.num) / F.lit(sim.num + sim.den))
     ell = [F.col(f"{c}_pre") - F.col(f"{c}_n") + F.ceil(F.col(f"{c}_n") * F.lit(sim.num) / F.lit(sim.den)) for c in "xy"]
     need = F.least(*ell).cast("int")
-    both = x.join(y, "t").where(
-        (F.col("x_k") != F.col("y_k")) & (F.col("lead") | (F.col("x_doc") < F.col("y_doc"))) 
-        & (F.col("x_at") < F.col("x_n") - over + need) & (F.col("y_at") < F.col("y_n") - over + need)
+    seeds = x.join(y, "t").where(
+        (F.col("x_k") != F.col("y_k")) & (F.col("lead") | (F.col("x_doc") < F.col("y_doc")))
+        & (F.col("x_at") <= F.col("x_n") - over) & (F.col("y_at") <= F.col("y_n") - over)
         & (F.least("x_n", "y_n") * sim.den >= F.greatest("x_n", "y_n") * sim.num)
     )
-    both = both.groupBy(F.least("x_doc", "y_doc").alias("a"), F.greatest("x_doc", "y_doc").alias("b")).agg(F.count(F.lit(1)).alias("c"), F.min(need).alias("d"))
-    every = both.union(pairs.select("a", "b", F.col("c").cast("long"), "d"))
-    some = every.groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("d").alias("d")).where("c >= d")
+    seeds = seeds.select(F.least("x_doc", "y_doc").alias("a"), F.greatest("x_doc", "y_doc").alias("b"), F.lit(0).cast("long").alias("c"), need.alias("d"))
+    every = seeds.union(pairs.select("a", "b", F.col("c").cast("long"), "d"))
+    some = every.groupBy("a", "b").agg(F.sum("c").alias("c"), F.min("d").alias("d"))
     left, right = (of.select(F.col("id").alias(c), F.col("k").alias(f"k{c}")) for c in "ab")
     some = some.join(left, "a", "left").join(right, "b", "left")
-    return some.where(F.coalesce("ka", "a") != F.coalesce("kb", "b")).select("a", "b")
+    some = stage(some.where(F.coalesce("ka", "a") != F.coalesce("kb", "b")).select("a", "b", "c", "d"), "seeds")
+    held = e.groupBy("doc").agg(F.collect_set("t").alias("ts"))
+    left, right = (held.select(F.col("doc").alias(c), F.col("ts").alias(f"t{c}")) for c in "ab")
+    rest = some.where("c < d").join(left, "a").join(right, "b").where(F.col("c") + F.size(F.array_intersect("ta", "tb")) >= F.col("d"))
+    return some.where("c >= d").select("a", "b").union(rest.select("a", "b"))
