@@ -21,10 +21,10 @@ from tracewell.llm.text import pieces, text_buffer
 
 #: Pieces remembered by a worker before it goes on with the more frequent half of them (bounds its memory).
 REMEMBERED = 600_000
-#: Bytes of text that are cut at once.
-_PART = 1 << 24
-#: Pieces encoded as one text, and such texts encoded at once.
-_RUN, _RUNS = 1 << 10, 16
+#: Bytes of text that are cut at once; a worker needs about ten times as much while it cuts them.
+_PART = 1 << 23
+#: Pieces encoded as one text.
+_RUN = 1 << 10
 
 _SPACE = r"[\x09-\x0d\x1c-\x20\x{85}\p{Z}]"
 _ODD = rf"^$|^{_SPACE}|{_SPACE}$|{_SPACE}{{2}}"
@@ -67,11 +67,11 @@ class Encoder:
         self.seen, self.ids_of, self.times = pa.array([], pa.large_string()), pa.array([], pa.large_binary()), np.empty(0, np.int64)
 
     def whole(self, text: str) -> bytes:
-        return np.array(self.tok.encode(text, add_special_tokens=False).ids, self.dtype).tobytes()
+        return self._ids([text])[0].tobytes()
 
     def _ids(self, texts: list[str]) -> list[np.ndarray]:
-        """Ids of each text by itself; few at once, since the library keeps more than the ids until they are read."""
-        return [np.array(x.ids, self.dtype) for i in range(0, len(texts), _RUNS) for x in self.tok.encode_batch_fast(texts[i : i + _RUNS], add_special_tokens=False)]
+        """Ids of each text by itself.  One after another: the library's batches start a thread for each core of the machine, with memory of their own."""
+        return [np.array(self.tok.encode(x, add_special_tokens=False).ids, self.dtype) for x in texts]
 
     def learn(self, new: pa.Array) -> None:
         """Remember the ids of pieces: many are encoded as one text and cut where their bytes end."""
@@ -94,14 +94,15 @@ class Encoder:
     def _cut(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of texts that can be cut, one after another, and where each ends."""
         marked = pc.replace_substring_regex(pc.replace_substring(texts, "\n", " \n"), _MARKED, r"\1 " "\t" r"\2")
-        parts = pc.split_pattern(pc.binary_join_element_wise(pa.scalar("\t", pa.large_string()), marked, pa.scalar("", pa.large_string())), " ")
+        marked = pc.binary_join_element_wise(pa.scalar("\t", pa.large_string()), marked, pa.scalar("", pa.large_string()))
+        parts = pc.split_pattern(marked, " ")
+        del marked
         last = parts.offsets.to_numpy()[1:] - parts.offsets[0].as_py()
         known = len(self.seen)
-        coded = pa.concat_arrays([self.seen, parts.flatten()])
-        del marked, parts
-        coded = coded.dictionary_encode()
+        coded = pa.chunked_array([self.seen, parts.flatten()]).dictionary_encode().chunks[-1]  # one dictionary, that begins with what is known
+        del parts
         self.learn(coded.dictionary[known:])
-        at = coded.indices[known:]
+        at = coded.indices
         del coded
         joined = self.ids_of.take(at)
         self.times = np.bincount(at, minlength=len(self.seen)) + np.pad(self.times, (0, len(self.seen) - known))
@@ -133,6 +134,7 @@ class Encoder:
         data, off = text_buffer(texts)
         for i, j, _, _ in pieces(data, off, _PART):
             yield i, j, *self.part(texts[i:j])
+        pa.default_memory_pool().release_unused()  # a reused worker waits beside the others
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         return [ids[a:b].tobytes() for _, _, ids, ends in self.column(pa.array(texts, pa.string())) for a, b in zip(np.r_[0, ends[:-1]], ends, strict=True)]
