@@ -52,22 +52,27 @@ class Bins:
         return np.stack(np.unravel_index(cells, self.dims), axis=1)
 
 
-def fit_bins(df: DataFrame, x: str = "x") -> Bins | None:
-    """All values but the largest of a feature with few values, else quantiles of all rows; None if there are more than MAX_CELLS cells."""
-    p = (df.agg(F.max(F.size(x))).first()[0]) or 0
-    if not p or p > np.log(MAX_CELLS) / np.log(2):
-        return None
+def feature_edges(df: DataFrame, x: str, p: int) -> tuple[tuple[float, ...], ...]:
+    """Thresholds of each of `p` features: all values but the largest of one with few values, else quantiles of all rows."""
     cols = df.select(*[F.get(x, F.lit(j)).cast("double").alias(f"f{j}") for j in range(p)])
     names = cols.columns
     rare = cols.agg(*[F.approx_count_distinct(c).alias(c) for c in names]).first()
     found = cols.approxQuantile(names, [k / BINS for k in range(1, BINS)], 1e-3)
+    few = [c for c in names if rare[c] <= 2 * BINS]
+    sets = cols.agg(*[F.collect_set(F.when(~F.isnan(c), F.col(c))).alias(c) for c in few]).first() if few else {}  # bounded by what is few
     edges = []
     for name, quantiles in zip(names, found, strict=True):
-        if rare[name] <= 2 * BINS:
-            values = sorted(r[0] for r in cols.select(name).distinct().limit(4 * BINS).collect())
-            quantiles = values[:-1] if len(values) <= BINS else quantiles
-        edges.append(tuple(sorted(set(quantiles))))
-    bins = Bins(tuple(edges))
+        values = sorted(sets[name]) if name in few else []
+        edges.append(tuple(values[:-1] if name in few and len(values) <= BINS else sorted(set(quantiles))))
+    return tuple(edges)
+
+
+def fit_bins(df: DataFrame, x: str = "x") -> Bins | None:
+    """All values but the largest of a feature with few values, else quantiles of all rows; None if there are more than MAX_CELLS cells."""
+    p = (df.agg(F.max(F.size(x))).first()[0]) or 0
+    if not p or p > np.log(MAX_CELLS) / np.log(2):
+        return None
+    bins = Bins(feature_edges(df, x, p))
     return bins if bins.cells <= MAX_CELLS else None
 
 
