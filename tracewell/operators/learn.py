@@ -135,11 +135,10 @@ def fit_forest(
 
     MLlib grows `batch` at a time in parallel jobs; the node of every row is kept beside it, so that no level sends the trees to all tasks.
     """
-    size = train.agg(F.sum(F.size("x"))).first()[0] or 0
-    if GROWN[0] < size <= GROWN[1]:
+    size, features = train.agg(F.sum(F.size("x")), F.max(F.size("x"))).first()
+    if GROWN[0] < (size or 0) <= GROWN[1]:
         rows = indexed(train, label, labels).select("x", F.col(LABEL_INDEX).alias("y"), *([F.col(weight).cast("double").alias("w")] if weight else [])).persist()
-        forest = grown.fit_forest(rows, len(labels), trees, seed, depth, 2, weight is not None)
-        forest.trees.count()
+        forest = grown.fit_forest(rows, features, len(labels), trees, seed, depth, 2, weight is not None)
         rows.unpersist()
         return GrownForest(tuple(labels), forest)
     rows = _packed(indexed(train, label, labels).select(FEATURES, LABEL_INDEX, *([weight] if weight else [])))

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tracewell.operators.binned import _poisson, feature_edges
+from tracewell.operators.binned import BINS, _poisson
 from tracewell.session import cut_lineage
 
 TASKS = 24  # that share the trees of a forest; each holds all train rows
@@ -28,11 +28,12 @@ _TREES = "group int, tree int, feature binary, cut binary, sizes binary, classes
 def _keys(spark: SparkSession, n: int) -> list[int]:
     """A number for each of `n` hash partitions, so that no two groups share one."""
     found: dict[int, int] = {}
-    span = 32 * n
+    start = 0
     while len(found) < n:
-        span *= 2
-        for r in spark.range(span).groupBy(F.pmod(F.hash("id"), F.lit(n)).alias("part")).agg(F.min("id").alias("id")).collect():
-            found[r["part"]] = r["id"]
+        ids = ", ".join(f"({i}L)" for i in range(start, start + 16 * n))
+        start += 16 * n
+        for r in spark.sql(f"SELECT id, pmod(hash(id), {n}) AS part FROM VALUES {ids} AS v(id)").collect():  # worked out on the driver, no job
+            found.setdefault(r["part"], r["id"])
     return [found[i] for i in range(n)]
 
 
@@ -45,19 +46,55 @@ def _dealt(df: DataFrame, keys: Sequence[int], group) -> DataFrame:
 # ---------------------------------------------------------------- rows
 
 
+def _matrix(lists: pa.Array, p: int) -> np.ndarray:
+    values = lists.flatten()
+    if lists.null_count or not (np.asarray(lists.value_lengths()) == p).all():
+        raise ValueError(f"a row has not {p} features")
+    if values.null_count:
+        raise ValueError("a feature is null")
+    return values.to_numpy(zero_copy_only=False).reshape(-1, p)
+
+
+def _columns(p: int):
+    """Rows -> the values of each feature as bytes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            values = np.ascontiguousarray(_matrix(batch.column("x"), p).T)
+            yield pa.RecordBatch.from_arrays([pa.array(range(p), pa.int32()), pa.array([v.tobytes() for v in values], pa.binary())], names=["j", "v"])
+
+    return run
+
+
+def _cutter(key: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
+    """Thresholds of a feature: all values but the largest of one with few, else its quantiles."""
+    out = []
+    for j in sorted(set(table.column("j").to_pylist())):
+        mine = [np.frombuffer(v.as_buffer()) for i, v in zip(table.column("j").to_pylist(), table.column("v"), strict=True) if i == j]
+        values = np.sort(np.concatenate(mine))
+        values = values[: len(values) - np.isnan(values).sum()]
+        edges = np.unique(values)
+        if len(edges) > BINS:
+            edges = np.unique(np.r_[values[len(values) * np.arange(1, BINS) // BINS], edges[-1]])
+        out.append((j, edges[:-1].tolist()))
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int32(), pa.list_(pa.float64())), strict=True)], names=["j", "edges"])
+
+
+def feature_edges(rows: DataFrame, p: int) -> tuple[tuple[float, ...], ...]:
+    """Thresholds of the `p` features of x from all rows; a value belongs to the first bin whose threshold it does not exceed."""
+    keys = _keys(rows.sparkSession, min(TASKS, p))
+    values = _dealt(rows.select("x").mapInArrow(_columns(p), "j int, v binary"), keys, F.col("j") % len(keys))
+    found = {r["j"]: r["edges"] for r in values.groupBy("key").applyInArrow(_cutter, "j int, edges array<double>").collect()}  # p lists of numbers
+    return tuple(tuple(found[j]) for j in range(p))
+
+
 def _binned(edges: Sequence[Sequence[float]], others: Sequence[tuple[str, str]]):
     """Rows -> blocks of their bins, one byte for each feature, with the other columns as bytes."""
     edges = [np.array(e) for e in edges]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = batch.column("x")
-            if lists.null_count or not (np.asarray(lists.value_lengths()) == len(edges)).all():
-                raise ValueError(f"a row has not {len(edges)} features")
-            values = lists.flatten()
-            if values.null_count:
-                raise ValueError("a feature is null")
-            values = values.to_numpy(zero_copy_only=False).reshape(-1, len(edges))
+            values = _matrix(batch.column("x"), len(edges))
             bins = np.empty(values.shape, np.uint8)
             for j, e in enumerate(edges):
                 bins[:, j] = np.searchsorted(e, values[:, j])  # NaN comes last
@@ -320,14 +357,16 @@ class Trees:
         self.trees.unpersist()
 
 
-def fit_forest(rows: DataFrame, classes: int, trees: int, seed: int, depth: int, leaf: int, weighted: bool) -> Trees:
-    """Forest of `rows` (x, y as a number from 0 to `classes` - 1 and, if weighted, w); a node looks at the root of the features, rounded up."""
-    p = rows.agg(F.max(F.size("x"))).first()[0]
-    edges = feature_edges(rows, "x", p)
+def fit_forest(rows: DataFrame, p: int, classes: int, trees: int, seed: int, depth: int, leaf: int, weighted: bool) -> Trees:
+    """Forest of `rows` (x of `p` features, y as a number from 0 to `classes` - 1 and, if weighted, w); a node looks at the root of `p`, rounded up."""
+    edges = feature_edges(rows, p)
     width, groups = max(len(e) for e in edges) + 1, min(TASKS, trees)
     keys = _keys(rows.sparkSession, groups)
-    blocks = _blocks(rows, edges, [("y", "int32"), *([("w", "float64")] if weighted else [])])
+    # Cut off from whatever is cached: Spark plans a cached frame anew, and grows all trees again, if one that its plan holds leaves the cache.
+    blocks = cut_lineage(_blocks(rows, edges, [("y", "int32"), *([("w", "float64")] if weighted else [])]))
     dealt = _dealt(blocks.select("*", F.explode(F.sequence(F.lit(0), F.lit(groups - 1))).alias("group")), keys, F.col("group"))
     grower = _grower({k: i for i, k in enumerate(keys)}, trees, classes, width, p, depth, leaf, int(np.ceil(np.sqrt(p))), weighted, seed)
     # Kept without a copy on shared storage: what an executor loses is grown again and comes out the same.
-    return Trees(edges, classes, trees, dealt.drop("group").groupBy("key").applyInArrow(grower, _TREES).persist())
+    forest = Trees(edges, classes, trees, dealt.drop("group").groupBy("key").applyInArrow(grower, _TREES).persist())
+    forest.trees.count()
+    return forest
